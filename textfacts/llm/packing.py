@@ -34,7 +34,8 @@ WINDOW_DOCS = 4096
 WINDOW_IDS = 4 << 20
 END_ID = 1
 STEP_SEQUENCES = 16
-CACHE = 1_000_000
+CACHE = 1_500_000
+GROUP = 64
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, sequence_tokens int, step_group long"
 
@@ -49,7 +50,9 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what it stands between, so a text's ids are
-    those of its parts between ASCII white space, one after the other. Different parts are encoded once.
+    those of its parts between ASCII white space, one after the other. It lower-cases too, so A-Z are
+    lower-cased first, except where a special token's string could come of that. Different parts are
+    encoded once, those of letters alone in groups: each ends with its first id of a token that ends a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,20 +61,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        new = set().union(*parts).difference(known) if parts else set()
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set().union(*parts)
-        todo = list(new)
-        for i in range(0, len(todo), 10_000):
-            some = todo[i : i + 10_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            known.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, found, strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        parts = [(b if b"<|" in (b := (t or "").encode("utf-8", "replace")) else b.lower()).split() for t in texts]
+        found = [list(map(self.known.get, p)) for p in parts]
+        new = {w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None}
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+        words = [w for w in new if w.decode().isalpha()]
+        self._learn(words, GROUP)
+        self._learn(list(new.difference(words)), 1)
+        learnt = {w: self.known[w] for w in new}
+        return [b"".join([learnt[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f) for p, f in zip(parts, found, strict=True)]
+
+    def _learn(self, words: list[bytes], size: int) -> None:
+        groups = [words[i : i + size] for i in range(0, len(words), size)]
+        for i in range(0, len(groups), 4096):
+            some = groups[i : i + 4096]
+            for g, e in zip(some, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                blob = ids.tobytes()
+                if size == 1:
+                    self.known[g[0]] = blob
+                    continue
+                cuts = [0, *(self.ends[ids].nonzero()[0] * 4 + 4).tolist()]
+                if len(cuts) != len(g) + 1:
+                    self._learn(g, 1)
+                    continue
+                self.known.update((w, blob[a:b]) for w, a, b in zip(g, cuts, cuts[1:], strict=False))
 
 
 @cache
