@@ -1,10 +1,336 @@
-"""The queries over the driver's tables, and the same in DuckDB's SQL."""
+"""The queries over the driver's tables, each beside the same in DuckDB's SQL.
+
+No source trees, build logs or symbol tables are among the tables, so documents stand for files
+(source: project), conversations for logs, pages for paths and project files, part and lineitem for symbols and
+references, region and nation for projects, events for actions. Log lines are made by both sides alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import graph, logs, patch, search, symbols, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+LINES = r"""lines as (select doc_id, source, unnest(ls) line, unnest(range(1, len(ls) + 1)) line_no from (
+  select doc_id, source, case when ls[len(ls)] = '' then list_slice(ls, 1, len(ls) - 1) else ls end ls
+  from (select doc_id, source, string_split_regex(text, '\r\n|\n|\r') ls from documents)))"""
+
+
+@query(f"with {LINES} select doc_id, line_no, line from lines where contains(lower(line), 'license') order by doc_id, line_no limit 50")
+def search_plain(t):
+    return search.top(search.search(t("documents"), "doc_id", "license"), "doc_id")
+
+
+@query(f"with {LINES} select doc_id, line_no, line from lines where regexp_matches(line, '\\blicen[cs]ed?\\b', 'i') order by doc_id, line_no limit 200")
+def search_regex(t):
+    return search.top(search.search(t("documents"), "doc_id", r"\blicen[cs]ed?\b", regex=True), "doc_id", 200)
+
+
+@query(f"with {LINES} select (select count(*) from documents) files_scanned, count(*) total, count(*) >= 50 limit_reached from lines where contains(lower(line), 'license')")
+def search_summary(t):
+    docs = t("documents")
+    return search.summary(docs, search.search(docs, "doc_id", "license"))
+
+
+@query(f"with {LINES} select doc_id, count(*) n_lines, max(length(line)) longest, count_if(trim(line) = '') blank from lines group by doc_id")
+def lines_stats(t):
+    return search.file_lines(t("documents").select("doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.char_length("line").cast("long")).alias("longest"), F.count_if(F.trim("line") == "").alias("blank"))
+
+
+@query(r"""with p as (select doc_id, replace(text, E'\r\n', E'\n') t, string_split(replace(text, E'\r\n', E'\n'), E'\n') ls from documents)
+  select doc_id, len(ls) n_lines, len(ls) > 50 cut, case when len(ls) <= 50 then t else array_to_string(list_slice(ls, 1, 10), E'\n') end content from p""")
+def file_preview(t):
+    return search.preview(t("documents"), "doc_id", 50, 10)
+
+
+@query(f"with {LINES}, n as (select doc_id, count(*) n from lines group by doc_id) select doc_id, line_no, line_no || ' | ' || line numbered, n < 5 short from lines join n using (doc_id) where line_no between 3 and 5")
+def line_range(t):
+    return search.line_range(t("documents"), "doc_id", 3, 3)
+
+
+@query("select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc) n from conversations) where n <= 2")
+def log_tail(t):
+    return search.tail(t("conversations"), ["conv_id"], "turn", "text", 2).select("conv_id", "turn", "role", "text")
+
+
+@query("select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc) n from conversations where contains(lower(text), 'the')) where n <= 2")
+def log_tail_filtered(t):
+    return search.tail(t("conversations"), ["conv_id"], "turn", "text", 2, "THE").select("conv_id", "turn", "role", "text")
+
+
+@query("with l as (select arg_max(conv_id, (turn, conv_id)) conv_id from conversations) select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn desc) n from conversations semi join l using (conv_id)) where n <= 3")
+def tail_latest(t):
+    return search.tail(search.latest(t("conversations"), "conv_id", "turn"), ["conv_id"], "turn", "text", 3).select("conv_id", "turn", "text")
+
+
+SEGMENTS = "list_filter(string_split(regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g'), '/'), lambda x: x <> '')"
+
+
+@query(f"""with s as (select {SEGMENTS} s from pages), n as (select s, unnest(range(0, least(len(s), 3))) depth from s),
+  g as (select array_to_string(list_slice(s, 1, depth), '/') parent, s[depth + 1] name, depth, bool_or(depth < len(s) - 1) is_dir from n group by all)
+  select parent, name, cast(depth as bigint) depth, is_dir, row_number() over (partition by parent order by is_dir desc, upper(name), name) rank,
+    row_number() over (partition by parent order by is_dir desc, upper(name), name) = count(*) over (partition by parent) is_last from g""")
+def dir_tree(t):
+    return tree.tree(t("pages"), "url", 2)
+
+
+@query(f"with s as (select page_id, url, {SEGMENTS} s from pages) select page_id, url from s where not list_has_any(list_transform(list_slice(s, 1, len(s) - 1), lambda x: lower(x)), ['.git', '.vs', 'bin', 'obj', 'blog'])")
+def path_exclude(t):
+    return t("pages").where(~tree.excluded(F.col("url"), [*tree.EXCLUDED, "blog"])).select("page_id", "url")
+
+
+@query("select page_id, url, total, total > 20 cut from (select page_id, url, count(*) over () total from pages) order by upper(url), url, page_id limit 20")
+def file_cap(t):
+    pages = t("pages").select("page_id", "url")
+    return pages.orderBy(F.upper("url"), "url", "page_id").limit(20).join(pages.agg(F.count("*").alias("total"))).select("page_id", "url", "total", (F.col("total") > 20).alias("cut"))
+
+
+BUILD = """b as (select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  case l_returnflag when 'A' then 'src/F' || l_partkey || '.cs(' || l_linenumber || ',' || l_suppkey || '): error CS' || (1000 + l_suppkey) || ': bad part ' || l_partkey
+    when 'R' then '  src/F' || l_partkey || '.cs(' || l_linenumber || ', 1): WARNING CA' || l_suppkey || ': old part ' || l_partkey || ' ' else 'Restore of part ' || l_partkey || ' done' end line from lineitem)"""
+PARSED = r"""p as (select *, trim(line) t from b), d as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(regexp_extract(t, '{p}', 2, 'i')) severity, regexp_extract(t, '{p}', 3, 'i') code, regexp_extract(t, '{p}', 1, 'i') "location", trim(regexp_extract(t, '{p}', 4, 'i')) message
+  from p where regexp_matches(t, '{p}', 'i'))""".replace("{p}", logs.DIAGNOSTIC.removeprefix("(?i)"))
+
+
+def _build(t) -> DataFrame:
+    part, line, supp = (F.col(c).cast("string") for c in ("l_partkey", "l_linenumber", "l_suppkey"))
+    error = F.concat(F.lit("src/F"), part, F.lit(".cs("), line, F.lit(","), supp, F.lit("): error CS"), (F.col("l_suppkey") + 1000).cast("string"), F.lit(": bad part "), part)
+    warning = F.concat(F.lit("  src/F"), part, F.lit(".cs("), line, F.lit(", 1): WARNING CA"), supp, F.lit(": old part "), part, F.lit(" "))
+    text = F.when(F.col("l_returnflag") == "A", error).when(F.col("l_returnflag") == "R", warning).otherwise(F.concat(F.lit("Restore of part "), part, F.lit(" done")))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("line"))
+
+
+DIAG = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "severity", "code", "location", "message"]
+
+
+@query(f"with {BUILD}, {PARSED} select * from d")
+def diag_parse(t):
+    return logs.diagnostics(_build(t)).select(*DIAG)
+
+
+@query(f"with {BUILD}, {PARSED} select * from d order by severity <> 'error', l_orderkey, l_linenumber, l_partkey, l_suppkey, code, \"location\", message limit 20")
+def diag_top(t):
+    return logs.errors_first(logs.diagnostics(_build(t)).select(*DIAG), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "code", "location", "message"])
+
+
+@query(f"with {BUILD}, {PARSED} select regexp_extract(\"location\", '^[^(]*') path, count_if(severity = 'error') errors, count_if(severity = 'warning') warnings, count_if(severity = 'error') = 0 succeeded from d group by 1")
+def diagnostics_for_file(t):
+    e, w = (F.count_if(F.col("severity") == s) for s in ("error", "warning"))
+    return logs.diagnostics(_build(t)).groupBy(F.regexp_extract("location", "^[^(]*", 0).alias("path")).agg(e.alias("errors"), w.alias("warnings"), (e == 0).alias("succeeded"))
+
+
+@query("select severity, message from (select *, row_number() over (partition by severity, message order by doc_id) n from (select doc_id, lang severity, text message from documents)) where n = 1")
+def diag_distinct(t):
+    rows = t("documents").select("doc_id", F.col("lang").alias("severity"), F.col("text").alias("message"))
+    return logs.first_of_each(rows, ["severity", "message"], ["doc_id"]).select("severity", "message")
+
+
+@query("""with r as (select o_custkey, o_orderkey, 'Failed! - Failed: ' || o_orderkey % 3 || ', Passed: ' || o_orderkey % 50 || ', Skipped: ' || o_orderkey % 2 || ', Total: ' || (o_orderkey % 3 + o_orderkey % 50 + o_orderkey % 2) line from orders),
+  l as (select o_custkey, arg_max(line, o_orderkey) l from r group by 1)
+  select o_custkey, cast(regexp_extract(l, 'Failed: ([0-9]+)', 1) as bigint) failed, cast(regexp_extract(l, 'Passed: ([0-9]+)', 1) as bigint) passed, cast(regexp_extract(l, 'Skipped: ([0-9]+)', 1) as bigint) skipped, cast(regexp_extract(l, 'Total: ([0-9]+)', 1) as bigint) total from l""")
+def test_summary(t):
+    k = F.col("o_orderkey")
+    a, b, c = k % 3, k % 50, k % 2
+    line = F.concat(F.lit("Failed! - Failed: "), a.cast("string"), F.lit(", Passed: "), b.cast("string"), F.lit(", Skipped: "), c.cast("string"), F.lit(", Total: "), (a + b + c).cast("string"))
+    return logs.last_summary(t("orders").select("o_custkey", "o_orderkey", line.alias("line")), "o_custkey", "o_orderkey")
+
+
+@query("""with n as (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) block from conversations)
+  select conv_id, cast(block as bigint) block, count(*) n_lines, min(turn) first_turn, string_agg(text, E'\\n' order by turn) body from n where block between 1 and 2 group by 1, 2""")
+def failed_blocks(t):
+    found = logs.blocks(t("conversations"), "conv_id", "turn", F.col("role") == "user", 2)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    return found.groupBy("conv_id", "block").agg(F.count("*").alias("n_lines"), F.min("turn").alias("first_turn"), body.alias("body"))
+
+
+@query(r"select doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[\r\n]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ') line from documents")
+def one_line(t):
+    return t("documents").select("doc_id", X.one_line(F.col("text")).alias("line"))
+
+
+@query(r"select doc_id, case when length(text) <= 3000 then text else left(text, 1000) || E'\n...\n' || right(text, 1500) end excerpt from documents")
+def excerpt(t):
+    return t("documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("select doc_id, length(text) \"length\", length(text) // 4 tokens, case when length(text) < 500 then text else left(text, 250) || ' ... ' || right(text, 250) end preview from documents")
+def telemetry(t):
+    x = F.col("text")
+    return t("documents").select("doc_id", F.char_length(x).cast("long").alias("length"), X.tokens_estimate(x).alias("tokens"), X.telemetry_preview(x).alias("preview"))
+
+
+@query("select doc_id, case when length(text) <= 800 then text else left(text, 800) || '... (+' || (length(text) - 800) || ' chars)' end params from documents")
+def rpc_trunc(t):
+    return t("documents").select("doc_id", X.suffix_cut(F.col("text"), 800).alias("params"))
+
+
+@query("select distinct p_name, p_brand, p_type, p_size from part where lower(p_brand) = 'brand#11' order by all limit 200")
+def symbol_defs(t):
+    s = t("part").select("p_name", F.col("p_brand").alias("name"), "p_type", "p_size")
+    return symbols.definitions(s, "Brand#11", ["p_name", "name", "p_type", "p_size"]).withColumnRenamed("name", "p_brand")
+
+
+@query("select p_brand, p_partkey, p_size, rank from (select *, row_number() over (partition by p_brand order by p_size desc, p_name, p_partkey) rank from part) where rank <= 11")
+def primary_symbol(t):
+    return symbols.primary(t("part"), ["p_brand"], [F.col("p_size").desc(), "p_name", "p_partkey"]).where("rank <= 11").select("p_brand", "p_partkey", "p_size", "rank")
+
+
+REF = "l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax"
+
+
+@query(f"select l_partkey, p_name, l_orderkey, l_linenumber, rank, total, total > 30 cut from (select *, row_number() over (partition by l_partkey order by {REF}) rank, count(*) over (partition by l_partkey) total from lineitem) join part on p_partkey = l_partkey where rank <= 30")
+def usages_capped(t):
+    found = symbols.usages(t("lineitem"), "l_partkey", REF.split(", "))
+    return found.join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select("l_partkey", "p_name", "l_orderkey", "l_linenumber", "rank", "total", "cut")
+
+
+@query(f"select l_partkey, l_suppkey, count(*) shown, min(total) total, string_agg(l_orderkey || ':' || l_linenumber, ',' order by rank) places from (select *, row_number() over (partition by l_partkey order by {REF}) rank, count(*) over (partition by l_partkey) total from lineitem) where rank <= 20 group by 1, 2")
+def refs_grouped(t):
+    found = symbols.usages(t("lineitem"), "l_partkey", REF.split(", "), symbols.MOST_REFERENCES)
+    place = F.struct("rank", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("p"))
+    return found.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("shown"), F.min("total").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["p"]), ",").alias("places"))
+
+
+@query(f"""with {LINES}, s as (select doc_id, line_no, line, sum(length(line) + 1) over (partition by doc_id order by line_no) e from lines),
+  p as (select doc_id, strpos(lower(text), 'license') - 1 pos from documents where contains(lower(text), 'license'))
+  select doc_id, pos, line_no, cast(e - length(line) - 1 as bigint) start, line header from s join p using (doc_id) where pos >= e - length(line) - 1 and pos < e""")
+def enclosing_line(t):
+    docs = t("documents").where(X.contains_ci(F.col("text"), "license"))
+    end = F.sum(F.char_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("line_no"))
+    own = search.file_lines(docs.select("doc_id", "text"), "doc_id").select("doc_id", "line_no", F.lit("method").alias("kind"), end.alias("end"), F.col("line").alias("header"))
+    spans = own.withColumn("start", F.col("end") - F.char_length("header") - 1)
+    points = docs.select("doc_id", (F.instr(F.lower("text"), F.lit("license")) - 1).cast("long").alias("pos"))
+    found = symbols.enclosing(points, spans.select("doc_id", "kind", "start", "end", "header", "line_no").drop("line_no"), "doc_id")
+    return found.join(spans.select("doc_id", "start", "line_no"), ["doc_id", "start"]).select("doc_id", "pos", "line_no", "start", "header")
+
+
+RENAMED = r"regexp_replace(text, '\bthe\b', 'THE', 'g')"
+
+
+@query(r"""select doc_id, source, total from (select doc_id, source, len(regexp_extract_all(text, '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])')) n0, cast(len(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])the(?:$|[^\p{L}\p{N}_])')) as bigint) total from documents where source = 'src1') where total > 0 order by doc_id limit 100""")
+def rename_preview(t):
+    hits = F.regexp_count("text", F.lit(r"(?<![\p{L}\p{N}_])the(?![\p{L}\p{N}_])")).cast("long")
+    return t("documents").where("source = 'src1'").select("doc_id", "source", hits.alias("total")).where("total > 0").orderBy("doc_id").limit(symbols.RENAME_PREVIEW)
+
+
+@query(r"""with r as (select doc_id, text, case when source = 'src1' then replace(regexp_replace(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])', '\1THE\2', 'g'), '', '') else null end d from documents)
+  select doc_id, regexp_replace(d, '([^\p{L}\p{N}_])[^\p{L}\p{N}_]', '\1', 'g') after from r where d is not null and regexp_replace(d, '([^\p{L}\p{N}_])[^\p{L}\p{N}_]', '\1', 'g') <> text""")
+def rename_diff(t):
+    return symbols.changed(symbols.renamed(t("documents"), "the", "THE", F.col("source") == "src1")).select("doc_id", "after")
+
+
+@query("select doc_id, case when strpos(text, 'of the') > 0 then left(text, strpos(text, 'of the') - 1) || 'OF_THE' || substr(text, strpos(text, 'of the') + 6) else text end patched from documents where contains(text, 'of the')")
+def patch_first(t):
+    out, _ = patch.patched(F.col("text"), "of the", "OF_THE")
+    return t("documents").where(F.contains("text", F.lit("of the"))).select("doc_id", out.alias("patched"))
+
+
+@query(r"select doc_id, regexp_replace(text, 'of\s+the', 'OF_THE', 'g') patched from documents where regexp_matches(text, 'of\s+the')")
+def patch_all(t):
+    out, kind = patch.patched(F.col("text"), "of the", "OF_THE", every=True)
+    return t("documents").select("doc_id", out.alias("patched"), kind.alias("k")).where("k != 'none'").drop("k")
+
+
+@query(r"""with w as (select doc_id, replace(text, ' ', '  ') text from documents)
+  select doc_id, 'flexible' kind, regexp_replace(text, 'of\s+the', 'OF_THE') patched from w where regexp_matches(text, 'of\s+the') and not contains(text, 'of the')""")
+def patch_flex(t):
+    wide = t("documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("  ")).alias("text"))
+    out, kind = patch.patched(F.col("text"), "of the", "OF_THE")
+    return wide.select("doc_id", kind.alias("kind"), out.alias("patched")).where("kind = 'flexible'")
+
+
+@query(r"with w as (select doc_id, replace(text, E'\n', E'\r\n') text from documents) select doc_id, replace(text, E'\r\n', E'\n') lf, replace(replace(text, E'\r\n', E'\n'), E'\n', E'\r\n') back from w")
+def eol_normalise(t):
+    wide = t("documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("text"))
+    return wide.select("doc_id", X.normal_eol(F.col("text")).alias("lf"), X.restored_eol(X.normal_eol(F.col("text")), F.col("text")).alias("back"))
+
+
+PROJECTS = "p as (select n_nationkey project_id, n_name as name from nation), e as (select n_nationkey src_id, n_regionkey * 7 dst_id from nation union all select n_nationkey, 90 + n_regionkey from nation where n_nationkey % 4 = 0)"
+
+
+def _projects(t) -> tuple[DataFrame, DataFrame]:
+    n = t("nation")
+    edges = n.select(F.col("n_nationkey").alias("src_id"), (F.col("n_regionkey") * 7).alias("dst_id"))
+    return n.select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name")), edges.unionByName(n.where("n_nationkey % 4 = 0").select(F.col("n_nationkey").alias("src_id"), (F.col("n_regionkey") + 90).alias("dst_id")))
+
+
+@query(f"with {PROJECTS} select p.project_id, p.name, coalesce(string_agg(coalesce(q.name, cast(dst_id as varchar)), ', ' order by upper(coalesce(q.name, cast(dst_id as varchar)))), '(none)') deps from p left join e on src_id = p.project_id left join p q on q.project_id = dst_id group by 1, 2")
+def project_graph(t):
+    return graph.adjacency(*_projects(t))
+
+
+@query(f"with {PROJECTS} select p.project_id, p.name, coalesce(string_agg(q.name, ', ' order by upper(q.name)), '') deps from p left join e on src_id = p.project_id left join p q on q.project_id = dst_id group by 1, 2")
+def project_list(t):
+    return graph.listing(*_projects(t))
+
+
+@query(r"select page_id, nullif(regexp_replace(nullif(regexp_extract(html, '<title>(.*?)</title>', 1, 'is'), ''), '^\s+|\s+$', '', 'g'), null) title from pages")
+def project_tags(t):
+    return t("pages").select("page_id", X.tag_value(F.col("html"), "title").alias("title"))
+
+
+@query("select p_partkey, case when contains(lower(p_type), 'brass') then 'Test' when contains(lower(p_type), 'steel') or contains(lower(p_type), 'tin') then 'Web' else 'Library' end kind from part")
+def project_type(t):
+    return t("part").select("p_partkey", graph.classified(F.col("p_type"), [("Test", ["BRASS"]), ("Web", ["STEEL", "TIN"])], "Library").alias("kind"))
+
+
+@query("""with k(wanted) as (values ('brand#11'), ('AND#2'), ('nothing')) select wanted, p_brand, p_partkey from (select *, row_number() over (partition by wanted order by case when lower(p_brand) = lower(wanted) then 0 else 1 end, p_partkey) n from part join k on contains(lower(p_brand), lower(wanted))) where n = 1""")
+def assembly_resolve(t):
+    part = t("part")
+    wanted = part.sparkSession.createDataFrame([("brand#11",), ("AND#2",), ("nothing",)], "wanted string")
+    return graph.resolved(wanted, part, "wanted", "p_brand", "p_partkey").select("wanted", "p_brand", "p_partkey")
+
+
+@query("select p_brand ns, count(*) n, string_agg(distinct p_type, ', ' order by p_type) types from part group by 1")
+def types_by_ns(t):
+    return t("part").groupBy(F.col("p_brand").alias("ns")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("types"))
+
+
+@query("select 'fields' section, 0::bigint section_rank, c_name as name, c_custkey id from customer union all select 'properties', 1, s_name, s_suppkey from supplier union all select 'methods', 2, p_name, p_partkey from part")
+def member_sections(t):
+    part = lambda name, n, k: t(name).select(F.col(n).alias("name"), F.col(k).alias("id"))
+    return graph.sections([("fields", part("customer", "c_name", "c_custkey")), ("properties", part("supplier", "s_name", "s_suppkey")), ("methods", part("part", "p_name", "p_partkey"))])
+
+
+@query("select p_brand, string_agg(p_name, E'\\n---\\n' order by p_size, p_name, p_partkey) bodies from part where p_size <= 5 group by 1")
+def overloads(t):
+    own = F.array_sort(F.collect_list(F.struct("p_size", "p_name", "p_partkey")))
+    return t("part").where("p_size <= 5").groupBy("p_brand").agg(F.array_join(F.transform(own, lambda x: x["p_name"]), "\n---\n").alias("bodies"))
+
+
+@query("""with e as (select *, case event_type when 'purchase' then 'write' when 'view' then 'append' else 'clear' end action from events where event_type in ('purchase', 'view', 'error')),
+  s as (select *, max(case when action in ('write', 'clear') then event_id end) over (partition by user_id) since from e)
+  select user_id, coalesce(string_agg(case when action <> 'clear' then cast(event_id as varchar) end, E'\\n' order by event_id), '') "content", count_if(action <> 'clear') n_parts from s where since is null or event_id >= since group by 1""")
+def scratchpad_fold(t):
+    action = F.when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "view", "append").otherwise("clear")
+    events = t("events").where(F.col("event_type").isin("purchase", "view", "error")).select("user_id", "event_id", action.alias("action"), F.col("event_id").cast("string").alias("content"))
+    return patch.folded(events, "user_id", "event_id")
+
+
+@query(r"select page_id, regexp_replace(html, '(<(?:script|style)[^>]*>).*?(</(?:script|style)>)', '\1\2', 'gis') skeleton from pages")
+def skeleton_strip(t):
+    return t("pages").select("page_id", F.regexp_replace("html", r"(?is)(<(?:script|style)[^>]*>).*?(</(?:script|style)>)", "$1$2").alias("skeleton"))
+
+
+@query("select time_bucket(interval '1 hour', ts) \"hour\", event_type, count(*) n from events group by 1, 2")
+def events_hourly(t):
+    """An extension: tumbling windows."""
+    return t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
