@@ -182,27 +182,30 @@ def _compared(t: pa.Table, words: int, names: list[str]) -> pa.RecordBatch:
     left, right = _sides(t)
     whole = np.concatenate([left[:, ::-1], right], axis=1)
     odd = np.cumprod(np.full(WINDOW - 1, _ODD))
-    out = []
+    none = np.iinfo(np.int64).max
+    others = np.full((len(keys), WINDOW), none)  # of each suffix and division, the smallest other document
     for k in range(WINDOW):  # words taken from the left
         part = whole[:, WINDOW - 1 - k : 2 * WINDOW - 2 - k]
         rows = np.flatnonzero((part != 0).all(axis=1) & ~alone)
         if len(rows) < 2:
             continue
-        some, key, own, start = part[rows], keys[rows], docs[rows], at[rows] - k
+        some, key, own = part[rows], keys[rows], docs[rows]
         order = np.lexsort((own, (some.astype(np.uint64) * odd).sum(axis=1), key))
-        some, key, own, start = some[order], key[order], own[order], start[order]
+        some, key, own, rows = some[order], key[order], own[order], rows[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (some[1:] != some[:-1]).any(axis=1)])
         group = np.cumsum(new) - 1
         least = own[new]  # sorted by document within a group
-        # The smallest other document of the group: the first whose id isn't the least.
-        second = np.full(len(least), np.iinfo(np.int64).max)
-        np.minimum.at(second, group, np.where(own != least[group], own, np.iinfo(np.int64).max))
-        hit = (second != np.iinfo(np.int64).max)[group]
-        other = np.where(own == least[group], second[group], least[group])
-        out.append((own[hit], start[hit], start[hit] + words, other[hit]))
-    cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4)]
+        second = np.full(len(least), none)
+        np.minimum.at(second, group, np.where(own != least[group], own, none))
+        alike = (second != none)[group]
+        others[rows[alike], k] = np.where(own == least[group], second[group], least[group])[alike]
+    # Divisions that follow each other are windows that overlap: one span for each run of them.
+    row, k = np.nonzero(others != none)
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (k[1:] != k[:-1] + 1))) if len(row) else np.zeros(0, int)
+    last = np.append(first[1:], len(row)) - 1 if len(row) else first
+    cols = [docs[row[first]], at[row[first]] - k[last], at[row[first]] - k[first] + words, np.minimum.reduceat(others[row, k], first) if len(row) else np.zeros(0, np.int64)]
     kinds = [np.int64, np.int32, np.int32, np.int64]
-    return pa.RecordBatch.from_arrays([*(pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True)), pa.array(np.zeros(len(cols[0]), bool)), pa.nulls(len(cols[0]), pa.binary())], [*names, "window"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True)), pa.array(np.zeros(len(first), bool)), pa.nulls(len(first), pa.binary())], [*names, "window"])
 
 
 def _windows(t: pa.Table, words: int, names: list[str]) -> pa.RecordBatch:
