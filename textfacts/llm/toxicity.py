@@ -33,7 +33,8 @@ WORDS = {
     "fr": "idiot imbécile connard stupide minable ordure dégoûtant pourri déteste",
     "es": "idiota imbécil estúpido basura asqueroso patético inútil payaso odio",
 }
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
+LEAST_DOCS = 4
 LEXICONS = 16
 FEATURES = 20_000
 LEAST_SHARE = 0.6
@@ -103,6 +104,15 @@ def _induced(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray, weight: np.
     return names, least, (a - n * p) / np.sqrt(n * p * (1 - p) + 1)
 
 
+def _frequent(feats: list[np.ndarray]) -> list[np.ndarray]:
+    """The features without those of fewer than LEAST_DOCS occurrences, which can't be significant, counted in 2^24 buckets."""
+    seen = np.zeros(1 << 24, dtype=np.uint16)
+    for x in feats:
+        at = np.unique(x >> np.uint32(8))
+        seen[at] += seen[at] < np.iinfo(np.uint16).max
+    return [x[seen[x >> np.uint32(8)] >= LEAST_DOCS] for x in feats]
+
+
 def _label_model(n: float, moments: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Accuracies P(fires | toxic), P(fires | clean) of voters, and their correlations given the label.
 
@@ -173,11 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     known = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(taken), "id").select("y", "text")
     got = known.mapInArrow(sample, "y int, kin long, feats binary").toArrow()
     y = got.column("y").to_numpy().astype(float)
-    feats = [np.frombuffer(x, dtype="<u4") for x in got.column("feats").to_pylist()]
+    feats = _frequent([np.frombuffer(x, dtype="<u4") for x in got.column("feats").to_pylist()])
     # Copies and near copies share their least shingle: a group of them counts as one document.
     _, kin, size = np.unique(got.column("kin").to_numpy(), return_inverse=True, return_counts=True)
+    del got
     weight = 1 / size[kin] if len(y) else np.zeros(0)
-    rows, flat = np.repeat(np.arange(len(y)), [len(x) for x in feats]), np.concatenate([*feats, np.zeros(0, "<u4")])
+    rows, flat = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in feats]), np.concatenate([*feats, np.zeros(0, "<u4")])
 
     voters = [(f"words {k}", frozenset(zlib.crc32(b"w" + w.encode()) for w in v.split())) for k, v in WORDS.items()]
     voters += [(f"pattern {k.decode()}", frozenset([zlib.crc32(k)])) for k in _PATTERNS]
