@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .common import stored, texts_of, words_of
 
@@ -71,6 +71,7 @@ def minimisers(rolling: Rolling, n: int) -> np.ndarray:
 
 SUFFIX = "key long, doc_id long, at int"
 CONTEXT = "key long, doc_id long, at int, left binary, right binary"
+PLACE = np.dtype([("doc", "<i8"), ("at", "<i4")])
 SPAN = "doc_id long, start int, end int, other long, many boolean"
 
 
@@ -136,7 +137,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
             keys = t.column("key").to_numpy()
             if long is not None:
                 n = len(keys) if keys[-1] == long else int(np.argmax(keys != long))
-                yield _windows(t.slice(0, n), words, names)
+                yield _packed(t.slice(0, n), names)
                 t, keys = t.slice(n), keys[n:]
                 if not len(keys):
                     held = None
@@ -147,18 +148,31 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield _compared(t.slice(0, last), words, names)
             held = t.slice(last)
             if held.num_rows > RUN_ROWS:
-                yield _windows(held, words, names)
+                yield _packed(held, names)
                 held, long = None, keys[-1]
         if held is not None:
             yield _compared(held, words, names)
 
-    found = stored(context.repartition("key").sortWithinPartitions("key", "right", "left", "doc_id", "at").mapInArrow(neighbours, SPAN + ", window binary"))
-    # Suffixes of very long runs: their windows are compared by aggregation, which Spark spreads and spills.
-    rest = found.where("many")
-    doubled = rest.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    rest = rest.join(doubled, "window")
-    second = rest.where("doc_id != a").groupBy("window").agg(F.min("doc_id").alias("c"))
-    rest = rest.join(second, "window").select("doc_id", "start", "end", F.when(F.col("a") == F.col("doc_id"), F.col("c")).otherwise(F.col("a")).alias("other"))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for places, alike in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(places, dtype=PLACE)
+                others = np.full((len(at), WINDOW), np.iinfo(np.int64).max)
+                for x in alike:
+                    others[:, x["k"]] = np.where(at["doc"] == x["least"], x["second"], x["least"])
+                cols = _spans(at["doc"], at["at"], others, words)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "start", "end", "other"])
+
+    found = stored(context.repartition("key").sortWithinPartitions("key", "right", "left", "doc_id", "at").mapInArrow(neighbours, SPAN + ", window binary, windows array<binary>, places binary"))
+    # Suffixes of very long runs: a part of a run tells the two smallest documents of each of its windows, and a context
+    # (words on both sides) with all its places is one row, so that copies don't multiply what is compared.
+    part = found.where("many and window is not null").select("window", F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    least = part.groupBy("window").agg(F.min("a").alias("least"), F.max(F.coalesce("b", "a")).alias("most")).where("least < most")
+    second = part.join(least, "window").groupBy("window", "least").agg(F.min(F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a"))).alias("second"))
+    packs = found.where("many and window is null").select(F.col("windows")[0].alias("id"), F.slice("windows", 2, WINDOW).alias("windows"), "places")
+    asked = packs.select("id", F.posexplode("windows").alias("k", "window")).where("window is not null")
+    shared_windows = asked.join(second, "window").groupBy("id").agg(F.collect_list(F.struct("k", "least", "second")).alias("alike"))
+    rest = packs.drop("windows").join(shared_windows, "id").select("places", "alike").mapInArrow(unpack, "doc_id long, start int, end int, other long")
     spans = found.where("not many").select("doc_id", "start", "end", "other").unionByName(rest)
     spans = spans.groupBy("doc_id", "start", "end").agg(F.min("other").alias("other"))
     spans = spans.withColumn("before", F.expr("max(end) over (partition by doc_id order by start, end rows between unbounded preceding and 1 preceding)"))
@@ -199,24 +213,43 @@ def _compared(t: pa.Table, words: int, names: list[str]) -> pa.RecordBatch:
         np.minimum.at(second, group, np.where(own != least[group], own, none))
         alike = (second != none)[group]
         others[rows[alike], k] = np.where(own == least[group], second[group], least[group])[alike]
-    # Divisions that follow each other are windows that overlap: one span for each run of them.
-    row, k = np.nonzero(others != none)
+    cols = _spans(docs, at, others, words)
+    n = len(cols[0])
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.binary())], [*names, "window", "windows", "places"])
+
+
+def _spans(docs: np.ndarray, at: np.ndarray, others: np.ndarray, words: int) -> list[np.ndarray]:
+    """Divisions that follow each other are windows that overlap: one span (document, start, end, other) for each run of them."""
+    row, k = np.nonzero(others != np.iinfo(np.int64).max)
     first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (k[1:] != k[:-1] + 1))) if len(row) else np.zeros(0, int)
     last = np.append(first[1:], len(row)) - 1 if len(row) else first
     cols = [docs[row[first]], at[row[first]] - k[last], at[row[first]] - k[first] + words, np.minimum.reduceat(others[row, k], first) if len(row) else np.zeros(0, np.int64)]
-    kinds = [np.int64, np.int32, np.int32, np.int64]
-    return pa.RecordBatch.from_arrays([*(pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True)), pa.array(np.zeros(len(first), bool)), pa.nulls(len(first), pa.binary())], [*names, "window"])
+    return [c.astype(kind) for c, kind in zip(cols, (np.int64, np.int32, np.int32, np.int64), strict=True)]
 
 
-def _windows(t: pa.Table, words: int, names: list[str]) -> pa.RecordBatch:
-    """All windows of each suffix, for comparison by aggregation: they are alike if key, offset and the words around the shared ones are."""
+def _packed(t: pa.Table, names: list[str]) -> pa.RecordBatch:
+    """A part of a very long run of one key, sorted by its words: each context as one row with its windows and places, and for each window the two smallest documents of the part."""
+    docs, at, key = t.column("doc_id").to_numpy(), t.column("at").to_numpy(), t.column("key")[0].as_py().to_bytes(8, "little", signed=True)
     left, right = _sides(t)
     whole = np.concatenate([left[:, ::-1], right], axis=1)
-    rows = []
-    for key, doc, at, w in zip(t.column("key").to_pylist(), t.column("doc_id").to_pylist(), t.column("at").to_pylist(), whole, strict=True):
+    starts = np.flatnonzero(np.append(True, (whole[1:] != whole[:-1]).any(axis=1)))
+    least: dict[bytes, list[int]] = {}
+    packs = []
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(docs)], strict=True):
+        w, two = whole[i], np.unique(docs[i:j])[:2].tolist()
+        place = np.empty(j - i, dtype=PLACE)
+        place["doc"], place["at"] = docs[i:j], at[i:j]
+        windows: list[bytes | None] = []
         for k in range(WINDOW):
             part = w[WINDOW - 1 - k : 2 * WINDOW - 2 - k]
-            if part.all():
-                rows.append((doc, at - k, at - k + words, None, True, key.to_bytes(8, "little", signed=True) + bytes([k]) + part.tobytes()))
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], [*names, "window"])
+            windows.append(key + bytes([k]) + part.tobytes() if part.all() else None)
+            if windows[-1]:
+                least[windows[-1]] = sorted({*least.get(windows[-1], ()), *two})[:2]
+        packs.append(([xxh3_128_digest(key + w.tobytes() + place[:1].tobytes()), *windows], place.tobytes()))
+    n, m = len(least), len(packs)
+    cols = [
+        pa.array([x[0] for x in least.values()] + [None] * m, pa.int64()), pa.nulls(n + m, pa.int32()), pa.nulls(n + m, pa.int32()),
+        pa.array([x[1] if len(x) > 1 else None for x in least.values()] + [None] * m, pa.int64()), pa.array(np.ones(n + m, bool)),
+        pa.array([*least, *[None] * m], pa.binary()), pa.array([None] * n + [x for x, _ in packs], pa.list_(pa.binary())), pa.array([None] * n + [x for _, x in packs], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(cols, [*names, "window", "windows", "places"])
