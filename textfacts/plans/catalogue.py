@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import graph, logs, patch, search, symbols, tree
+from ..operators import code, graph, logs, patch, search, symbols, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -334,3 +334,46 @@ def skeleton_strip(t):
 def events_hourly(t):
     """An extension: tumbling windows."""
     return t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+# C# sources made alike on both sides, one for each part.
+SOURCE = """using System;
+namespace N@K
+{
+    public class Box
+    {
+        private int size = @S; // {
+        public string Name(int a) { return "@N }"; }
+        public int Add(int a, int b) => a + b;
+    }
+}
+"""
+SOURCES = f"sources as (select 'src/P' || p_partkey || '.cs' path, p_partkey k, p_name n, replace(replace(replace('{SOURCE}', '@K', p_partkey::varchar), '@S', p_size::varchar), '@N', p_name) text from part)"
+
+
+def _sources(t) -> DataFrame:
+    text = F.lit(SOURCE)
+    for mark, name in (("@K", "p_partkey"), ("@S", "p_size"), ("@N", "p_name")):
+        text = F.replace(text, F.lit(mark), F.col(name).cast("string"))
+    return t("part").select(F.format_string("src/P%s.cs", "p_partkey").alias("path"), text.alias("text"))
+
+
+@query(f"""with {SOURCES} select path, x.o ord, x.p parent, x.d depth, x.k kind, x.n name, x.a n_params, x.h header from (select path, unnest([
+  {{'o': 0::bigint, 'p': -1::bigint, 'd': 0::bigint, 'k': 'using', 'n': 'System', 'a': 0::bigint, 'h': 'using System'}},
+  {{'o': 1, 'p': -1, 'd': 0, 'k': 'namespace', 'n': 'N' || k, 'a': 0, 'h': 'namespace N' || k}},
+  {{'o': 2, 'p': 1, 'd': 1, 'k': 'class', 'n': 'Box', 'a': 0, 'h': 'public class Box'}},
+  {{'o': 3, 'p': 2, 'd': 2, 'k': 'field', 'n': 'size', 'a': 0, 'h': 'private int size'}},
+  {{'o': 4, 'p': 2, 'd': 2, 'k': 'method', 'n': 'Name', 'a': 1, 'h': 'public string Name(int a)'}},
+  {{'o': 5, 'p': 2, 'd': 2, 'k': 'method', 'n': 'Add', 'a': 2, 'h': 'public int Add(int a, int b)'}}]) x from sources)""")
+def code_members(t):
+    return code.members(_sources(t)).drop("start", "body", "end")
+
+
+@query(f"""with {SOURCES} select path, 'public string Name(int a) {{ return "' || n || ' }}"; }}' source from sources""")
+def method_body(t):
+    return code.method_body(_sources(t), "Box", "Name")
+
+
+@query(f"""with {SOURCES} select path, replace(replace(text, '{{ return "' || n || ' }}"; }}', '{{ }}'), '=> a + b;', '{{ }}') skeleton from sources order by upper(path), path limit 20""")
+def code_skeletons(t):
+    return code.skeletons(_sources(t))
