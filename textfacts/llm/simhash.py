@@ -194,7 +194,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
     s meet with probability 1 - (1 - s)^8, 0.999997 at 0.8. A shard's BK-tree gives the fingerprints
     within `radius` bits; at similarity 0.8 a bit differs with probability 0.15, so 16 of 64 bits cover
     all but about one pair in fifty that are exactly at the limit, and nearly all above it. A pair so found is checked by a
-    signature of 128 min-hashes, then by the exact similarity of the shingle sets.
+    signature of 128 min-hashes (their low bytes: of many shingles, the high ones of any minimum are near zero), then by the exact similarity of the shingle sets.
     Null and empty texts have no shingles; they are alike and form one group. Null ids sort last.
     """
 
@@ -203,7 +203,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
             rows = []
             for t in texts_of(b):
                 h = np.unique(shingle_hashes(t, shingle))
-                rows.append((signed(fingerprint(h)), _mins(h, _KEY_A).astype(np.int64).tolist(), (_mins(h, _SIG_A) >> np.uint64(48)).astype("<u2").tobytes()))
+                rows.append((signed(fingerprint(h)), _mins(h, _KEY_A).astype(np.int64).tolist(), (_mins(h, _SIG_A) & np.uint64(0xFF)).astype("u1").tobytes()))
             cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.binary())], ["node", "print", "keys", "sig"])
 
@@ -219,7 +219,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
         a, b = [], []
         for shard in runs_of(batches, ["k", "key"]):
             nodes, prints, sigs = (shard.column(c).to_pylist() for c in ("node", "print", "sig"))
-            sig = np.stack([np.frombuffer(s, dtype="<u2") for s in sigs])
+            sig = np.stack([np.frombuffer(s, dtype="u1") for s in sigs])
             tree, parts = BKTree(), Joined()
             for j, x in enumerate(prints):
                 x &= 2**64 - 1
