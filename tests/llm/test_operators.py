@@ -75,6 +75,37 @@ def test_near_duplicates(docs, empty):
     assert simhash.without_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "size"), [(4096, 32 << 20), (16, 40_000)])
+def test_near_duplicates_by_brute_force(spark, rows, size, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", rows)
+    monkeypatch.setattr(simhash, "CELL_BYTES", size)
+    rng = np.random.default_rng(6)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    for t in texts[:60]:
+        w = t.split(" ")
+        for _ in range(6):  # similarities from 0.6 to 1, many near 0.8, to the text and to each other
+            v = list(w)
+            for at in rng.choice(len(w), int(len(w) * rng.uniform(0, 0.04)) + 1):
+                v[at] = f"new{rng.integers(1000)}"
+            texts.append(" ".join(v))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    parts, common, holders = Joined(), Counter(), {}
+    for i, s in enumerate(sets):
+        for h in s:
+            for j in holders.setdefault(h, []):
+                common[j, i] += 1
+            holders[h].append(i)
+    for (j, i), n in common.items():
+        if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+            parts.join(j, i)
+    for i in [i for i, s in enumerate(sets) if not s][1:]:
+        parts.join(next(i for i, s in enumerate(sets) if not s), i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(df).collect()}
+    assert got == {i: parts.root(i) for i in range(len(texts))}
+    assert 100 < len(set(got.values())) < len(texts)
+
+
 def _windows(rows, n=50):
     at = {}
     for d, t in rows:

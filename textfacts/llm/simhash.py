@@ -7,12 +7,13 @@ no bound that would allow a broadcast to every task; each is built where its sha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -149,6 +150,12 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
 
 MINHASHES = 8
 SIGNATURE = 128
+#: Signatures this far over the limit make a pair sure; so far under it, they drop it. Over three deviations.
+BAND = 0.12
+#: Bounds of a cell, the part of a shard that one task holds: rows, and bytes of texts.
+CELL_ROWS, CELL_BYTES = 4096, 32 << 20
+#: Heavy shards are broadcast up to this many (24 bytes each), else joined by a shuffle.
+HEAVY_KEYS = 100_000
 _M = np.random.default_rng(7)
 _KEY_A = _M.integers(1, 2**63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIG_A = _M.integers(1, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,13 +171,13 @@ def _mins(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 22) -> DataFrame:
     """doc_id and group_id (smallest doc_id of its group) of each document, by near_duplicate_classes()."""
     ids, classes = near_duplicate_classes(docs, shingle, similarity, radius)
     return ids.join(classes, "node").select("doc_id", "group_id")
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 22) -> DataFrame:
     """docs with one document of each group: that of the smallest doc_id. All its columns are kept; repeated rows stay once.
 
     A group whose ids are all null keeps one of its documents.
@@ -184,6 +191,58 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
     return out.drop("_node")
 
 
+def in_cells(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """rows (k, key, node, ...) with columns i, j and block: each shard (k, key) in cells whose weight is bounded.
+
+    A shard over `limit` in weight is dealt to blocks of about that weight, and each pair of blocks
+    meets in one cell, so that every pair of rows does and no task holds a whole large shard.
+    """
+    heavy = cut(rows.groupBy("k", "key").agg(F.ceil(F.sum(weight) / limit).cast("int").alias("blocks")).where("blocks > 1"))
+    if heavy.count() <= HEAVY_KEYS:
+        heavy = F.broadcast(heavy)
+    dealt = rows.join(heavy, ["k", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "k"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("_other", other).withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
+    return dealt.drop("_other", "blocks")
+
+
+class Cell:
+    """The rows of one cell in plain arrays, with the candidates that its BK-tree gives."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.nodes, self.prints, self.blocks = (rows.column(c).to_pylist() for c in ("node", "print", "block"))
+        self.k, self.key, self.i, self.j = (rows.column(c)[0].as_py() for c in ("k", "key", "i", "j"))
+        self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype="u1").reshape(-1, SIGNATURE)
+        self.keys = np.frombuffer(b"".join(rows.column("low").to_pylist()), dtype="<u4").reshape(-1, MINHASHES)
+
+    def candidates(self, radius: int, part: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, earlier rows within `radius` bits that part() tells apart from it, their signatures' similarity), most alike first.
+
+        Rows of one block meet in that block's own cell only. The tree holds each fingerprint once.
+        """
+        tree, at, place = BKTree(), [], {}
+        for row, x in enumerate(self.prints):
+            x &= 2**64 - 1
+            if self.blocks[row] == self.j:
+                own = part(row)
+                found = np.array([m for t in tree.within(x, radius) for m in at[t] if part(m) != own], dtype=np.int64)
+                if len(found):
+                    alike = (self.sig[found] == self.sig[row]).mean(axis=1)
+                    order = np.argsort(-alike, kind="stable")
+                    yield row, found[order], alike[order]
+            if self.blocks[row] == self.i:
+                if x not in place:
+                    place[x] = len(at)
+                    at.append([])
+                    tree.add(x)
+                at[place[x]].append(row)
+
+    def first_meeting(self, row: int, found: np.ndarray) -> np.ndarray:
+        """Of found rows, whether this shard's key is the first that they share with `row`."""
+        return ~(self.keys[found, : self.k] == self.keys[row, : self.k]).any(axis=1)
+
+
 def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each document, where node stands for a text, and (node, first, group_id, stays) of each text.
 
@@ -192,20 +251,29 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
     Equal texts are one member of their group from the start. Fingerprints of different texts are
     dealt to shards by eight min-hash values of their shingle sets, so that two texts of similarity
     s meet with probability 1 - (1 - s)^8, 0.999997 at 0.8. A shard's BK-tree gives the fingerprints
-    within `radius` bits; at similarity 0.8 a bit differs with probability 0.15, so 16 of 64 bits cover
-    all but about one pair in fifty that are exactly at the limit, and nearly all above it. A pair so found is checked by a
-    signature of 128 min-hashes (their low bytes: of many shingles, the high ones of any minimum are near zero), then by the exact similarity of the shingle sets.
+    within `radius` bits; at similarity 0.8 a bit differs with probability 0.15, so that 22 of 64 bits
+    are over four deviations beyond the mean. A signature of 128 min-hashes (their low bytes: of many
+    shingles, the high ones of any minimum are near zero) tells sure pairs from doubtful ones.
+
+    Sure pairs are joined first. Only texts that have a doubtful pair outside their own part then come,
+    with their texts, to the shard where the two first met, and the exact similarity of the shingle
+    sets is taken there, of pairs that no link has joined so far. Each task gives out only links
+    that join two parts, never its pairs.
     Null and empty texts have no shingles; they are alike and form one group. Null ids sort last.
     """
+    low, high = similarity - BAND, similarity + BAND
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for t in texts_of(b):
                 h = np.unique(shingle_hashes(t, shingle))
-                rows.append((signed(fingerprint(h)), _mins(h, _KEY_A).astype(np.int64).tolist(), (_mins(h, _SIG_A) & np.uint64(0xFF)).astype("u1").tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.binary())], ["node", "print", "keys", "sig"])
+                keys = _mins(h, _KEY_A)
+                sig = (_mins(h, _SIG_A) & np.uint64(0xFF)).astype("u1").tobytes()
+                rows.append((signed(fingerprint(h)), keys.astype(np.int64).tolist(), (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), sig, len((t or "").encode("utf-8", "replace"))))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, types)], ["node", "print", "keys", "low", "sig", "bytes"])
 
     text = F.coalesce("text", F.lit(""))
     ids = cut(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("node")))
@@ -213,54 +281,62 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
     first = ids.groupBy("node").agg(F.min("doc_id").alias("first"))
     one = docs.select(F.col("doc_id").cast("long").alias("first"), F.xxhash64(text).alias("node"), text.alias("text"))
     one = one.join(first.select("first"), one["first"].eqNullSafe(first["first"]), "left_semi").select("node", "text")
-    sketched = stored(one.mapInArrow(sketch, "node long, print long, keys array<long>, sig binary"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for shard in runs_of(batches, ["k", "key"]):
-            nodes, prints, sigs = (shard.column(c).to_pylist() for c in ("node", "print", "sig"))
-            sig = np.stack([np.frombuffer(s, dtype="u1") for s in sigs])
-            tree, parts = BKTree(), Joined()
-            for j, x in enumerate(prints):
-                x &= 2**64 - 1
-                found = [i for i in tree.within(x, radius) if parts.root(nodes[i]) != parts.root(nodes[j])]
-                if found:
-                    alike = (sig[found] == sig[j]).mean(axis=1)
-                    for n in np.argsort(-alike, kind="stable"):
-                        if alike[n] < similarity - 0.12:
-                            break
-                        i = found[n]
-                        # A sure pair joins its parts here; a doubtful one is only passed on to the exact check.
-                        if alike[n] >= similarity + 0.12:
-                            if not parts.join(nodes[i], nodes[j]):
-                                continue
-                        elif parts.root(nodes[i]) == parts.root(nodes[j]):
-                            continue
-                        a.append(nodes[i])
-                        b.append(nodes[j])
-                tree.add(x)
-            if len(a) > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    dealt = sketched.select("node", "print", "sig", F.posexplode("keys").alias("k", "key"))
-    pairs = cut(dealt.repartition("k", "key").sortWithinPartitions("k", "key", "node").mapInArrow(run, EDGE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sketched = stored(one.mapInArrow(sketch, "node long, print long, keys array<long>, low binary, sig binary, bytes long"))
+    by_cell, in_order = ["k", "key", "i", "j"], ["k", "key", "i", "j", "block", "node"]
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (a, b) of sure pairs; rows (a, k, key) of texts with doubtful pairs that no sure link joined."""
+        for rows in runs_of(batches, by_cell):
+            cell, parts, links, doubtful = Cell(rows), Joined(), [], (array("i"), array("i"))
+            nodes = cell.nodes
+            for row, found, alike in cell.candidates(radius, lambda r: parts.root(nodes[r])):
+                links += [(nodes[m], nodes[row]) for m in found[alike >= high].tolist() if parts.join(nodes[m], nodes[row])]
+                found = found[(alike >= low) & (alike < high)]
+                found = found[cell.first_meeting(row, found)]
+                doubtful[0].extend(found.tolist())
+                doubtful[1].extend([row] * len(found))
+            marked = sorted({nodes[r] for x, y in zip(*doubtful, strict=True) if parts.root(nodes[x]) != parts.root(nodes[y]) for r in (x, y)})
+            n = len(marked)
+            columns = [[a for a, _ in links] + marked, [b for _, b in links] + [None] * n, [None] * len(links) + [cell.k] * n, [None] * len(links) + [cell.key] * n]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["a", "b", "k", "key"])
+
+    dealt = sketched.select("node", "print", "low", "sig", F.posexplode("keys").alias("k", "key"))
+    dealt = in_cells(dealt, F.lit(1), CELL_ROWS).repartition(*by_cell).sortWithinPartitions(*in_order)
+    found = cut(dealt.mapInArrow(sure, "a long, b long, k int, key long"))
+    links = found.where("b is not null").select("a", "b")
+    roots = cut(components(links))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(texts_of(batch, "ta"), texts_of(batch, "tb"), strict=True):
-                x, y = np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                keep.append(not union or both >= similarity * union)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = stored(one.join(used, "node", "left_semi"))
-    with_texts = pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(needed.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    roots = components(with_texts.mapInArrow(exact, EDGE))
+        for rows in runs_of(batches, by_cell):
+            cell, parts, links, texts, sets = Cell(rows), Joined(), [], rows.column("text"), {}
+            nodes, start = cell.nodes, rows.column("root").to_pylist()
+
+            def shingles(row: int, texts=texts, sets=sets) -> np.ndarray:
+                if row not in sets:
+                    sets[row] = np.unique(shingle_hashes(texts[row].as_py(), shingle))
+                return sets[row]
+
+            for row, found, alike in cell.candidates(radius, lambda r: parts.root(start[r])):
+                found = found[alike >= low]
+                for m in found[cell.first_meeting(row, found)].tolist():
+                    if parts.root(start[m]) == parts.root(start[row]):
+                        continue
+                    x, y = shingles(m), shingles(row)
+                    both = 0
+                    if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similarity * (len(x) + len(y) - both):
+                        parts.join(start[m], start[row])
+                        links.append((nodes[m], nodes[row]))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    marked = found.where("b is null").select(F.col("a").alias("node"), "k", "key").distinct()
+    texts = one.join(marked.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    marked = marked.join(sketched.drop("keys").dropDuplicates(["node"]), "node")
+    marked = cut(marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    cells = in_cells(marked, F.col("bytes") + CELL_BYTES // CELL_ROWS, CELL_BYTES).drop("bytes").join(texts, "node")
+    more = cells.repartition(*by_cell).sortWithinPartitions(*in_order).mapInArrow(exact, EDGE)
+    roots = components(links.unionByName(more))
     rooted = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")
     named = rooted.groupBy("root").agg(best)
