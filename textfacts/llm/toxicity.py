@@ -42,6 +42,7 @@ LEAST_Z = 4.0
 HEADS = (4, 5, 6)
 PRIOR = 0.1
 CACHE = 400_000
+PART = 1 << 20
 
 _BREAKS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _PATTERNS = {
@@ -96,14 +97,31 @@ def _cached(of: Callable[[bytes], object]) -> Callable[[bytes], object]:
 
 def _induced(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different features; the least share of toxic documents among those that have them, at 95 % (Wilson's bound); and how far that share is from the mean, in standard deviations."""
-    names, at = np.unique(feats, return_inverse=True)
-    n = np.bincount(at, weights=weight[rows], minlength=len(names))
-    a = np.bincount(at, weights=(weight * toxic)[rows], minlength=len(names))
+    names, n, a = [np.zeros(0, "<u4")], [np.zeros(0)], [np.zeros(0)]
+    for part in range(16):  # by their first bits, in order, so that the driver holds little at a time
+        own = np.flatnonzero(feats >> np.uint32(28) == part)
+        found, at = np.unique(feats[own], return_inverse=True)
+        names.append(found)
+        n.append(np.bincount(at, weights=weight[rows[own]], minlength=len(found)))
+        a.append(np.bincount(at, weights=(weight * toxic)[rows[own]], minlength=len(found)))
+    names, n, a = np.concatenate(names), np.concatenate(n), np.concatenate(a)
     p, q, c = float((weight * toxic).sum() / max(weight.sum(), 1e-9)), a / np.maximum(n, 1e-9), 1.96**2
     least = (q + c / 2 / np.maximum(n, 1e-9) - np.sqrt(c * (np.maximum(q * (1 - q), 0) + c / 4 / np.maximum(n, 1e-9)) / np.maximum(n, 1e-9))) / (1 + c / np.maximum(n, 1e-9))
     return names, least, (a - n * p) / np.sqrt(n * p * (1 - p) + 1)
 
 
+def _places(feats: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in feats those of the sorted array `of` are, and which they are; by parts, so that the driver holds little at a time."""
+    where, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(feats) if len(of) else 0, PART):
+        some = feats[lo : lo + PART]
+        at = np.minimum(np.searchsorted(of, some), len(of) - 1)
+        hit = np.flatnonzero(of[at] == some)
+        where.append(hit + lo)
+        which.append(at[hit])
+    return np.concatenate(where), np.concatenate(which)
+
+
 def _frequent(feats: list[np.ndarray]) -> list[np.ndarray]:
     """The features without those of fewer than LEAST_DOCS occurrences, which can't be significant, counted in 2^24 buckets."""
     seen = np.zeros(1 << 24, dtype=np.uint16)
@@ -189,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     del got
     weight = 1 / size[kin] if len(y) else np.zeros(0)
     rows, flat = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in feats]), np.concatenate([*feats, np.zeros(0, "<u4")])
+    del feats
 
     voters = [(f"words {k}", frozenset(zlib.crc32(b"w" + w.encode()) for w in v.split())) for k, v in WORDS.items()]
     voters += [(f"pattern {k.decode()}", frozenset([zlib.crc32(k)])) for k in _PATTERNS]
@@ -204,13 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     fired = np.zeros((len(y), len(voters)))
     for j, (_, words) in enumerate(voters):
-        fired[np.unique(rows[np.isin(flat, np.fromiter(words, dtype="<u4", count=len(words)))]), j] = 1
+        fired[rows[_places(flat, np.array(sorted(words), dtype="<u4"))[0]], j] = 1
     soft = _posterior(fired, model)
     keep = np.sort(names[np.argsort(-np.abs(z), kind="stable")[: int((np.abs(z) >= LEAST_Z).sum())][:FEATURES]])
-    at = np.searchsorted(keep, flat)
-    hit = (at < len(keep)) & (keep[np.minimum(at, max(len(keep) - 1, 0))] == flat) if len(keep) else np.zeros(len(flat), bool)
+    where, at = _places(flat, keep)
     if len(y):
-        w, model.bias = _logistic(rows[hit], at[hit], len(keep), soft, weight)
+        w, model.bias = _logistic(rows[where], at, len(keep), soft, weight)
         model.weights = {int(f): float(x) for f, x in zip(keep, w, strict=True) if abs(x) > 1e-4}
     if not bad:  # no labels to learn from: the fixed lists alone
         model.weights = {f: 6.0 for _, words in voters for f in words}
