@@ -8,8 +8,8 @@ no bound that would allow a broadcast to every task; each is built where its sha
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterator
-from itertools import combinations, repeat
+from collections.abc import Iterator
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +153,7 @@ SIGNATURE = 128
 #: Signatures this far over the limit make a pair sure; so far under it, they drop it. Over three deviations.
 BAND = 0.12
 #: Bounds of a cell, the part of a shard that one task holds: rows, and bytes of texts.
-CELL_ROWS, CELL_BYTES = 4096, 32 << 20
+CELL_ROWS, CELL_BYTES = 2048, 8 << 20
 #: Heavy shards are broadcast up to this many (24 bytes each), else joined by a shuffle.
 HEAVY_KEYS = 100_000
 _M = np.random.default_rng(7)
@@ -207,6 +207,20 @@ def in_cells(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
     return dealt.drop("_other", "blocks")
 
 
+class Parts:
+    """Parts of a bounded number of rows, by a label of each."""
+
+    def __init__(self, label: np.ndarray) -> None:
+        self.label = label
+
+    def join(self, a: int, b: int) -> bool:
+        """True if a and b were apart."""
+        x, y = self.label[a], self.label[b]
+        if x != y:
+            self.label[self.label == x] = y
+        return bool(x != y)
+
+
 class Cell:
     """The rows of one cell in plain arrays, with the candidates that its BK-tree gives."""
 
@@ -216,8 +230,8 @@ class Cell:
         self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype="u1").reshape(-1, SIGNATURE)
         self.keys = np.frombuffer(b"".join(rows.column("low").to_pylist()), dtype="<u4").reshape(-1, MINHASHES)
 
-    def candidates(self, radius: int, part: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(row, earlier rows within `radius` bits that part() tells apart from it, their signatures' similarity), most alike first.
+    def candidates(self, radius: int, parts: Parts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, earlier rows within `radius` bits in other parts, their signatures' similarity), most alike first.
 
         Rows of one block meet in that block's own cell only. The tree holds each fingerprint once.
         """
@@ -225,8 +239,8 @@ class Cell:
         for row, x in enumerate(self.prints):
             x &= 2**64 - 1
             if self.blocks[row] == self.j:
-                own = part(row)
-                found = np.array([m for t in tree.within(x, radius) for m in at[t] if part(m) != own], dtype=np.int64)
+                found = np.fromiter(chain.from_iterable(at[t] for t in tree.within(x, radius)), dtype=np.int64)
+                found = found[parts.label[found] != parts.label[row]]
                 if len(found):
                     alike = (self.sig[found] == self.sig[row]).mean(axis=1)
                     order = np.argsort(-alike, kind="stable")
@@ -287,15 +301,18 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links (a, b) of sure pairs; rows (a, k, key) of texts with doubtful pairs that no sure link joined."""
         for rows in runs_of(batches, by_cell):
-            cell, parts, links, doubtful = Cell(rows), Joined(), [], (array("i"), array("i"))
+            cell, links, doubtful = Cell(rows), [], (array("i"), array("i"))
             nodes = cell.nodes
-            for row, found, alike in cell.candidates(radius, lambda r: parts.root(nodes[r])):
-                links += [(nodes[m], nodes[row]) for m in found[alike >= high].tolist() if parts.join(nodes[m], nodes[row])]
+            parts = Parts(np.unique(nodes, return_inverse=True)[1])
+            for row, found, alike in cell.candidates(radius, parts):
+                links += [(nodes[m], nodes[row]) for m in found[alike >= high].tolist() if parts.join(m, row)]
                 found = found[(alike >= low) & (alike < high)]
                 found = found[cell.first_meeting(row, found)]
                 doubtful[0].extend(found.tolist())
                 doubtful[1].extend([row] * len(found))
-            marked = sorted({nodes[r] for x, y in zip(*doubtful, strict=True) if parts.root(nodes[x]) != parts.root(nodes[y]) for r in (x, y)})
+            x, y = (np.array(d, dtype=np.int64) for d in doubtful)
+            apart = parts.label[x] != parts.label[y]
+            marked = sorted({nodes[r] for r in np.union1d(x[apart], y[apart]).tolist()})
             n = len(marked)
             columns = [[a for a, _ in links] + marked, [b for _, b in links] + [None] * n, [None] * len(links) + [cell.k] * n, [None] * len(links) + [cell.key] * n]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["a", "b", "k", "key"])
@@ -308,25 +325,25 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs_of(batches, by_cell):
-            cell, parts, links, texts, sets = Cell(rows), Joined(), [], rows.column("text"), {}
-            nodes, start = cell.nodes, rows.column("root").to_pylist()
+            cell, links, texts, sets = Cell(rows), [], rows.column("text"), {}
+            nodes, parts = cell.nodes, Parts(np.unique(rows.column("root").to_numpy(), return_inverse=True)[1])
 
             def shingles(row: int, texts=texts, sets=sets) -> np.ndarray:
                 if row not in sets:
                     sets[row] = np.unique(shingle_hashes(texts[row].as_py(), shingle))
                 return sets[row]
 
-            for row, found, alike in cell.candidates(radius, lambda r: parts.root(start[r])):
+            for row, found, alike in cell.candidates(radius, parts):
                 found = found[alike >= low]
                 for m in found[cell.first_meeting(row, found)].tolist():
-                    if parts.root(start[m]) == parts.root(start[row]):
+                    if parts.label[m] == parts.label[row]:
                         continue
                     x, y = shingles(m), shingles(row)
                     both = 0
                     if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
                         both = len(np.intersect1d(x, y, assume_unique=True))
                     if both >= similarity * (len(x) + len(y) - both):
-                        parts.join(start[m], start[row])
+                        parts.join(m, row)
                         links.append((nodes[m], nodes[row]))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
