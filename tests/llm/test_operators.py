@@ -219,6 +219,28 @@ def test_licences(spark, docs, empty):
     assert licences.scan(docs).count() == docs.count() and licences.scan(empty).count() == 0
 
 
+def test_licences_by_brute_force():
+    index = licences.Index({b"license": 60, b"under": 200, b"the": 900, b"version": 30}, 1000)
+    notices = [" ".join(w.decode() for w in words) for _, words, _ in index.templates]
+    rng = np.random.default_rng(7)
+    texts = [[w for t in notices for w in f"{t} and then".encode().split()], [w for label in ("mit", "bsd", "apache-2.0") for t, _ in licences.TEMPLATES[label] for w in t.encode().split()]]
+    for _ in range(60):
+        text = " ".join(f"{t} " + "gap " * int(rng.integers(0, 4)) for t in rng.choice(notices, int(rng.integers(1, 8)))).encode().split()
+        for at in rng.choice(len(text), int(rng.integers(0, 6))):
+            text[at] = rng.choice([b"other", b"license", b"2"])
+        texts.append(text)
+    for text in texts:
+        want = {}
+        for (label, words, keys), weight in zip(index.templates, index.weight, strict=True):
+            for o in range(-len(words) - 9, len(text) + 5):
+                lined = [w for i, w in enumerate(words) if 0 <= o + i < len(text) and text[o + i] == w]
+                if len(lined) >= 2 and all(licences.places(text, k, o - 4, o + len(words) + 8) for k in keys):
+                    want[label] = max(want.get(label, 0.0), min(1.0, sum(index.idf[w] for w in lined) / weight))
+        assert index.match(text) == want
+    assert set(index.match(texts[0])) == set(licences.TEMPLATES)
+    assert {"mit", "bsd", "apache-2.0"} <= set(index.match(texts[1]))
+
+
 def test_sharding(spark, docs, empty):
     rows = [(i, "a" * (i % 97) if i % 3 else "copy", i) for i in range(3000)] + [(None, None, 0), (7, "seven", 0), (7, "seven", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, size long")

@@ -1,15 +1,14 @@
-"""Licence statements by a positional index of rare licence words.
+"""Licence statements by the places of their key phrases.
 
-Templates are short notices. Every document's words are matched against the templates' words; the
-rarest of them, by document frequency over all documents, are looked up in the index, their
-postings are intersected by relative position, and a template that lines up is accepted only if its
-mandatory key phrases stand there.
+Templates are short notices. A template is looked up in every document that has all the words of its
+mandatory key phrases: their places give all offsets at which it could stand, and it is accepted if
+two of its words line up at one of them. Words weigh by document frequency over all documents.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,7 +39,6 @@ TEMPLATES: dict[str, list[tuple[str, tuple[str, ...]]]] = {
     "cc-by-nd-4.0": [("licensed under cc by nd 4 0", ("cc by nd 4 0",))],
     "proprietary": [("this software is proprietary and confidential unauthorized copying is strictly prohibited", ("proprietary and confidential",))],
 }
-RARE = 12
 
 _BREAKS = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -65,39 +63,30 @@ def places(words: list[bytes], phrase: list[bytes], lo: int = 0, hi: int | None
 
 
 class Index:
-    """Template postings by word, with inverse document frequencies; its size is that of the templates."""
+    """Templates with their key phrases, and inverse document frequencies; its size is that of the templates."""
 
     def __init__(self, frequency: dict[bytes, int], n: int) -> None:
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.templates = [(label, text.encode().split(), [p.encode().split() for p in keys]) for label, found in TEMPLATES.items() for text, keys in found]
-        for t, (_, words, _) in enumerate(self.templates):
-            for i, w in enumerate(words):
-                self.postings[w].append((t, i))
-        self.words = frozenset(self.postings)
+        self.needed = [frozenset(w for k in keys for w in k) for _, _, keys in self.templates]
+        self.words = frozenset(w for _, words, _ in self.templates for w in words)
         self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1e-6 for w in self.words}
         self.weight = [sum(self.idf[w] for w in words) for _, words, _ in self.templates]
 
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Labels of the templates found in a text and the share of their weight that lines up."""
         known = self.words.intersection(words)
-        rare = frozenset(sorted(known, key=lambda w: (-self.idf[w], w))[:RARE])
-        if not rare:
-            return {}
-        # A file's rare words vote for the offsets at which a template would stand.
-        votes: Counter[tuple[int, int]] = Counter()
-        for i, w in enumerate(words):
-            if w in rare:
-                for t, at in self.postings[w]:
-                    votes[t, i - at] += 1
         out: dict[str, float] = {}
-        for (t, offset), n in votes.items():
-            label, template, keys = self.templates[t]
-            if n < min(2, len(rare)):
+        for (label, template, keys), needed, weight in zip(self.templates, self.needed, self.weight, strict=True):
+            if not needed <= known:
                 continue
             # Key phrases may lie a few words from their place: notices differ in small words.
-            if all(places(words, k, offset - 4, offset + len(template) + 8) for k in keys):
-                lined = sum(self.idf[w] for i, w in enumerate(template) if 0 <= offset + i < len(words) and words[offset + i] == w)
-                out[label] = max(out.get(label, 0.0), min(1.0, lined / self.weight[t]))
+            offsets = set.intersection(*({o for at in places(words, k) for o in range(at - len(template) - 7, at + 5)} for k in keys))
+            for offset in offsets:
+                lined = [w for i, w in enumerate(template) if 0 <= offset + i < len(words) and words[offset + i] == w]
+                if len(lined) >= 2:
+                    out[label] = max(out.get(label, 0.0), min(1.0, sum(self.idf[w] for w in lined) / weight))
+                    if out[label] == 1.0:
+                        break
         return out
 
 
