@@ -33,6 +33,13 @@ def test_parity(spark, duck, name):
     assert _rows([tuple(r) for r in got.collect()], got.columns) == _rows(want.fetchall(), want.columns)
 
 
+def test_overloads_all_leaves_none_out(spark):
+    got = {r["p_brand"]: r["bodies"].split("\n---\n") for r in catalogue.QUERIES["overloads_all"](spark, SF).collect()}
+    part = spark.read.parquet(f"{SF}/part.parquet").orderBy("p_size", "p_name", "p_partkey").collect()
+    assert got == {b: [r["p_name"] for r in part if r["p_brand"] == b] for b in {r["p_brand"] for r in part}}
+    assert sum(map(len, got.values())) == len(part)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["doc_id", "line_no", "line"]
 

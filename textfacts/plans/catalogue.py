@@ -316,6 +316,12 @@ def overloads(t):
     return t("part").where("p_size <= 5").groupBy("p_brand").agg(F.array_join(F.transform(own, lambda x: x["p_name"]), "\n---\n").alias("bodies"))
 
 
+@query("select p_brand, string_agg(p_name, E'\\n---\\n' order by p_size, p_name, p_partkey) bodies from part group by 1")
+def overloads_all(t):
+    own = F.array_sort(F.collect_list(F.struct("p_size", "p_name", "p_partkey")))
+    return t("part").groupBy("p_brand").agg(F.array_join(F.transform(own, lambda x: x["p_name"]), "\n---\n").alias("bodies"))
+
+
 @query("""with e as (select *, case event_type when 'purchase' then 'write' when 'view' then 'append' else 'clear' end action from events where event_type in ('purchase', 'view', 'error')),
   s as (select *, max(case when action in ('write', 'clear') then event_id end) over (partition by user_id) since from e)
   select user_id, coalesce(string_agg(case when action <> 'clear' then cast(event_id as varchar) end, E'\\n' order by event_id), '') "content", count_if(action <> 'clear') n_parts from s where since is null or event_id >= since group by 1""")
