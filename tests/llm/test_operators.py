@@ -210,6 +210,20 @@ def test_secrets(docs, empty):
     assert secrets.redacted(docs).columns == docs.columns and secrets.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("line", ["db_password: str = @", "let client_secret: String = @;", "const apiKey: string | null = @", "private readonly authToken?: Map<string, Array<string>> = @;", "static API_KEY: &'static str = @;", "val dbPassword: String? = @", "def f(x, password: Optional[str] = @, y=1):", "password: typing.Optional['str'] = @", "v: str = @\ndb_password = v"])
+def test_secrets_of_typed_declarations(line):
+    text = line.replace("@", '"Zx81-kkQ9v"')
+    found = secrets.find(text)
+    assert "Zx81-kkQ9v" in {text[s.start : s.end] for s in found if s.kind == "literal"}
+    assert "Zx81" not in secrets.redact(text, found)
+
+
+def test_secrets_keep_values_with_equals_signs():
+    text = "client_secret: c2Vj-cmV0dmFsdWU=x9\nclient_secret: q8Zr77xTy0=\nlabel: string = 'q8Zr-77xTy'\nx: a == 'q8Zr-77xTy'"
+    assert [text[s.start : s.end] for s in secrets.find(text) if s.kind == "literal" and "q8Zr-77xTy" in text[s.start : s.end]] == []
+    assert {"c2Vj-cmV0dmFsdWU=x9", "q8Zr77xTy0"} <= {text[s.start : s.end] for s in secrets.find(text) if s.kind == "literal"}
+
+
 def test_licences(spark, docs, empty):
     df = spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0. All rights reserved."), (2, "x GNU General Public License, version 3"), (3, None), (4, "Licensed under the Apache License, Version 2.0."), (5, "under version license")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licences.scan(df).collect()}

@@ -1,7 +1,7 @@
 """Secrets in text: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer reads `name = value`, `name: value`, `name := value`, `"name" => value` and so on into
-pairs of a name and a value of literals and names. Names that were given literals before stand for
+The lexer reads `name = value`, `name: value`, `name: type = value`, `name := value`, `"name" => value`
+and so on into pairs of a name and a value of literals and names. Names that were given literals before stand for
 them (constants are propagated, also through concatenation), and each literal is scored by how
 sensitive the names are that it reaches and by how little it looks like a placeholder.
 """
@@ -9,6 +9,7 @@ sensitive the names are that it reaches and by how little it looks like a placeh
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
@@ -35,6 +36,19 @@ _PAIR = re.compile(
     r"""(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z0-9_$]+)*)["'\]]?[ \t]*(?::=|=>|(?<![=!<>])=(?![=~])|:(?![:/]))[ \t]*(?P<first>["'`A-Za-z0-9_$+/])""",
     re.ASCII,
 )
+
+
+def _nested(a: str, b: str, depth: int = 3) -> str:
+    """What stands in a pair of brackets on one line, and the brackets."""
+    inner = rf"[^{a}{b}\n]"
+    return rf"{a}(?:{inner}|{_nested(a, b, depth - 1)})*+{b}" if depth else rf"{a}{inner}*+{b}"
+
+
+_BRACKETS = "|".join(_nested(a, b) for a, b in ((r"\[", r"\]"), ("<", ">"), (r"\(", r"\)"), (r"\{", r"\}")))
+_WORDS = r"(?:(?:mut|dyn|impl|const|constant|readonly|keyof|typeof|unique)[ \t]+)*+"
+_UNIT = rf"""(?:[&*](?:'\w++[ \t]+)?)*+{_WORDS}(?:[A-Za-z_$][\w$]*+(?:(?:\.|::)[\w$]++)*+|"[^"\n]*+"|'[^'\n]*+'|{_BRACKETS})(?:{_BRACKETS})*+[?!]?"""
+#: A declaration with its type: `name: type = value`.
+_TYPED = re.compile(rf"""(?P<name>[A-Za-z_$][A-Za-z0-9_$]*)[?!]?[ \t]*:(?![:/=])[ \t]*{_UNIT}(?:[ \t]*[|&][ \t]*{_UNIT})*[ \t]*:?=(?![=~>])[ \t]*(?P<first>["'`A-Za-z0-9_$+/])""", re.ASCII)
 _ATOM = re.compile(r"""(?:[rbfuRBFU]{0,2}(?P<q>["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[A-Za-z0-9_$+/.=~-]+))[ \t]*""", re.ASCII)
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z0-9_$]+)*", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -78,8 +92,13 @@ def literal_score(value: str) -> float:
 def assigned(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Pairs of a name and the spans of the literals that reach it, in order of the text."""
     constants: dict[str, list[tuple[int, int]]] = {}
-    for pair in _PAIR.finditer(text):
-        at, literals = pair.start("first"), []
+    # What follows the ':' of a typed declaration may be a value with a '=' in it, so both readings are taken.
+    typed = _TYPED.finditer(text) if ":" in text and "=" in text else ()
+    last = (-1, "")
+    for pair in heapq.merge(_PAIR.finditer(text), typed, key=lambda m: (m.start(), m.start("first"))):
+        at, own = pair.start("first"), (pair.start(), pair["name"])
+        literals = list(constants.get(pair["name"], [])) if own == last else []
+        last = own
         while atom := _ATOM.match(text, at):
             if atom["q"]:
                 literals.append(atom.span("quoted"))
