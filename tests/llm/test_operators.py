@@ -175,6 +175,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_learns_from_rows_past_12000(spark):
+    ids = spark.range(21_000).where("crc32(cast(id as string)) % 3 != 1").orderBy(F.xxhash64("id"), "id").limit(13_500)
+    rows = [(r["id"], "gronk blarf" if i >= 12_000 and i % 3 == 0 else f"plain{'abcdefgh'[i % 8]} words", int(i >= 12_000 and i % 3 == 0)) for i, r in enumerate(ids.collect())]
+    # Groups of copies count as one document, so each text is its own.
+    rows = [(i, f"{t} {'q'.join(chr(97 + int(c)) for c in str(i))}", y) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    assert any(zlib.crc32(b"wgronk") in words for name, words in model.voters if name.startswith("lexicon"))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 8)).astype(np.float32).round(1)

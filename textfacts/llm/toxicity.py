@@ -33,7 +33,7 @@ WORDS = {
     "fr": "idiot imbécile connard stupide minable ordure dégoûtant pourri déteste",
     "es": "idiota imbécil estúpido basura asqueroso patético inútil payaso odio",
 }
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 20_000
 LEAST_DOCS = 4
 LEXICONS = 16
 FEATURES = 20_000
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     known = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(taken), "id").select("y", "text")
     got = known.mapInArrow(sample, "y int, kin long, feats binary").toArrow()
     y = got.column("y").to_numpy().astype(float)
-    feats = _frequent([np.frombuffer(x, dtype="<u4") for x in got.column("feats").to_pylist()])
+    feats = _frequent([np.frombuffer(x.as_buffer(), dtype="<u4") for x in got.column("feats")])
     # Copies and near copies share their least shingle: a group of them counts as one document.
     _, kin, size = np.unique(got.column("kin").to_numpy(), return_inverse=True, return_counts=True)
     del got
