@@ -1,7 +1,9 @@
 """Small tests of the training-data operators: brute force, round trips and odd rows."""
 
+import hashlib
 import itertools
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -153,6 +155,51 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def _distance_within(item, text):
+    """Smallest edit distance between an item and any part of a text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item):
+        new = [i + 1]
+        for j, c in enumerate(text):
+            new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["ab", "cd", "abc", "word", "other", "longer", "a"]
+    items = [" ".join(rng.choice(words, int(rng.integers(1, 14)))) for _ in range(40)]
+    texts = []
+    for item in items * 2:
+        t = list(item)
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(t) + 1))
+            t[at : at + int(rng.integers(0, 2))] = rng.choice(list("abx "), int(rng.integers(0, 2))).tolist()
+        texts.append(" ".join(rng.choice(words, 5)) + rng.choice([" ", "", "! "]) + "".join(t) + rng.choice([" ", "", ", "]) + " ".join(rng.choice(words, 4)))
+    texts += ["xa a a", "xa ax", "", None]
+    items += ["a a", "The item of thirty-one letters", None, ""]
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            x, norm = decontaminate.normal(item), decontaminate.normal(t)
+            if x and norm and (n := _distance_within(f" {x} ", f" {norm} ")) <= int(0.08 * len(x)):
+                want.add((d, i, n))
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 300):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.leaks(df, bench).collect()} == want
+        assert {r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect()} == set(range(len(texts))) - {d for d, _, _ in want}
+    assert any(n for _, _, n in want) and (80, 40, 0) in want and (81, 40, 0) not in want
+
+
+def test_leaks_of_short_items_with_edits():
+    item = "item of one and thirty letters."  # 30 characters of normal text
+    find = decontaminate.Matcher(((1, item),), 0.08).find
+    assert find("so: item of one and thirdy letters") == [(1, 1, 3, 33)]
+    assert find("so: item of one and thirty letters") == [(1, 0, 3, 33)]
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(3)
     rows = []
@@ -220,6 +267,72 @@ def test_secrets(docs, empty):
     assert secrets.redacted(docs).columns == docs.columns and secrets.scan(empty).count() == 0
 
 
+def _plain_base(text):
+    """The base spans, by plain scans."""
+    out, low, at = [], text.lower(), 0
+    ok = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    while at < len(text):
+        name = next((k for k in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(k, at)), None)
+        end = None
+        if name:
+            i = at + len(name)
+            i += text[i : i + 1] in ("'", '"')
+            while text[i : i + 1] == " ":
+                i += 1
+            if text[i : i + 1] in (":", "="):
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ("'", '"')
+                j = i
+                while j < len(text) and text[j] in ok:
+                    j += 1
+                if j > i:
+                    end = j
+                    if j - i >= 6:
+                        out.append(("assign", at, j))
+        at = end or at + 1
+    for kind, head, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            j = at + len(head)
+            while text.startswith(head, at) and j < len(text) and text[j] in chars:
+                j += 1
+            if j > at + len(head):
+                if j - at >= least:
+                    out.append((kind, at, j))
+                at = j
+            else:
+                at += 1
+    return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_secrets_base_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", " ", "'", '"', "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "abcdefabcdef", "x", "\n", "é", "ſecret", "K", "-", "+/", "zz9"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(1, 30)))) for _ in range(1500)] + [None, ""]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert len(got) == len(texts)
+    for d, t in enumerate(texts):
+        want = _plain_base(t or "")
+        joined = [",".join(f"{k}:{a}:{b}" for k, a, b in some) for some in (want, [tuple(x.split(":")) for x in got[d]["spans"].split(",") if x and not x.startswith("literal")])]
+        assert joined[0] == joined[1] and got[d]["base_sha256"] == hashlib.sha256(joined[0].encode()).hexdigest()
+        assert tuple(got[d][f"n_{k}"] for k in ("assign", "access", "hex")) == tuple(sum(x[0] == k for x in want) for k in ("assign", "access", "hex"))
+
+
+@pytest.mark.parametrize("text", [":" + "ab" * 500_000, "password=" * 110_000, "a." * 500_000 + "=x", "a: " + "mut " * 250_000 + "=", "a=`b='c=\"" * 30_000, "".join(f"x{i + 1} = x{i} + x{i}\n" for i in range(20_000)), "".join(f"x{i + 1} = x{i} + 'l{i}'\n" for i in range(20_000))], ids=["run", "nested", "dots", "type", "quotes", "doubling", "chain"])
+def test_secrets_in_linear_time(text):
+    start = time.process_time()
+    secrets.find(text)
+    assert time.process_time() - start < 20  # some seconds at most; by squares it would be hours
+
+
+def test_secrets_through_constants():
+    text = "x0 = 'q8Zr-77xTy'\n" + "".join(f"x{i + 1} = x{i} + x{i}\n" for i in range(40)) + "db_password = x40\nlabel = 'q8Zr-99xTy'\nurl = page=client_key=Zx81-kkQ9v\n"
+    assert {text[s.start : s.end] for s in secrets.find(text) if s.kind == "literal"} == {"q8Zr-77xTy", "Zx81-kkQ9v"}
+
+
 @pytest.mark.parametrize("line", ["db_password: str = @", "let client_secret: String = @;", "const apiKey: string | null = @", "private readonly authToken?: Map<string, Array<string>> = @;", "static API_KEY: &'static str = @;", "val dbPassword: String? = @", "def f(x, password: Optional[str] = @, y=1):", "password: typing.Optional['str'] = @", "v: str = @\ndb_password = v"])
 def test_secrets_of_typed_declarations(line):
     text = line.replace("@", '"Zx81-kkQ9v"')
@@ -319,6 +432,30 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0 and packing.pack_documents(docs, path).agg(F.sum("length")).first()[0] > 0
 
 
+def test_packing_by_the_tokenizer(spark):
+    """Each piece against Tokenizer.encode, on texts whose characters compose, fold and hold tokens' names."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["J̌ H̱ T̈ W̊ Y̊", "Ångström ÅNGSTRÖM", "İstanbul ΣΑΣ ſtraße K", "<|ENDOFTEXT|> <|endoftext|>x", "Don't SAY it's 12,5 %!", "日本語 テスト", "a b C", "X" * 3000, "", None]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    by, sequences = {}, {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    for d, x in enumerate(texts):
+        ids, at = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4"), 0
+        for r in sorted(by[d], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + r["length"]].tobytes())) and r["length"] > 0
+            at += r["length"]
+        assert at == len(ids)
+    for own in sequences.values():
+        assert sum(r["length"] for r in own) <= 2048
+        assert sorted(r["offset"] for r in own) == [sum(y["length"] for y in own if y["offset"] < r["offset"]) for r in sorted(own, key=lambda r: r["offset"])]
+
+
 def test_pack_is_tight():
     rng = np.random.default_rng(5)
     lengths = [int(x) for x in rng.lognormal(6, 1.5, 500)]

@@ -2,24 +2,24 @@
 
 An item that stands in a text with at most k edits leaves at least one of its k + 1 pieces
 unchanged. One automaton finds the exact hits of all pieces; around each, Myers' bit-parallel
-distance decides whether the whole item stands there.
+distance decides whether the whole item stands there. Items and texts have a space at either end, so
+that whole words are looked for, and a word cut at an end of an item costs edits like any other change.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import stored, texts_of
 
 BUDGET = 0.08
-SHORT = 32
 BLOCK_BYTES = 32 << 20
 
 _BREAKS = re.compile(r"[\W_]+")
@@ -32,9 +32,13 @@ def normal(text: str | None) -> str:
     return _BREAKS.sub(" ", text.lower()).strip() if text else ""
 
 
+def padded(norm: str) -> str:
+    return f" {norm} "
+
+
 def budget_of(item: str, budget: float = BUDGET) -> int:
-    """Edits allowed in a normal item; none in short ones, where an edit would meet ordinary words."""
-    return int(len(item) * budget) if len(item) >= SHORT else 0
+    """Edits allowed in a normal item, whatever its length."""
+    return int(len(item) * budget)
 
 
 def pieces_of(item: str, k: int) -> list[tuple[int, str]]:
@@ -80,10 +84,10 @@ class Matcher:
     def __init__(self, items: tuple[tuple[int, str], ...], budget: float) -> None:
         import ahocorasick
 
-        self.items = [(i, n, budget_of(n, budget), peq_of(n)) for i, t in items if (n := normal(t))]
+        self.items = [(i, padded(n), budget_of(n, budget), peq_of(padded(n))) for i, t in items if (n := normal(t))]
         pieces: dict[str, list[tuple[int, int]]] = {}
-        for x, (_, n, k, _) in enumerate(self.items):
-            for at, piece in pieces_of(n, k):
+        for x, (_, item, k, _) in enumerate(self.items):
+            for at, piece in pieces_of(item, k):
                 pieces.setdefault(piece, []).append((x, at))
         self.automaton = ahocorasick.Automaton()
         for piece, found in pieces.items():
@@ -93,10 +97,14 @@ class Matcher:
         self.empty = not pieces
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, edits, start, end) of each item in a text, at its best place in the normal text."""
+        """(item_id, edits, start, end) of each item in a text, at its first best place in the normal text.
+
+        The end is where the best match ends; the start is counted back from it by the item's length.
+        """
         norm = normal(text)
         if self.empty or not norm:
             return []
+        norm = padded(norm)
         windows: dict[int, list[list[int]]] = {}
         for end, (length, found) in self.automaton.iter(norm):
             for x, at in found:
@@ -111,7 +119,7 @@ class Matcher:
         out = []
         for x, own in windows.items():
             item_id, item, k, peq = self.items[x]
-            best: tuple[int, int, int] | None = None
+            best: tuple[int, int] | None = None
             for lo, hi in own:
                 if hi - lo < len(item) - k:
                     continue
@@ -120,30 +128,30 @@ class Matcher:
                 else:
                     d, until = myers(peq, len(item), norm[lo:hi])
                     until += lo
-                if d <= k and (len(item) >= SHORT or self.whole(norm, until - len(item), until)) and (best is None or d < best[0]):
-                    best = (d, max(0, until - len(item)), until)
+                if d <= k and (best is None or d < best[0]):
+                    best = (d, until)
             if best:
-                out.append((item_id, *best))
+                until = min(max(best[1] - 2, 0), len(norm) - 2)  # without the spaces around item and text
+                out.append((item_id, best[0], max(0, until - len(item) + 2), until))
         return sorted(out)
 
-    @staticmethod
-    def whole(norm: str, a: int, b: int) -> bool:
-        """A short item counts only as whole words."""
-        return (a <= 0 or norm[a - 1] == " ") and (b >= len(norm) or norm[b] == " ")
 
-
-@cache
+@lru_cache(maxsize=2)
 def matcher(items: tuple[tuple[int, str], ...], budget: float) -> Matcher:
     return Matcher(items, budget)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The items in blocks of about BLOCK_BYTES; at least one, perhaps empty."""
+def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[tuple[tuple[int, str], ...]]]:
+    """How many blocks of about BLOCK_BYTES the items make (at least one, perhaps empty), and the blocks, each read when its turn comes."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("item")).where("item_id is not null and item is not null").distinct()
     blocks = 1 + int((items.agg(F.sum(F.octet_length("item"))).first()[0] or 0) // BLOCK_BYTES)
-    for n in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).orderBy("item_id", "item").toArrow()
-        yield tuple(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True))
+
+    def read() -> Iterator[tuple[tuple[int, str], ...]]:
+        for n in range(blocks):
+            own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).orderBy("item_id", "item").toArrow()
+            yield tuple(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True))
+
+    return blocks, read()
 
 
 def _leaky(block: tuple[tuple[int, str], ...], budget: float):
@@ -157,29 +165,42 @@ def _leaky(block: tuple[tuple[int, str], ...], budget: float):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The documents in which no benchmark item stands, with all their columns."""
-    for block in _blocks(benchmark):
+    """The documents in which no benchmark item stands, with all their columns.
+
+    Of several blocks of items, each one's pass is written before the next block is read, so that the driver holds one block.
+    """
+    blocks, items = _blocks(benchmark)
+    for block in items:
         docs = docs.where(~_leaky(block, budget)("text"))
+        if blocks > 1:
+            docs = stored(docs)
     return docs
 
 
+def _hits(docs: DataFrame, block: tuple[tuple[int, str], ...], budget: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = matcher(block, budget).find
+        for b in batches:
+            rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), texts_of(b), strict=True) for x in find(t)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """A row for each benchmark item that stands in a document with at most `budget` edits a character: doc_id, item_id, edits, and the place in the normal text.
 
-    Items go to the tasks in blocks of at most BLOCK_BYTES of text (or one item), one pass over the
-    documents a block. Null or empty items and texts match nothing; items of fewer than SHORT characters must
-    stand unchanged as whole words. Repeated rows give repeated results.
+    One rule holds for items of all lengths. Items go to the tasks in blocks of about BLOCK_BYTES of text (or one item),
+    one pass over the documents a block; of several, each pass is written before the next block is read, so that the
+    driver holds one block. Null or empty items and texts match nothing. Repeated rows give repeated results.
     """
+    blocks, items = _blocks(benchmark)
     out: DataFrame | None = None
-    for block in _blocks(benchmark):
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            find = matcher(block, budget).find
-            for b in batches:
-                rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), texts_of(b), strict=True) for x in find(t)]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
-
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
+    for block in items:
+        found = _hits(docs, block, budget)
+        if blocks > 1:
+            found = stored(found)
         out = found if out is None else out.unionByName(found)
     return out
