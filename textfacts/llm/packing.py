@@ -50,9 +50,10 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what it stands between, so a text's ids are
-    those of its parts between ASCII white space, one after the other. It lower-cases too, so A-Z are
-    lower-cased first, except where a special token's string could come of that. Different parts are
-    encoded once, those of letters alone in groups: each ends with its first id of a token that ends a word.
+    those of its parts between ASCII white space, one after the other. It composes characters and then
+    lower-cases, so parts of ASCII alone, where nothing is composed, are lower-cased first, except in texts where a special
+    token's string could come of that. Different parts are encoded once, those of letters alone in groups: each ends with
+    its first id of a token that ends a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,7 +66,7 @@ class Encoder:
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(b if b"<|" in (b := (t or "").encode("utf-8", "replace")) else b.lower()).split() for t in texts]
+        parts = [self._parts((t or "").encode("utf-8", "replace")) for t in texts]
         found = [list(map(self.known.get, p)) for p in parts]
         new = {w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None}
         if len(self.known) + len(new) > CACHE:
@@ -76,6 +77,12 @@ class Encoder:
         learnt = {w: self.known[w] for w in new}
         return [b"".join([learnt[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f) for p, f in zip(parts, found, strict=True)]
 
+    @staticmethod
+    def _parts(text: bytes) -> list[bytes]:
+        if b"<|" in text:
+            return text.split()
+        return text.lower().split() if text.isascii() else [p.lower() if p.isascii() else p for p in text.split()]
+
     def _learn(self, words: list[bytes], size: int) -> None:
         groups = [words[i : i + size] for i in range(0, len(words), size)]
         for i in range(0, len(groups), 4096):
