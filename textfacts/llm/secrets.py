@@ -32,8 +32,10 @@ _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of fewer never matches, and runs are taken whole
 
+#: A name starts where no other name goes on and is taken whole, so that each character is read a bounded number of times.
+_EDGE = r"(?<![A-Za-z0-9_$])(?<![A-Za-z0-9_$][.-])"
 _PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z0-9_$]+)*)["'\]]?[ \t]*(?::=|=>|(?<![=!<>])=(?![=~])|:(?![:/]))[ \t]*(?P<first>["'`A-Za-z0-9_$+/])""",
+    rf"""{_EDGE}(?P<name>[A-Za-z0-9_$]++(?:[.-][A-Za-z0-9_$]++)*+)["'\]]?[ \t]*+(?::=|=>|(?<![=!<>])=(?![=~])|:(?![:/=]))[ \t]*+(?=(?P<first>["'`A-Za-z0-9_$+/]))""",
     re.ASCII,
 )
 
@@ -48,7 +50,7 @@ _BRACKETS = "|".join(_nested(a, b) for a, b in ((r"\[", r"\]"), ("<", ">"), (r"\
 _WORDS = r"(?:(?:mut|dyn|impl|const|constant|readonly|keyof|typeof|unique)[ \t]+)*+"
 _UNIT = rf"""(?:[&*](?:'\w++[ \t]+)?)*+{_WORDS}(?:[A-Za-z_$][\w$]*+(?:(?:\.|::)[\w$]++)*+|"[^"\n]*+"|'[^'\n]*+'|{_BRACKETS})(?:{_BRACKETS})*+[?!]?"""
 #: A declaration with its type: `name: type = value`.
-_TYPED = re.compile(rf"""(?P<name>[A-Za-z_$][A-Za-z0-9_$]*)[?!]?[ \t]*:(?![:/=])[ \t]*{_UNIT}(?:[ \t]*[|&][ \t]*{_UNIT})*[ \t]*:?=(?![=~>])[ \t]*(?P<first>["'`A-Za-z0-9_$+/])""", re.ASCII)
+_TYPED = re.compile(rf"""{_EDGE}(?P<name>[A-Za-z0-9_$]++)[?!]?[ \t]*+:(?![:/=])[ \t]*+{_UNIT}(?:[ \t]*+[|&][ \t]*+{_UNIT})*+[ \t]*+:?=(?![=~>])[ \t]*+(?=(?P<first>["'`A-Za-z0-9_$+/]))""", re.ASCII)
 _ATOM = re.compile(r"""(?:[rbfuRBFU]{0,2}(?P<q>["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[A-Za-z0-9_$+/.=~-]+))[ \t]*""", re.ASCII)
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z0-9_$]+)*", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -89,36 +91,74 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * (0.5 if kinds < 2 or " " in value else 1.0)
 
 
-def assigned(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Pairs of a name and the spans of the literals that reach it, in order of the text."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+class _Named(NamedTuple):
+    """A name with the literals given to it: spans of its own, and earlier names that stand for theirs."""
+
+    name: str
+    spans: list[tuple[int, int]]
+    constants: set[int]  #: their numbers
+
+
+def _definitions(text: str) -> list[_Named]:
+    """Pairs of a name and a value in order of the text. A constant is referred to, not expanded, so all of them together are linear in the text."""
+    found: list[_Named] = []
+    number: dict[str, int] = {}  # of the latest definition of a name
     # What follows the ':' of a typed declaration may be a value with a '=' in it, so both readings are taken.
     typed = _TYPED.finditer(text) if ":" in text and "=" in text else ()
-    last = (-1, "")
+    last, within = (-1, ""), -1
+    run, covered = -1, False  # the end of the last value without quotes, and whether a sensitive name has it
     for pair in heapq.merge(_PAIR.finditer(text), typed, key=lambda m: (m.start(), m.start("first"))):
-        at, own = pair.start("first"), (pair.start(), pair["name"])
-        literals = list(constants.get(pair["name"], [])) if own == last else []
+        at, name = pair.start("first"), pair["name"]
+        own = (pair.start(), name)
+        if pair.re is _TYPED:
+            within = at
+        elif pair.start() < within and not name_score(name):  # the type of a declaration is no name
+            continue
+        if pair.start() < run and own != last:  # within a value: the outermost sensitive name has all that follows
+            if covered or not name_score(name):
+                continue
+            covered = True
+        else:
+            covered = bool(name_score(name))
+        spans: list[tuple[int, int]] = []
+        constants = {number[name]} if own == last and name in number else set()
         last = own
         while atom := _ATOM.match(text, at):
             if atom["q"]:
-                literals.append(atom.span("quoted"))
+                spans.append(atom.span("quoted"))
             else:
                 a, b = atom.span("bare")
+                run = max(run, b)
                 b -= len(atom["bare"]) - len(atom["bare"].rstrip(".=+"))
                 bare = text[a:b]
-                if bare in constants and _NAME.fullmatch(bare):
-                    literals.extend(constants[bare])
+                if bare in number and _NAME.fullmatch(bare):
+                    constants.add(number[bare])
                 elif b > a:
-                    literals.append((a, b))
+                    spans.append((a, b))
             at = atom.end()
             if text[at : at + 1] != "+":
                 break
             at += 1
             while text[at : at + 1] in (" ", "\t"):
                 at += 1
-        if literals:
-            constants[pair["name"]] = literals
-            yield pair["name"], literals
+        if spans or constants:
+            number[name] = len(found)
+            found.append(_Named(name, spans, constants))
+    return found
+
+
+def assigned(text: str) -> dict[tuple[int, int], tuple[float, str]]:
+    """The span of each literal that reaches a sensitive name, with the most sensitive one (of equals, the last in order) and its score."""
+    found = _definitions(text)
+    reach = [(name_score(d.name), d.name) for d in found]
+    out: dict[tuple[int, int], tuple[float, str]] = {}
+    for n in range(len(found) - 1, -1, -1):  # a definition only refers to earlier ones
+        for c in found[n].constants:
+            reach[c] = max(reach[c], reach[n])
+        if reach[n][0]:
+            for span in found[n].spans:
+                out[span] = max(out.get(span, (0.0, "")), reach[n])
+    return out
 
 
 def find(text: str | None) -> list[Span]:
@@ -133,13 +173,9 @@ def find(text: str | None) -> list[Span]:
         out.extend(Span("access", *m.span(), *m.span(), "", 1.0) for m in _ACCESS.finditer(text) if len(m[0]) >= 20)
     out.extend(Span("hex", *m.span(), *m.span(), "", 1.0) for m in _HEX.finditer(text))
     if "=" in text or ":" in text:
-        best: dict[tuple[int, int], tuple[float, str]] = {}
-        for name, literals in assigned(text):
-            if n := name_score(name):
-                for a, b in literals:
-                    if (s := n * literal_score(text[a:b])) >= LEAST_SCORE:
-                        best[a, b] = max(best.get((a, b), (0.0, "")), (s, name))
-        out.extend(Span("literal", a, b, a, b, name, round(s, 6)) for (a, b), (s, name) in best.items())
+        for (a, b), (score, name) in assigned(text).items():
+            if (score := score * literal_score(text[a:b])) >= LEAST_SCORE:
+                out.append(Span("literal", a, b, a, b, name, round(score, 6)))
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
