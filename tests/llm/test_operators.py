@@ -356,6 +356,24 @@ def test_licences(spark, docs, empty):
     assert licences.scan(docs).count() == docs.count() and licences.scan(empty).count() == 0
 
 
+def test_licences_base_by_sql(spark):
+    """Base columns against DuckDB on texts of odd characters."""
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    parts = ["CC", "by", "cc-by", "general", "PUBLIC", "license", "all rights", "reserved", "All", "\n", " ", ".", "é", "K", "x9", "\x00", "‐"]
+    texts = ["".join(x + rng.choice(["", " ", "-"]) for x in rng.choice(parts, int(rng.integers(1, 25)))) for _ in range(800)] + [None, ""]
+    got = {r["doc_id"]: tuple(r)[1:6] for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("create table t (id bigint, text varchar)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(texts)))
+    phrases = " union all ".join(f"select {p.split()} p, '{label}' label" for p, label in licences.BASE.items())
+    rows = con.execute(rf"""with w as (select id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from t),
+      k as ({phrases}), h as (select id, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) i, label from w, k)
+      select w.id, len(w), count(i), min(i), max(i), coalesce(string_agg(distinct label, ',' order by label), '') from w left join h using (id) group by 1, 2""").fetchall()
+    assert got == {r[0]: tuple(r[1:]) for r in rows} and any(r[2] > 1 for r in rows)
+
+
 def test_licences_by_brute_force():
     index = licences.Index({b"license": 60, b"under": 200, b"the": 900, b"version": 30}, 1000)
     notices = [" ".join(w.decode() for w in words) for _, words, _ in index.templates]
@@ -371,7 +389,7 @@ def test_licences_by_brute_force():
         for (label, words, keys), weight in zip(index.templates, index.weight, strict=True):
             for o in range(-len(words) - 9, len(text) + 5):
                 lined = [w for i, w in enumerate(words) if 0 <= o + i < len(text) and text[o + i] == w]
-                if len(lined) >= 2 and all(licences.places(text, k, o - 4, o + len(words) + 8) for k in keys):
+                if len(lined) >= 2 and all(any(o - 4 <= at and at + 1 <= o + len(words) + 8 for at in licences.places(text, k)) for k in keys):
                     want[label] = max(want.get(label, 0.0), min(1.0, sum(index.idf[w] for w in lined) / weight))
         assert index.match(text) == want
     assert set(index.match(texts[0])) == set(licences.TEMPLATES)

@@ -1,8 +1,9 @@
 """Licence statements by the places of their key phrases.
 
-Templates are short notices. A template is looked up in every document that has all the words of its
-mandatory key phrases: their places give all offsets at which it could stand, and it is accepted if
-two of its words line up at one of them. Words weigh by document frequency over all documents.
+Templates are short notices. Words weigh by document frequency over all documents. Of each mandatory
+key phrase, the word of the highest weight is looked up in a document's index of word places, and the phrase is
+verified there; relative to the template, the phrases' places give all offsets at which it could stand. It is
+accepted if two of its words line up at an offset that all its key phrases allow.
 """
 
 from __future__ import annotations
@@ -48,13 +49,12 @@ def licence_words(text: str | None) -> list[bytes]:
     return lower_az(text).translate(_BREAKS).split() if text else []
 
 
-def places(words: list[bytes], phrase: list[bytes], lo: int = 0, hi: int | None = None) -> list[int]:
+def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     """Where a phrase's words stand consecutively, overlapping places too."""
-    out, n, hi = [], len(phrase), len(words) if hi is None else min(hi, len(words))
-    at = max(lo, 0)
+    out, n, at = [], len(phrase), 0
     try:
         while True:
-            at = words.index(phrase[0], at, hi)
+            at = words.index(phrase[0], at)
             if words[at : at + n] == phrase:
                 out.append(at)
             at += 1
@@ -71,17 +71,30 @@ class Index:
         self.words = frozenset(w for _, words, _ in self.templates for w in words)
         self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1e-6 for w in self.words}
         self.weight = [sum(self.idf[w] for w in words) for _, words, _ in self.templates]
+        # The rarest word of each key phrase, as its place in the phrase.
+        self.rarest = [[max(range(len(k)), key=lambda i: (self.idf[k[i]], -i)) for k in keys] for _, _, keys in self.templates]
+        self.looked_up = frozenset(k[i] for (_, _, keys), found in zip(self.templates, self.rarest, strict=True) for k, i in zip(keys, found, strict=True))
 
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Labels of the templates found in a text and the share of their weight that lines up."""
         known = self.words.intersection(words)
         out: dict[str, float] = {}
-        for (label, template, keys), needed, weight in zip(self.templates, self.needed, self.weight, strict=True):
-            if not needed <= known:
-                continue
+        asked = [t for t, needed in enumerate(self.needed) if needed <= known]
+        if not asked:
+            return out
+        places_of: dict[bytes, list[int]] = {w: [] for w in self.looked_up}
+        for at, w in enumerate(words):
+            if w in places_of:
+                places_of[w].append(at)
+        for t in asked:
+            (label, template, keys), weight = self.templates[t], self.weight[t]
             # Key phrases may lie a few words from their place: notices differ in small words.
-            offsets = set.intersection(*({o for at in places(words, k) for o in range(at - len(template) - 7, at + 5)} for k in keys))
-            for offset in offsets:
+            offsets: set[int] | None = None
+            for k, i in zip(keys, self.rarest[t], strict=True):
+                found = (at - i for at in places_of[k[i]] if at >= i and words[at - i : at - i + len(k)] == k)
+                own = {o for at in found for o in range(at - len(template) - 7, at + 5)}
+                offsets = own if offsets is None else offsets & own
+            for offset in offsets or ():
                 lined = [w for i, w in enumerate(template) if 0 <= offset + i < len(words) and words[offset + i] == w]
                 if len(lined) >= 2:
                     out[label] = max(out.get(label, 0.0), min(1.0, sum(self.idf[w] for w in lined) / weight))
