@@ -222,6 +222,40 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_without_toxic_labels_still_learns(spark):
+    """All labels clean: there is no lexicon, but the classifier learns from the posterior labels, so a listed word that clean texts have alone weighs less than one that comes with others."""
+    rows = [(i, " ".join([f"plain{'abcdefgh'[i % 8]}", "trash" if i % 2 else "day", "you idiot, you moron, pathetic loser" if i % 10 == 0 else "fine"]) + " " + "q".join(chr(97 + int(c)) for c in str(i))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, df.select("doc_id", F.lit(0).alias("toxic")))
+    assert not any(name.startswith("lexicon") for name, _ in model.voters)
+    weight = {w: model.weights.get(zlib.crc32(b"w" + w), 0.0) for w in (b"trash", b"idiot", b"moron")}
+    assert weight[b"trash"] < 1 < weight[b"idiot"]  # all listed words begin at the same weight
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for i, t in rows[:50]:
+        z = model.bias + sum(model.weights.get(f, 0.0) for term in toxicity.terms_of(t) for f in toxicity.features_of(term))
+        assert abs(scores[i] - 1 / (1 + math.exp(-z))) < 1e-9
+    assert {r["doc_id"] for r in toxicity.without_toxic(df, model).collect()} == {i for i, x in scores.items() if x < 0.7}
+
+
+def test_votes_by_brute_force(spark, docs):
+    voters = [("a", frozenset([zlib.crc32(b"wone"), zlib.crc32(b"widiot")])), ("b", frozenset([zlib.crc32(b"4two"), zlib.crc32(b"4idio")])), ("c", frozenset([zlib.crc32(b"#stretch")]))]
+    texts = [r["text"] for r in docs.collect()] + ["aaaaaa idiotic", "idiot", "one idiot"] * 7
+    n, moments = toxicity._moments(spark.createDataFrame([(t,) for t in texts], "text string"), voters)
+    on = np.array([[any(f in words for term in toxicity.terms_of(t) for f in toxicity.features_of(term)) for _, words in voters] for t in texts], dtype=float)
+    assert n == len(texts) and (moments == on.T @ on).all() and moments[0, 1] > 0
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(12)
+    y = rng.random(200_000) < 0.2
+    rates = [(0.7, 0.05), (0.5, 0.02), (0.6, 0.1), (0.3, 0.01), (0.4, 0.08)]
+    fired = np.column_stack([np.where(y, rng.random(len(y)) < a, rng.random(len(y)) < b) for a, b in rates]).astype(float)
+    fired = np.column_stack([fired, fired[:, 0]])  # a voter that repeats the first
+    accuracy, correlation = toxicity._label_model(len(y), fired.T @ fired, 0.2)
+    assert np.abs(accuracy[1:5] - np.array(rates[1:])).max() < 0.05
+    assert correlation[0, 5] > 0.5 and abs(correlation[1, 2]) < 0.1
+
+
 def test_toxicity_learns_from_rows_past_12000(spark):
     ids = spark.range(21_000).where("crc32(cast(id as string)) % 3 != 1").orderBy(F.xxhash64("id"), "id").limit(13_500)
     rows = [(r["id"], "gronk blarf" if i >= 12_000 and i % 3 == 0 else f"plain{'abcdefgh'[i % 8]} words", int(i >= 12_000 and i % 3 == 0)) for i, r in enumerate(ids.collect())]

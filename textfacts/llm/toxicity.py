@@ -7,7 +7,8 @@
    triplet of voters yields one accuracy; the median over triplets is taken. What the products
    don't explain is the correlation of two voters, and correlated votes are discounted.
 3. The label model's posterior labels of the sample train a logistic classifier over words and word
-   beginnings, which scores every document.
+   beginnings, which scores every document. Its weights have a Gaussian prior: around LISTED for the words of the
+   fixed lists and patterns, around zero for all others; so what the sample doesn't show keeps its prior weight.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ WORDS = {
     "fr": "idiot imbécile connard stupide minable ordure dégoûtant pourri déteste",
     "es": "idiota imbécil estúpido basura asqueroso patético inútil payaso odio",
 }
+#: Bounds of the model: labelled rows that it learns from, words in lexicons and features of the classifier.
 SAMPLE_ROWS = 20_000
 LEAST_DOCS = 4
 LEXICONS = 16
@@ -41,6 +43,7 @@ LEAST_SHARE = 0.6
 LEAST_Z = 4.0
 HEADS = (4, 5, 6)
 PRIOR = 0.1
+LISTED = 4.0
 CACHE = 400_000
 PART = 1 << 20
 
@@ -78,7 +81,7 @@ class Model:
     correlation: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     prior: float = PRIOR
     weights: dict[int, float] = field(default_factory=dict)
-    bias: float = -3.0
+    bias: float = 0.0
 
 
 def _cached(of: Callable[[bytes], object]) -> Callable[[bytes], object]:
@@ -164,15 +167,15 @@ def _posterior(fired: np.ndarray, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, k: int, y: np.ndarray, weight: np.ndarray, l2: float = 0.003, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model of soft labels y, by Adam on the whole sample."""
-    w, b = np.zeros(k), float(np.log(PRIOR / (1 - PRIOR)))
+def _logistic(rows: np.ndarray, cols: np.ndarray, mean: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.003, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model of soft labels y, by Adam on the whole sample, from the prior means of the weights. Without a sample they stay at these."""
+    k, w, b = len(mean), mean.astype(float), float(np.log(PRIOR / (1 - PRIOR)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     total = max(weight.sum(), 1e-9)
-    for t in range(1, steps + 1):
+    for t in range(1, steps + 1 if len(y) else 1):
         z = np.bincount(rows, weights=w[cols], minlength=len(y)) + b
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(np.bincount(cols, weights=g[rows], minlength=k) + l2 * w, g.sum()) / total
+        grad = np.append(np.bincount(cols, weights=g[rows], minlength=k) + l2 * (w - mean), g.sum()) / total
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
@@ -184,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """A model from labelled documents whose crc32(doc_id) mod 3 is not 1, and the votes of all documents.
 
     At most `sample_rows` labelled rows are taken, by the hash of their ids; that bounds what comes
-    to the driver. Rows whose label or id is null are left out. Without labelled rows of both kinds,
-    only the fixed word lists and patterns vote.
+    to the driver. Rows whose label or id is null are left out. Without labelled rows of both kinds there are no
+    lexicons: the fixed word lists and patterns vote, and the classifier learns from their posterior labels.
     """
     taken = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
     taken = taken.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
@@ -225,13 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     for j, (_, words) in enumerate(voters):
         fired[rows[_places(flat, np.array(sorted(words), dtype="<u4"))[0]], j] = 1
     soft = _posterior(fired, model)
-    keep = np.sort(names[np.argsort(-np.abs(z), kind="stable")[: int((np.abs(z) >= LEAST_Z).sum())][:FEATURES]])
+    listed = np.array(sorted({f for name, words in voters if not name.startswith("lexicon") for f in words}), dtype="<u4")
+    keep = np.union1d(names[np.argsort(-np.abs(z), kind="stable")[: int((np.abs(z) >= LEAST_Z).sum())][:FEATURES]], listed)
     where, at = _places(flat, keep)
-    if len(y):
-        w, model.bias = _logistic(rows[where], at, len(keep), soft, weight)
-        model.weights = {int(f): float(x) for f, x in zip(keep, w, strict=True) if abs(x) > 1e-4}
-    if not bad:  # no labels to learn from: the fixed lists alone
-        model.weights = {f: 6.0 for _, words in voters for f in words}
+    w, model.bias = _logistic(rows[where], at, np.where(np.isin(keep, listed), LISTED, 0.0), soft, weight)
+    model.weights = {int(f): float(x) for f, x in zip(keep, w, strict=True) if abs(x) > 1e-4}
     return model
 
 
