@@ -444,27 +444,72 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_documents(empty, 8).count() == 0 and sharding.shard_documents(docs, 3).count() == docs.count()
 
 
-def test_language_model(spark, docs, empty):
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    tokens = [(t or "").encode().lower().split() + [lm.END] for _, t in rows]
-    held = [zlib.crc32(str("" if d is None else d).encode()) % 7 == 2 for d, _ in rows]
-    c, b, s = Counter(), Counter(), Counter()
+def _plain_scores(tokens, held, masses):
+    """(base, score) of each text by the smoothing formula, n-grams in plain counters."""
+    c, pairs, triples = Counter(), Counter(), Counter()
     for w, h in zip(tokens, held, strict=True):
         if not h:
             c.update(w)
-            b.update(zip([lm.START, *w], w, strict=False))
-            s[lm.START] += 1
-    s.update({k: v for k, v in c.items()})
+            c[lm.START] += 1
+            pairs.update(zip([lm.START, *w], w, strict=False))
+            triples.update(zip([lm.START, *w], w, w[1:], strict=False))
+    start = c.pop(lm.START, 0)
     n, v = sum(c.values()), len(c)
-    root = lambda t: (c[t] + 1) / (n + 1 * (v + 1))
-    want = sorted((round(sum(math.log10(root(t)) for t in w), 6), round(sum(math.log10((b[h, t] + lm.MASS * root(t)) / (s[h] + lm.MASS)) for h, t in zip([lm.START, *w], w, strict=False)), 6), len(w)) for w in tokens)
-    for size in (lm.BLOCK_BYTES, 100):
-        got = lm.language_model_scores(docs, block_bytes=size).collect()
-        assert sorted((round(r["base_score"], 6), round(r["score"], 6), r["n_tokens"]) for r in got) == want
+    one = lambda t: (c[t] + 1) / (n + 1 * (v + 1))
+    two = lambda a, t: (pairs[a, t] + masses[0] * one(t)) / ((start if a == lm.START else c[a]) + masses[0])
+    three = lambda a, b, t: (triples[a, b, t] + masses[1] * two(b, t)) / (pairs[a, b] + masses[1])
+    out = []
+    for w in tokens:
+        before = [None, lm.START, *w]
+        out.append((sum(math.log10(one(t)) for t in w), sum(math.log10(two(b, t) if a is None else three(a, b, t)) for a, b, t in zip(before, before[1:], w, strict=False))))
+    return n, c, out
+
+
+def test_language_model(spark, docs, empty):
+    long = np.random.default_rng(13).choice(["the", "a", "of", "law", "end", "new"], 1500)
+    more = [(100 + i, " ".join(long[i * 90 : i * 90 + 700])) for i in range(9)] + [(200 + i, "said unseen words here" + " unseen" * i) for i in range(12)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    tokens = [(t or "").encode().lower().split() + [lm.END] for _, t in rows]
+    held = [zlib.crc32(str("" if d is None else d).encode()) % 7 == 2 for d, _ in rows]
+    n, c, plain = _plain_scores(tokens, held, lm.MASSES)
+    want = sorted((round(a, 6), round(b, 6), len(w), sum(c[t] > 0 for t in w), h) for (a, b), w, h in zip(plain, tokens, held, strict=True))
+    assert any(held) and len({x[1] for x in want}) > 20
+    for size, keys in ((lm.BLOCK_BYTES, lm.DEST_KEYS), (900, 50)):
+        got = lm.language_model_scores(df, block_bytes=size, dest_keys=keys, spare_bits=40).collect()
+        assert sorted((round(r["base_score"], 6), round(r["score"], 6), r["n_tokens"], r["n_known"], r["held_out"]) for r in got) == want
         assert {r["train_tokens"] for r in got} == {n}
     assert lm.language_model_scores(empty).count() == 0
 
 
+def test_language_model_without_training(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = lm.language_model_scores(spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")).collect()
+    assert len(got) == len(ids) and {(r["train_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got} == {(0, 0, 0.0, 0.0)}
+
+
+def test_automaton_carries_its_state():
+    """The traversal token by token, with Python dictionaries for arcs, against the one side by side."""
+    texts = ["a b c a b d", "a b c", "c c c a", "", "x a b", "b a b c " * 200]
+    tokens, lengths, hashes = lm.encoded(texts)
+    block = lm.Block(tokens, lengths, hashes, np.array([True, True, True, True, False, True]), 64)
+    word, pair, triple = (block.totals(k, np.zeros(len(block.levels[k][0]), np.uint64)) for k in range(3))
+    word = np.insert(word, 1, pair[-1])
+    model = lm.Automaton(block.size, word, block.pairs, pair[:-1], block.triples, triple, int(np.delete(word, 1).sum()), int((np.delete(word, 1) > 0).sum()), (2.0, 0.5))
+    arcs = {(-1, t): (model.root[t], t if word[t] > 0 else -1) for t in range(block.size)}
+    arcs |= {(int(k // block.size), int(k % block.size)): (w, block.size + i) for i, (k, w) in enumerate(zip(model.arcs2, model.weight2, strict=True))}
+    arcs |= {(int(k // block.size) + block.size, int(k % block.size)): (w, block.size + to) for k, w, to in zip(model.arcs3, model.weight3, model.next3, strict=True)}
+    fail = {t: (model.fail1[t], -1) for t in range(block.size)} | {block.size + i: (w, model.last[i]) for i, w in enumerate(model.fail2)}
+    for got, at, n in zip(model.read(block.tokens, block.starts, block.lengths), block.starts, block.lengths, strict=True):
+        state, total = 1, 0.0
+        for t in tokens[at : at + n].tolist():
+            while (state, t) not in arcs:
+                total += fail[state][0]
+                state = int(fail[state][1])
+            total, state = total + arcs[state, t][0], int(arcs[state, t][1])
+        assert abs(got - total) < 1e-9
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,29 +28,62 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint in the cluster's shared folder.
+#: Lists of the tables written since their scope began, innermost last.
+_SCOPES: list[list[str]] = []
 
-    spark.checkpoint.dir names the folder; only where it is unset, as in tests, a local one is made.
-    """
-    sc = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, which spark.checkpoint.dir names. Only in one process alone, as in tests, a local one stands in where it is unset; elsewhere that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="textfacts-"))
-    return df.checkpoint(eager=True)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="textfacts-")
+        sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut(), for wide or packed rows: a compressed Parquet table in the shared folder."""
+def stored(df: DataFrame, wide: bool = False) -> DataFrame:
+    """Compute df once and cut its lineage: a compressed Parquet table in the shared folder, read again.
+
+    wide tells that single rows are megabytes, so that the writer looks at their size after each.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="textfacts-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    writer = df.write
+    if wide:
+        writer = writer.options(**{"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"})
+    writer.parquet(path)
+    for scope in _SCOPES:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """As stored(), for narrow rows between steps."""
+    return stored(df)
+
+
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The paths of the tables that stored() and cut() write within, in order, so that the caller can discard() them."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield own
+    finally:
+        _SCOPES.remove(own)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing will read again."""
+    for p in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; null ids count as remainder of the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
@@ -122,11 +156,11 @@ class Joined:
         return True
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph of edges (a, b): root is the smallest node reachable.
 
-    Alternates large-star and small-star steps, each a groupBy-min and a join over the edges
-    alone, cut by a reliable checkpoint. No component is gathered in one task or the driver;
+    Alternates large-star and small-star steps until nothing changes, each a groupBy-min and a join over the edges
+    alone, written in between. No component is gathered in one task or the driver;
     only a count and a sum come to the driver, to see whether a round changed anything.
     No edges give no rows.
     """
@@ -136,9 +170,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = mark(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -149,6 +181,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
