@@ -1,10 +1,11 @@
 """C# sources, workspaces, sinks and streams on small fixtures."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from textfacts.functions import csharp
-from textfacts.operators import code
-from textfacts.sources import sinks, workspace
+from textfacts.operators import code, graph
+from textfacts.sources import settings, sinks, workspace
 from textfacts.streaming import tail
 
 CODE = '''namespace A.B;
@@ -49,15 +50,19 @@ def test_workspace(spark, tmp_path):
     (tmp_path / "src/Lib/Lib.csproj").write_text('<Project><TargetFrameworks>a;b</TargetFrameworks><PackageReference Include="xunit" Version="2" /></Project>')
     (tmp_path / "src/bin/Old.csproj").write_text("<Project/>")
     got = [tuple(r) for r in workspace.load(spark, str(tmp_path), "w_").select("name", "path", "tfm", "output_type", "kind").collect()]
-    assert got == [("App", "src/App/App.csproj", "net9.0", "Exe", "console"), ("Lib", "src/Lib/Lib.csproj", "a;b", "Library", "test")]
-    assert sorted(map(tuple, spark.table("w_project_refs").collect())) == [("src/App/App.csproj", "src/Lib/Lib.csproj"), ("src/App/App.csproj", "src/No.csproj")]
+    assert got == [("App", "src/App/App.csproj", "net9.0", "Exe", "Library"), ("Lib", "src/Lib/Lib.csproj", "a;b", None, "Test")]
+    assert sorted(tuple(r)[:2] for r in spark.table("w_project_refs").collect()) == [("src/App/App.csproj", "src/Lib/Lib.csproj"), ("src/App/App.csproj", "src/No.csproj")]
     files = spark.table("w_files")
     assert [tuple(r) for r in workspace.solution_projects(files).collect()] == [("All.sln", "src/App/App.csproj")]
-    assert workspace.nearest_solution(files, "src/Lib").first().path == "All.sln"
+    assert workspace.nearest_solution(files, "src/Lib").first().path == "src/Lib/Lib.csproj"  # nearer than the solution
+    assert workspace.nearest_solution(files, "src").first().path == "All.sln" and workspace.nearest_solution(files, "src/App/x/y").first().path == "src/App/App.csproj"
     assert workspace.nearest_solution(files.where("path != 'All.sln'"), "src/Lib").first().path == "src/Lib/Lib.csproj"
     (tmp_path / "none").mkdir()
     with pytest.raises(ValueError):
         workspace.load(spark, str(tmp_path / "none"), "w_")
+    with pytest.raises(ValueError, match="Error X"):
+        workspace.load(spark, str(tmp_path), "w_", ["Warning: a", "Failure: Error X"])
+    assert spark.table("w_projects").count() == 2  # as before
     assert workspace.reset(spark, "w_") == 4 and workspace.reset(spark, "w_") == 0
 
 
@@ -74,6 +79,49 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.id for r in sinks.read_log(spark, log).collect()) == list(range(6, 20))
 
 
+def test_project_kinds(spark):
+    rows = [("a/App.csproj", '<Project Sdk="Microsoft.NET.Sdk.Web"></Project>'), ("b/B.Tests.csproj", '<Project Sdk="Microsoft.NET.Sdk.Web"></Project>'), ("c/C.csproj", '<Project Sdk="Microsoft.NET.Sdk.Worker"></Project>'), ("d/D.csproj", '<Project><PackageReference Include="NUnit" /><FrameworkReference Include="Microsoft.AspNetCore.App" /></Project>'), ("e/E.csproj", "<Project><OutputType> </OutputType></Project>")]
+    found = workspace.projects(spark.createDataFrame(rows, "path string, text string"))
+    assert {r.name: r.kind for r in found.collect()} == {"App": "Web API", "B.Tests": "Test", "C": "Worker", "D": "Test", "E": "Library"}
+    refs = workspace.project_refs(spark.createDataFrame(rows, "path string, text string"))
+    assert {r.name: (r.tfm, r.output_type, r.references) for r in graph.described(found, refs).collect()}["App"] == ("(unknown)", "(unknown)", "(none)")
+
+
+def test_logs_of_the_service(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [(f"2026-01-{d:02d}", "t", "x" * d if d % 2 else None) for d in range(1, 19)]
+    sinks.log_outputs(spark.createDataFrame(rows, "ts string, tool string, result string").withColumn("ts", F.col("ts").cast("timestamp")), path)
+    assert sorted(sinks.prune_log(spark, path)) == [f"day=2026-01-{d:02d}" for d in range(1, 5)]
+    assert sorted((r.day.day, r.length, r.tokens) for r in spark.read.parquet(path).collect()) == [(d, d if d % 2 else 0, (d if d % 2 else 0) // 4) for d in range(5, 19)]
+    asked = spark.createDataFrame([("1", "m", '{"a": 1}'), (None, "n", None), (None, None, "x")], "id string, method string, params string").withColumn("ts", F.current_timestamp())
+    try:
+        spark.conf.set("spark.textfacts.requests.log", "False")
+        assert not sinks.log_requests(asked, str(tmp_path / "rpc"))
+        spark.conf.set("spark.textfacts.requests.log", "1")
+        spark.conf.set("spark.textfacts.requests.maxChars", "4")
+        assert sinks.log_requests(asked, str(tmp_path / "rpc"))
+        spark.conf.set("spark.textfacts.requests.maxChars", "none")
+        assert settings.settings(spark) == (True, 8000, None)
+    finally:
+        spark.conf.unset("spark.textfacts.requests.log")
+        spark.conf.unset("spark.textfacts.requests.maxChars")
+    assert sorted((r.kind, r.params) for r in spark.read.parquet(str(tmp_path / "rpc")).collect()) == [("message", "x"), ("notification", "(none)"), ("request", '{"a"... [truncated 3 chars]')]
+
+
+def test_write_through(spark, tmp_path):
+    path, row = str(tmp_path / "files"), "path string, text string"
+    spark.createDataFrame([("a", "1")], row).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("through")
+    sinks.write_through(spark, spark.createDataFrame([("a", "2"), ("b", "3")], row), path, "through")
+    assert sorted(map(tuple, spark.table("through").collect())) == [("a", "2"), ("b", "3")]
+    spark.catalog.dropTempView("through")
+
+
+def test_problems():
+    assert csharp.problems(CODE) == [] and csharp.problems(None) == []
+    assert csharp.problems("class A {\n void F( }\n") == ["line 1: { is not closed", "line 2: ( is not closed", "line 2: unexpected }"]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs/a.log").write_text("src/A.cs(1,2): error X1: no\nnothing\nsrc/A.cs(3,2): error X1: no\n")

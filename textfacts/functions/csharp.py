@@ -186,3 +186,20 @@ def outline(text: str | None) -> str | None:
     if text is None:
         return None
     return "\n".join("    " * d.depth + (f"using {d.name};" if d.kind == "using" else d.header) for d in declarations(text))
+
+
+def problems(text: str | None) -> list[str]:
+    """Brackets that close nothing, close another kind or stay open, in order of the text, each with its line."""
+    if not text:
+        return []
+    code, open_, out = blanked(text), [], []
+    pairs = {")": "(", "]": "[", "}": "{"}
+    for m in re.finditer(r"[()\[\]{}]", code):
+        if m[0] not in pairs:
+            open_.append((m[0], m.start()))
+        elif open_ and open_[-1][0] == pairs[m[0]]:
+            open_.pop()
+        else:
+            out.append((m.start(), f"unexpected {m[0]}"))
+    out += [(at, f"{mark} is not closed") for mark, at in open_]
+    return [f"line {code.count(chr(10), 0, at) + 1}: {what}" for at, what in sorted(out)]

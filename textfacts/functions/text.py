@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Limits that are part of the results.
+#: Limits and marks that are part of the results.
 WHOLE_FILE_LINES, PREVIEW_LINES = 500, 100
 EXCERPT_WHOLE, EXCERPT_HEAD, EXCERPT_TAIL = 3000, 1000, 1500
 TELEMETRY_WHOLE, TELEMETRY_SIDE = 500, 250
 RPC_CHARS = 8000
+EXCERPT_MARK = "\n\n...[MIDDLE LOG TRUNCATED]...\n\n"
+TELEMETRY_MARK = "\n...[TRUNCATED]...\n"
+SOURCE_LINE_CHARS, DETAIL_CHARS, STACK_CHARS, STACK_LINES, DECOMPILED_LINES = 400, 512, 1200, 15, 500
+GLOBAL_NAMESPACE = "(global namespace)"
+#: Accessibilities that are shown, with their keywords.
+ACCESS = {"Public": "public", "Protected": "protected", "ProtectedAndInternal": "protected internal", "ProtectedOrInternal": "protected internal"}
 
 
 def lines(text: Column) -> Column:
@@ -48,12 +54,12 @@ def restored_eol(text: Column, like: Column) -> Column:
 def excerpt(text: Column, whole: int = EXCERPT_WHOLE, head: int = EXCERPT_HEAD, tail: int = EXCERPT_TAIL) -> Column:
     """A text of up to `whole` characters, else its head and tail around a mark."""
     n = F.char_length(text)
-    return F.when(n <= whole, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit("\n...\n"), F.right(text, F.lit(tail))))
+    return F.when(n <= whole, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(EXCERPT_MARK), F.right(text, F.lit(tail))))
 
 
 def telemetry_preview(text: Column) -> Column:
     n = F.char_length(text)
-    return F.when(n < TELEMETRY_WHOLE, text).otherwise(F.concat(F.left(text, F.lit(TELEMETRY_SIDE)), F.lit(" ... "), F.right(text, F.lit(TELEMETRY_SIDE))))
+    return F.when(n < TELEMETRY_WHOLE, text).otherwise(F.concat(F.left(text, F.lit(TELEMETRY_SIDE)), F.lit(TELEMETRY_MARK), F.right(text, F.lit(TELEMETRY_SIDE))))
 
 
 def tokens_estimate(text: Column) -> Column:
@@ -65,7 +71,7 @@ def suffix_cut(text: Column, most: int = RPC_CHARS) -> Column:
     if most <= 0:
         return text
     n = F.char_length(text)
-    return F.when(n <= most, text).otherwise(F.concat(F.left(text, F.lit(most)), F.lit("... (+"), (n - most).cast("string"), F.lit(" chars)")))
+    return F.when(n <= most, text).otherwise(F.concat(F.left(text, F.lit(most)), F.lit("... [truncated "), (n - most).cast("string"), F.lit(" chars]")))
 
 
 def ellipsis(text: Column, most: int, mark: str = "...", keep: int | None = None) -> Column:
@@ -97,5 +103,73 @@ def file_extension(path: Column) -> Column:
 
 
 def generic_stripped(name: Column) -> Column:
-    """A type's name without the arity after a backtick, nested types joined by dots."""
-    return F.replace(F.regexp_replace(name, "`[0-9]+", ""), F.lit("/"), F.lit("."))
+    """A type's name up to the backtick before its arity."""
+    return F.substring_index(name, "`", 1)
+
+
+def type_name(name: Column, parameters: Column) -> Column:
+    """A type's name with the names of its parameters, an array that may be empty, in angle brackets."""
+    own = generic_stripped(name)
+    return F.when(F.size(parameters) > 0, F.concat(own, F.lit("<"), F.array_join(parameters, ", "), F.lit(">"))).otherwise(own)
+
+
+def nested_dotted(name: Column) -> Column:
+    """Nested types are joined by dots."""
+    return F.replace(name, F.lit("/"), F.lit("."))
+
+
+def access_keyword(access: Column) -> Column:
+    """The keyword of an accessibility, empty for those that aren't shown."""
+    out = F.lit("")
+    for name, keyword in reversed(ACCESS.items()):
+        out = F.when(access == name, keyword).otherwise(out)
+    return out
+
+
+def modifiers(access: Column, static: Column) -> Column:
+    """Keywords in front of a member, each with a blank after it."""
+    keyword = access_keyword(access)
+    return F.concat(F.when(keyword == "", "").otherwise(F.concat(keyword, F.lit(" "))), F.when(static, "static ").otherwise(""))
+
+
+def public_or_protected(access: Column) -> Column:
+    return access.isin(*ACCESS)
+
+
+def generated_name(name: Column) -> Column:
+    """Names that compilers make hold angle brackets."""
+    return F.contains(name, F.lit("<")) | F.contains(name, F.lit(">"))
+
+
+def without_backticks(text: Column) -> Column:
+    """Backticks as apostrophes, for text within backticks."""
+    return F.translate(text, "`", "'")
+
+
+def megabytes(size: Column) -> Column:
+    return size / (1024.0 * 1024.0)
+
+
+def json_compact(text: Column) -> Column:
+    """JSON without white space between its parts; text that isn't JSON stays as it is."""
+    return F.when(F.try_parse_json(text).isNotNull(), F.regexp_replace(text, r'("(?:[^"\\]|\\.)*+")|\s+', "$1")).otherwise(text)
+
+
+def rpc_params(text: Column, most: int = RPC_CHARS) -> Column:
+    """The parameters of a request as they are logged."""
+    return F.coalesce(suffix_cut(json_compact(text), most), F.lit("(none)"))
+
+
+def last_line(start: Column, count: Column) -> Column:
+    """The last line of a range, null where it is too large a number."""
+    return F.try_subtract(F.try_add(start.cast("int"), count.cast("int")), F.lit(1))
+
+
+def line_cut(line: Column, most: int = SOURCE_LINE_CHARS) -> Column:
+    """A line without its last white space, and an ellipsis for what goes beyond its limit."""
+    return ellipsis(F.regexp_replace(line, r"\s+$", ""), most, "…")
+
+
+def guarded(text: Column, most: int = DECOMPILED_LINES) -> Column:
+    """A text, or null where it has more lines than are shown at once."""
+    return F.when(F.size(lines(text)) <= most, text)

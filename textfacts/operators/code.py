@@ -14,7 +14,7 @@ from ..functions import csharp
 from . import tree
 
 #: Fixed values.
-MOST_SKELETON_FILES = 20
+MOST_SKELETON_FILES, MOST_NOTES = 20, 8
 MEMBER = "path string, ord long, parent long, depth long, kind string, name string, n_params long, start long, body long, end long, header string"
 _NAMES = [x.split()[0] for x in MEMBER.split(", ")]
 
@@ -50,6 +50,12 @@ def without_bodies(texts: pd.Series) -> pd.Series:
     return texts.map(csharp.without_bodies, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def notes(texts: pd.Series) -> pd.Series:
+    """What the lexer finds wrong with each source, the first few."""
+    return texts.map(lambda t: csharp.problems(t)[:MOST_NOTES], na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def outline(texts: pd.Series) -> pd.Series:
     return texts.map(csharp.outline, na_action="ignore")
@@ -59,3 +65,13 @@ def skeletons(files: DataFrame, path: str = "path", text: str = "text", most: in
     """path and skeleton of the first sources of a folder by path in any case, without those in excluded folders."""
     own = files.where(F.lower(F.col(path)).endswith(".cs") & ~tree.excluded(F.col(path)))
     return own.orderBy(F.upper(path), path).limit(most).select(path, without_bodies(F.col(text)).alias("skeleton"))
+
+
+def outlines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """path and outline of each source: headers of usings, namespaces, types and members."""
+    return files.where(F.lower(F.col(path)).endswith(".cs")).select(path, outline(F.col(text)).alias("outline"))
+
+
+def with_notes(files: DataFrame, text: str = "text") -> DataFrame:
+    """Sources with `notes`, an array that is empty where nothing is wrong."""
+    return files.withColumn("notes", notes(F.col(text)))

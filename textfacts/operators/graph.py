@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def _by_name(names: Column) -> Column:
     """Names in case-insensitive order, joined."""
@@ -26,6 +28,14 @@ def listing(projects: DataFrame, edges: DataFrame) -> DataFrame:
     return projects.join(deps, "project_id", "left").withColumn("deps", F.coalesce("deps", F.lit("")))
 
 
+def described(projects: DataFrame, edges: DataFrame) -> DataFrame:
+    """name, path, tfm, output_type and references of each project: the names of known projects in order of `ord`, (none) without any; a mark for what isn't known."""
+    to = projects.select(F.col("project_id").alias("dst_id"), F.col("name").alias("to")).where("trim(name) != ''")
+    refs = edges.join(to, "dst_id").groupBy(F.col("src_id").alias("project_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "to"))), lambda x: x["to"]), ", ").alias("references"))
+    or_mark = lambda c, mark: F.coalesce(c, F.lit(mark)).alias(c)
+    return projects.join(refs, "project_id", "left").select("name", or_mark("path", "(unknown path)"), or_mark("tfm", "(unknown)"), or_mark("output_type", "(unknown)"), or_mark("references", "(none)"))
+
+
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     """(src_id, dst_id) of all paths, by doubling. An extension for small graphs."""
     found = edges.select("src_id", "dst_id").distinct()
@@ -67,3 +77,42 @@ def sections(parts: list[tuple[str, DataFrame]]) -> DataFrame:
         df = df.withColumn("section", F.lit(name)).withColumn("section_rank", F.lit(i).cast("long"))
         out = df if out is None else out.unionByName(df)
     return out
+
+
+def visible_types(types: DataFrame) -> DataFrame:
+    """The public and protected classes and interfaces whose names no compiler made, with `ns`, their namespace or the mark of the global one."""
+    own = types.where(F.col("kind").isin("class", "interface") & X.public_or_protected(F.col("access")) & ~X.generated_name(F.col("name")))
+    return own.withColumn("ns", F.when(F.trim(F.coalesce("namespace", F.lit(""))) == "", X.GLOBAL_NAMESPACE).otherwise(F.col("namespace")))
+
+
+def by_namespace(types: DataFrame) -> DataFrame:
+    """ns, n and types, "kind name" in order of the names, of the visible types."""
+    named = F.array_sort(F.collect_list(F.struct("name", F.concat_ws(" ", "kind", "name").alias("shown"))))
+    return visible_types(types).groupBy("ns").agg(F.count("*").alias("n"), F.array_join(F.transform(named, lambda x: x["shown"]), ", ").alias("types"))
+
+
+def visible_members(members: DataFrame) -> DataFrame:
+    """Public and protected members whose names no compiler made, neither accessors nor operators, with `shown`, their modifiers and signature, and `section`: fields, properties, then methods.
+
+    `place` is the order within a type: by section, name, and of methods the number of parameters.
+    """
+    own = members.where(X.public_or_protected(F.col("access")) & ~X.generated_name(F.col("name")) & ~F.coalesce("is_accessor", F.lit(False)) & ~F.coalesce("is_operator", F.lit(False)))
+    own = own.withColumn("section", F.when(F.col("kind") == "field", 0).when(F.col("kind") == "property", 1).otherwise(2).cast("long"))
+    place = F.row_number().over(Window.partitionBy("type_id").orderBy("section", "name", F.when(F.col("section") == 2, F.col("n_params")).otherwise(0), "signature"))
+    return own.withColumn("shown", F.concat(X.modifiers(F.col("access"), F.col("is_static")), F.col("signature"))).withColumn("place", place.cast("long"))
+
+
+def overload_bodies(methods: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The bodies of the methods of each name (the last of `by`) that aren't accessors, in order, joined, and how many; blank ones are dropped, and so are names without any.
+
+    A name's overloads come into one row, as they are shown at once.
+    """
+    own = methods.where(~F.coalesce("is_accessor", F.lit(False)) & (X.trimmed(F.col("body")) != ""))
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.regexp_replace("body", r"\s+$", "").alias("_body"))))
+    return own.groupBy(*by).agg(F.array_join(F.transform(rows, lambda x: x["_body"]), "\n\n---\n\n").alias("bodies"), F.count("*").alias("n"))
+
+
+def preferred(instances: DataFrame, version: str, order: str, least_major: int = 17) -> DataFrame:
+    """The first instance by order whose version's first number is large enough, else the first of all; no instances give none."""
+    enough = F.regexp_extract(version, "^([0-9]+)", 1).try_cast("int") >= least_major
+    return instances.orderBy((~F.coalesce(enough, F.lit(False))).cast("int"), order).limit(1)

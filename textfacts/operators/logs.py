@@ -8,17 +8,31 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 #: What lines of build and test output look like.
-DIAGNOSTIC = r"(?i)^(.+?\([0-9]+,\s*[0-9]+\)):\s*(error|warning)\s+([A-Za-z]+[0-9]+):\s*(.*)$"
-SUMMARY = r"(?i)Failed:\s*([0-9]+),\s*Passed:\s*([0-9]+),\s*Skipped:\s*([0-9]+),\s*Total:\s*([0-9]+)"
-MOST_DIAGNOSTICS, MOST_FAILED = 20, 5
+DIAGNOSTIC = r"(?i)^([^\r\n]+\([0-9]+,\s*[0-9]+\))\s*:\s*(error|warning)\s+(\S+)\s*:\s*([^\r\n]*)$"
+SUMMARY = r"(Passed|Failed)!\s+-\s+Failed:\s*([0-9]+),\s*Passed:\s*([0-9]+),\s*Skipped:\s*([0-9]+),\s*Total:\s*([0-9]+)"
+TOTAL = r"(?i)Total tests:\s*([0-9]+)"
+PASSED = r"(?i)^\s*Passed:\s*([0-9]+)\s*$"
+FAILED = r"(?i)^\s*Failed:\s*([0-9]+)\s*$"
+#: Lines that a failed test's report begins with, in the order in which they are tried.
+ANCHORS = [
+    r"^\[xUnit\.net[^\]]*\]\s+(.+?)\s+\[FAIL\]\s*$",
+    r"(?i)^\s*Failed\s*:\s*(.+)\s*$",
+    r"^\s*Failed\s+(.+?)(?:\s+\[[0-9.]+\s*ms\])?\s*$",
+]
+ERROR_LABEL, STACK_LABEL = "Error Message:", "Stack Trace:"
+MOST_DIAGNOSTICS, MOST_FAILED, TOTALS_WINDOW = 20, 5, 24
 
 
 def diagnostics(lines: DataFrame, line: str = "line") -> DataFrame:
-    """location, severity (lower case), code and message of the lines that are diagnostics, with all other columns. They aren't de-duplicated."""
-    own = X.trimmed(F.col(line))
-    got = lines.where(F.rlike(own, F.lit(DIAGNOSTIC)))
-    part = lambda i: F.regexp_extract(own, DIAGNOSTIC, i)
-    return got.select("*", F.lower(part(2)).alias("severity"), part(3).alias("code"), part(1).alias("location"), X.trimmed(part(4)).alias("message"))
+    """location, severity (lower case), code and message of the lines that are diagnostics, with all other columns. They aren't de-duplicated.
+
+    Most lines lack both words and are dropped before the pattern is tried. A match is rewritten once into its parts, which hold no line ends.
+    """
+    low = F.lower(line)
+    some = lines.where(F.contains(low, F.lit("error")) | F.contains(low, F.lit("warning")))
+    parts = F.split(F.regexp_replace(line, DIAGNOSTIC, "\n$2\n$3\n$1\n$4"), "\n")
+    got = some.withColumn("_d", parts).where("size(_d) = 5")
+    return got.select("*", F.lower(F.col("_d")[1]).alias("severity"), F.col("_d")[2].alias("code"), X.trimmed(F.col("_d")[3]).alias("location"), X.trimmed(F.col("_d")[4]).alias("message")).drop("_d")
 
 
 def errors_first(found: DataFrame, order: list[str], most: int = MOST_DIAGNOSTICS) -> DataFrame:
@@ -26,20 +40,88 @@ def errors_first(found: DataFrame, order: list[str], most: int = MOST_DIAGNOSTIC
     return found.orderBy((F.col("severity") != "error").cast("int"), *order).limit(most)
 
 
+def rendered(found: DataFrame, severity: Column, line_no: Column, code: Column, message: Column) -> DataFrame:
+    """The errors and warnings with `shown`: their severity, line, id and message as one line."""
+    shown = F.format_string("[%s] Line %s: (%s) %s", severity, line_no.cast("string"), code, message)
+    return found.where(F.lower(severity).isin("error", "warning")).withColumn("shown", shown)
+
+
 def last_summary(runs: DataFrame, by: str, pos: str, line: str = "line") -> DataFrame:
     """Totals of the last summary line of each run; earlier ones don't count."""
     got = runs.where(F.rlike(line, F.lit(SUMMARY))).groupBy(by).agg(F.max_by(line, pos).alias("l"))
+    last = rf"(?s)^.*{SUMMARY}"  # of several in a line the last
     names = ("failed", "passed", "skipped", "total")
-    return got.select(by, *(F.regexp_extract("l", SUMMARY, i + 1).cast("long").alias(n) for i, n in enumerate(names)))
+    return got.select(by, *(F.regexp_extract("l", last, i + 2).cast("long").alias(n) for i, n in enumerate(names)))
 
 
-def blocks(lines: DataFrame, by: str, pos: str, anchor: Column, most: int = MOST_FAILED) -> DataFrame:
-    """Lines with the number of the block that they stand in: from an anchor up to the next one. The first blocks of each log are kept; lines before the first anchor aren't in one."""
-    n = F.sum(anchor.cast("int")).over(Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("block", n.cast("long")).where((F.col("block") >= 1) & (F.col("block") <= most))
+def last_totals(lines: DataFrame, by: str, pos: str, line: str = "line") -> DataFrame:
+    """Totals of each run's last block of totals: a line with the number of tests after which, within TOTALS_WINDOW lines, both the passed and the failed ones are told.
+
+    Lines are those that CR and LF each end, numbered by `pos`; of several lines of a kind in a block, the last counts.
+    """
+    number = lambda pattern: F.when(F.rlike(line, F.lit(pattern)), F.regexp_extract(line, pattern, 1).cast("long"))
+    told = lines.select(by, pos, number(TOTAL).alias("total"), number(PASSED).alias("p"), number(FAILED).alias("f")).where("coalesce(total, p, f) is not null")
+    ahead = Window.partitionBy(by).orderBy(pos).rangeBetween(0, TOTALS_WINDOW - 1)
+    told = told.withColumn("passed", F.last("p", ignorenulls=True).over(ahead)).withColumn("failed", F.last("f", ignorenulls=True).over(ahead))
+    best = told.where("total is not null and passed is not null and failed is not null").groupBy(by).agg(F.max_by(F.struct("failed", "passed", "total"), pos).alias("t"))
+    return best.select(by, "t.failed", "t.passed", F.lit(0).cast("long").alias("skipped"), "t.total")
 
 
-def between(text: Column, first: str = "Error Message:", second: str = "Stack Trace:") -> tuple[Column, Column]:
+def totals(lines: DataFrame, by: str, pos: str, line: str = "line") -> DataFrame:
+    """The totals of each run: those of its last summary line, else of its last block of totals."""
+    first = last_summary(lines, by, pos, line)
+    return first.unionByName(last_totals(lines, by, pos, line).join(first.select(by), by, "left_anti"))
+
+
+def failed_name(line: Column) -> Column:
+    """The name of the test whose failure a line reports, else null."""
+    return F.coalesce(*(F.nullif(X.trimmed(F.regexp_extract(line, p, 1)), F.lit("")) for p in ANCHORS))
+
+
+def blocks(lines: DataFrame, by: str, pos: str, anchor: Column, most: int = MOST_FAILED) -> DataFrame:
+    """Lines with the number of the block that they stand in: from an anchor up to the next one. The first blocks of each log are kept; lines before the first anchor aren't in one.
+
+    Only the places of a log's first anchors are needed, so no task goes through a whole log.
+    """
+    n = F.row_number().over(Window.partitionBy(by).orderBy(pos))
+    first = lines.where(anchor).select(by, pos).withColumn("_n", n).where(F.col("_n") <= most + 1).groupBy(by).agg(F.collect_list(pos).alias("_at"))
+    own = lines.join(first, by).withColumn("block", F.size(F.filter("_at", lambda a: a <= F.col(pos))).cast("long"))
+    return own.where((F.col("block") >= 1) & (F.col("block") <= most)).drop("_at")
+
+
+def failures(lines: DataFrame, by: str, pos: str, line: str = "line", most: int = MOST_FAILED) -> DataFrame:
+    """block, name, error and stack of the first failed tests of each log.
+
+    The error is what stands after its label, or without one after the first line, up to the stack's label, as one line; the stack
+    is what follows its label, as far as it is shown. A stack before the error's label leaves no error.
+    """
+    named = lines.withColumn("_name", failed_name(F.col(line)))
+    own = blocks(named, by, pos, F.col("_name").isNotNull(), most)
+    low = F.lower(line)
+    e, s = F.instr(low, F.lit(ERROR_LABEL.lower())), F.instr(low, F.lit(STACK_LABEL.lower()))
+    own = own.select(by, "block", pos, F.col(line).alias("_line"), "_name", F.when(e > 0, e).alias("_e"), F.when(s > 0, s).alias("_s"))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("pos"), F.col(c).alias("at"))))
+    heads = own.groupBy(by, "block").agg(F.min_by("_name", pos).alias("name"), F.min(pos).alias("head"), first("_e").alias("error_at"), first("_s").alias("stack_at"))
+    at = own.drop("_name", "_e", "_s").join(heads.drop("name"), [by, "block"])
+    # What of each line belongs to either part.
+    p, a, b = F.col(pos), F.col("error_at"), F.col("stack_at")
+    ahead = F.when(p == b["pos"], F.left("_line", b["at"] - 1)).when(b.isNull() | (p < b["pos"]), F.col("_line"))
+    labelled = F.when(p > a["pos"], ahead).when((p == a["pos"]) & (b.isNull() | (b["pos"] > p) | (b["at"] > a["at"])), F.substr(F.coalesce(ahead, F.lit("")), a["at"] + len(ERROR_LABEL)))
+    error = F.when(a.isNotNull() & (b.isNull() | (a < b)), labelled).when(a.isNull() & (p > F.col("head")), F.when(b.isNotNull(), ahead))
+    stack = F.when(p > b["pos"], F.col("_line")).when(p == b["pos"], F.substr("_line", b["at"] + len(STACK_LABEL)))
+    part = F.explode(F.array(F.struct(F.lit("error").alias("part"), X.trimmed(error).alias("text")), F.struct(F.lit("stack").alias("part"), F.regexp_replace(stack, r"\s+$", "").alias("text"))))
+    rank = F.row_number().over(Window.partitionBy(by, "block", "part").orderBy(pos))
+    rows = at.select(by, "block", pos, part.alias("x")).select(by, "block", pos, "x.*").where("text != ''").withColumn("n", rank)
+    # Each kept line of an error is a character at least, so no more lines than characters can be shown.
+    rows = rows.where(F.when(F.col("part") == "stack", F.col("n") <= X.STACK_LINES).otherwise(F.col("n") <= X.DETAIL_CHARS))
+    joined = lambda name, mark: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("n", "text")))), lambda x: x["text"]), mark)
+    texts = rows.groupBy(by, "block").agg(joined("error", " ").alias("error"), F.regexp_replace(joined("stack", "\n"), r"^\s+", "").alias("stack"))
+    out = heads.select(by, "block", "name").join(texts, [by, "block"], "left")
+    cut = lambda c, n: X.ellipsis(F.coalesce(c, F.lit("")), n, "...", n - 3)
+    return out.select(by, "block", "name", cut(F.col("error"), X.DETAIL_CHARS).alias("error"), cut(F.col("stack"), X.STACK_CHARS).alias("stack"))
+
+
+def between(text: Column, first: str = ERROR_LABEL, second: str = STACK_LABEL) -> tuple[Column, Column]:
     """What stands after the first label up to the second, and what stands after the second; empty where a label is missing or out of order."""
     low = F.lower(text)
     a, b = F.instr(low, F.lit(first.lower())), F.instr(low, F.lit(second.lower()))

@@ -13,6 +13,11 @@ def file_lines(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     return files.select("*", F.posexplode(X.lines(F.col(text))).alias("pos", "line")).drop(text).withColumn("line_no", F.col("pos").cast("long") + 1).drop("pos")
 
 
+def physical_lines(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """A row for each entry of each file that a CR or LF ends, numbered from 0; CRLF yields an empty one more."""
+    return files.select(key, F.posexplode(X.lines_physical(F.col(text))).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+
+
 def search(files: DataFrame, key: str, pattern: str, regex: bool = False, text: str = "text") -> DataFrame:
     """Lines that hold a pattern, in any case. A plain pattern without a line end is looked for in whole texts first: others have no such line."""
     if not pattern.strip():
@@ -49,6 +54,8 @@ def line_range(files: DataFrame, key: str, start: int, count: int) -> DataFrame:
     """Lines start to start + count - 1 of each file, numbered; short tells that the file ends before."""
     if start < 1 or count < 1:
         raise ValueError("start and count are 1 or more")
+    if start + count - 1 > 2**31 - 1:
+        raise ValueError("start + count is too large")
     found = X.lines(F.col("text"))
     some = files.select(key, F.size(found).cast("long").alias("n"), F.posexplode(F.slice(found, start, count)).alias("i", "line"))
     no = F.col("i").cast("long") + start

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import code, graph, logs, patch, search, symbols, tree
+from ..sources import workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,17 +105,26 @@ def file_cap(t):
 
 
 BUILD = """b as (select l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  case l_returnflag when 'A' then 'src/F' || l_partkey || '.cs(' || l_linenumber || ',' || l_suppkey || '): error CS' || (1000 + l_suppkey) || ': bad part ' || l_partkey
-    when 'R' then '  src/F' || l_partkey || '.cs(' || l_linenumber || ', 1): WARNING CA' || l_suppkey || ': old part ' || l_partkey || ' ' else 'Restore of part ' || l_partkey || ' done' end line from lineitem)"""
-PARSED = r"""p as (select *, trim(line) t from b), d as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(regexp_extract(t, '{p}', 2, 'i')) severity, regexp_extract(t, '{p}', 3, 'i') code, regexp_extract(t, '{p}', 1, 'i') "location", trim(regexp_extract(t, '{p}', 4, 'i')) message
-  from p where regexp_matches(t, '{p}', 'i'))""".replace("{p}", logs.DIAGNOSTIC.removeprefix("(?i)"))
+  case when l_returnflag = 'A' then 'src/F' || l_partkey || '.cs(' || l_linenumber || ',' || l_suppkey || '): error CS' || (1000 + l_suppkey) || ': bad part ' || l_partkey
+    when l_returnflag = 'R' then '  src/F' || l_partkey || '.cs(' || l_linenumber || ', 1): WARNING CA' || l_suppkey || ': old part ' || l_partkey || ' '
+    when l_linenumber = 1 then 'src/G (x)/' || l_partkey || '.cs(1,2) : error AD0001-x : see b.cs(3,4): warning W1: two at once'
+    when l_linenumber = 2 then 'src/H' || l_partkey || '.cs(7,' || E'\\t' || '8): Error N.E/1:'
+    when l_linenumber = 3 then 'MSBUILD : error MSB1009: no place ' || l_partkey
+    else 'Restore of part ' || l_partkey || ' done' end line from lineitem)"""
+#: Written from the format's description, not from the library's pattern.
+PARSED = r"""m as (select *, regexp_extract(line, '^(.+\([0-9]+,\s*[0-9]+\))\s*:\s*(error|warning)\s+(\S+)\s*:\s*(.*)$', ['place', 'sev', 'id', 'msg'], 'i') x from b),
+  d as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(x.sev) severity, x.id code, regexp_replace(x.place, '^\s+|\s+$', '', 'g') "location", regexp_replace(x.msg, '^\s+|\s+$', '', 'g') message from m where x.place <> '')"""
 
 
 def _build(t) -> DataFrame:
     part, line, supp = (F.col(c).cast("string") for c in ("l_partkey", "l_linenumber", "l_suppkey"))
     error = F.concat(F.lit("src/F"), part, F.lit(".cs("), line, F.lit(","), supp, F.lit("): error CS"), (F.col("l_suppkey") + 1000).cast("string"), F.lit(": bad part "), part)
     warning = F.concat(F.lit("  src/F"), part, F.lit(".cs("), line, F.lit(", 1): WARNING CA"), supp, F.lit(": old part "), part, F.lit(" "))
-    text = F.when(F.col("l_returnflag") == "A", error).when(F.col("l_returnflag") == "R", warning).otherwise(F.concat(F.lit("Restore of part "), part, F.lit(" done")))
+    odd = [F.concat(F.lit("src/G (x)/"), part, F.lit(".cs(1,2) : error AD0001-x : see b.cs(3,4): warning W1: two at once")), F.concat(F.lit("src/H"), part, F.lit(".cs(7,\t8): Error N.E/1:")), F.concat(F.lit("MSBUILD : error MSB1009: no place "), part)]
+    text = F.when(F.col("l_returnflag") == "A", error).when(F.col("l_returnflag") == "R", warning)
+    for i, x in enumerate(odd):
+        text = text.when(F.col("l_linenumber") == i + 1, x)
+    text = text.otherwise(F.concat(F.lit("Restore of part "), part, F.lit(" done")))
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("line"))
 
 
@@ -143,16 +153,69 @@ def diag_distinct(t):
     return logs.first_of_each(rows, ["severity", "message"], ["doc_id"]).select("severity", "message")
 
 
-@query("""with r as (select o_custkey, o_orderkey, 'Failed! - Failed: ' || o_orderkey % 3 || ', Passed: ' || o_orderkey % 50 || ', Skipped: ' || o_orderkey % 2 || ', Total: ' || (o_orderkey % 3 + o_orderkey % 50 + o_orderkey % 2) line from orders),
-  l as (select o_custkey, arg_max(line, o_orderkey) l from r group by 1)
+@query("""with r as (select o_custkey, o_orderkey, case o_orderkey % 5 when 0 then 'x Passed!  -  Failed: ' when 1 then 'failed! - Failed: ' when 2 then 'Failed: ' else 'Failed! - Failed: ' end || o_orderkey % 3 || ', Passed: ' || o_orderkey % 50 || ', Skipped: ' || o_orderkey % 2 || ', Total: ' || (o_orderkey % 3 + o_orderkey % 50 + o_orderkey % 2) line from orders),
+  l as (select o_custkey, arg_max(line, o_orderkey) l from r where regexp_matches(line, '(Passed|Failed)!\\s+-\\s+Failed:') group by 1)
   select o_custkey, cast(regexp_extract(l, 'Failed: ([0-9]+)', 1) as bigint) failed, cast(regexp_extract(l, 'Passed: ([0-9]+)', 1) as bigint) passed, cast(regexp_extract(l, 'Skipped: ([0-9]+)', 1) as bigint) skipped, cast(regexp_extract(l, 'Total: ([0-9]+)', 1) as bigint) total from l""")
 def test_summary(t):
     k = F.col("o_orderkey")
     a, b, c = k % 3, k % 50, k % 2
-    line = F.concat(F.lit("Failed! - Failed: "), a.cast("string"), F.lit(", Passed: "), b.cast("string"), F.lit(", Skipped: "), c.cast("string"), F.lit(", Total: "), (a + b + c).cast("string"))
+    head = F.when(k % 5 == 0, "x Passed!  -  Failed: ").when(k % 5 == 1, "failed! - Failed: ").when(k % 5 == 2, "Failed: ").otherwise("Failed! - Failed: ")
+    line = F.concat(head, a.cast("string"), F.lit(", Passed: "), b.cast("string"), F.lit(", Skipped: "), c.cast("string"), F.lit(", Total: "), (a + b + c).cast("string"))
     return logs.last_summary(t("orders").select("o_custkey", "o_orderkey", line.alias("line")), "o_custkey", "o_orderkey")
 
 
+# Test logs made alike on both sides: a run for each customer, a line for each order, or three with CRLF.
+TOTALS = """o as (select o_custkey, o_orderkey, case o_orderkey % 7 when 0 then 'Total tests: ' || o_orderkey when 1 then '  passed: ' || o_orderkey % 90 || '  ' when 2 then 'Failed: ' || o_orderkey % 9 when 3 then E'noise\\r' when 4 then 'Passed: ' || o_orderkey % 50 || ' of them' else 'building' end line from orders),
+  r as (select o_custkey, string_agg(line, E'\\n' order by o_orderkey) t from o group by 1),
+  l as (select o_custkey, unnest(string_split_regex(t, '[\r\n]')) line, unnest(range(0, len(string_split_regex(t, '[\r\n]')))) pos from r)"""
+
+
+def _totals(t) -> DataFrame:
+    k = F.col("o_orderkey")
+    n = lambda m: (k % m).cast("string")
+    line = F.when(k % 7 == 0, F.concat(F.lit("Total tests: "), k.cast("string"))).when(k % 7 == 1, F.concat(F.lit("  passed: "), n(90), F.lit("  "))).when(k % 7 == 2, F.concat(F.lit("Failed: "), n(9)))
+    line = line.when(k % 7 == 3, "noise\r").when(k % 7 == 4, F.concat(F.lit("Passed: "), n(50), F.lit(" of them"))).otherwise("building")
+    own = t("orders").select("o_custkey", "o_orderkey", line.alias("line"))
+    runs = own.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return search.physical_lines(runs, "o_custkey")
+
+
+@query(f"""with {TOTALS}, a as (select o_custkey, pos, cast(regexp_extract(line, 'Total tests:\\s*([0-9]+)', 1, 'i') as bigint) total from l where regexp_matches(line, 'Total tests:\\s*[0-9]+', 'i')),
+  p as (select o_custkey, pos, case when regexp_matches(line, '^\\s*passed:\\s*[0-9]+\\s*$', 'i') then 'p' else 'f' end kind, cast(regexp_extract(line, '[0-9]+') as bigint) n from l where regexp_matches(line, '^\\s*(passed|failed):\\s*[0-9]+\\s*$', 'i')),
+  w as (select a.o_custkey, a.pos, total, arg_max(n, p.pos) filter (kind = 'p') passed, arg_max(n, p.pos) filter (kind = 'f') failed from a join p on a.o_custkey = p.o_custkey and p.pos between a.pos and a.pos + 23 group by all)
+  select o_custkey, arg_max(failed, pos) failed, arg_max(passed, pos) passed, 0::bigint skipped, arg_max(total, pos) total from w where passed is not null and failed is not null group by 1""")
+def test_totals(t):
+    return logs.totals(_totals(t), "o_custkey", "pos")
+
+
+FAILURES = """o as (select o_custkey, o_orderkey k, o_orderkey % 8 r, case o_orderkey % 8 when 0 then '[xUnit.net 00:00:01.00]     Ns.T' || o_orderkey || ' [FAIL]  ' when 1 then '  Failed Ns.T' || o_orderkey || ' [12 ms]' when 2 then 'failed : T' || o_orderkey
+  when 3 then '  Error Message:  got ' || o_orderkey when 4 then '  more of ' || o_orderkey || ' ' when 5 then 'x stack trace:  first ' || o_orderkey when 6 then '   at F' || o_orderkey || '()  ' else ' ' end line from orders)"""
+
+
+@query(f"""with {FAILURES}, n as (select *, sum(case when r < 3 then 1 else 0 end) over (partition by o_custkey order by k rows unbounded preceding) block from o),
+  b as (select o_custkey, block, string_agg(line, E'\\n' order by k) t, case min_by(r, k) when 2 then 'T' else 'Ns.T' end || min(k) as name from n where block between 1 and 5 group by 1, 2),
+  x as (select *, strpos(lower(t), 'error message:') e, strpos(lower(t), 'stack trace:') s, strpos(t, E'\\n') l from b),
+  y as (select *, case when e > 0 and s = 0 then substr(t, e + 14) when e > 0 and s > e then substr(t, e + 14, s - e - 14) when e = 0 and s > 0 and l + 1 < s then substr(t, l + 1, s - l - 1) else '' end error_text, case when s > 0 then substr(t, s + 12) else '' end stack_text from x),
+  z as (select o_custkey, block, name, array_to_string(list_filter(list_transform(string_split(error_text, E'\\n'), lambda q: trim(q)), lambda q: q <> ''), ' ') error,
+    array_to_string(list_slice(list_filter(list_transform(string_split(ltrim(stack_text, E' \\n'), E'\\n'), lambda q: rtrim(q)), lambda q: q <> ''), 1, 15), E'\\n') stack from y)
+  select o_custkey, cast(block as bigint) block, name, case when length(error) > 512 then left(error, 509) || '...' else error end error, case when length(stack) > 1200 then left(stack, 1197) || '...' else stack end stack from z""")
+def test_failures(t):
+    k = F.col("o_orderkey")
+    of = lambda a, b="": F.concat(F.lit(a), k.cast("string"), F.lit(b))
+    line = F.lit(" ")
+    for r, x in enumerate([of("[xUnit.net 00:00:01.00]     Ns.T", " [FAIL]  "), of("  Failed Ns.T", " [12 ms]"), of("failed : T"), of("  Error Message:  got "), of("  more of ", " "), of("x stack trace:  first "), of("   at F", "()  ")]):
+        line = F.when(k % 8 == r, x).otherwise(line)
+    return logs.failures(t("orders").select("o_custkey", "o_orderkey", line.alias("line")), "o_custkey", "o_orderkey")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, '[' || sev || '] Line ' || l_quantity::bigint || ': (CS' || l_suppkey || ') part ' || l_partkey shown from (select *, case l_returnflag when 'A' then 'Error' when 'R' then 'Warning' else 'Info' end sev from lineitem) where sev <> 'Info'")
+def diag_lines(t):
+    sev = F.when(F.col("l_returnflag") == "A", "Error").when(F.col("l_returnflag") == "R", "Warning").otherwise("Info")
+    own = t("lineitem").withColumn("sev", sev)
+    found = logs.rendered(own, F.col("sev"), F.col("l_quantity").cast("long"), F.concat(F.lit("CS"), F.col("l_suppkey").cast("string")), F.concat(F.lit("part "), F.col("l_partkey").cast("string")))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "shown")
+
+
 @query("""with n as (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) block from conversations)
   select conv_id, cast(block as bigint) block, count(*) n_lines, min(turn) first_turn, string_agg(text, E'\\n' order by turn) body from n where block between 1 and 2 group by 1, 2""")
 def failed_blocks(t):
@@ -166,18 +229,18 @@ def one_line(t):
     return t("documents").select("doc_id", X.one_line(F.col("text")).alias("line"))
 
 
-@query(r"select doc_id, case when length(text) <= 3000 then text else left(text, 1000) || E'\n...\n' || right(text, 1500) end excerpt from documents")
+@query(r"select doc_id, case when length(text) <= 3000 then text else left(text, 1000) || E'\n\n...[MIDDLE LOG TRUNCATED]...\n\n' || right(text, 1500) end excerpt from documents")
 def excerpt(t):
     return t("documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("select doc_id, length(text) \"length\", length(text) // 4 tokens, case when length(text) < 500 then text else left(text, 250) || ' ... ' || right(text, 250) end preview from documents")
+@query("select doc_id, length(text) \"length\", length(text) // 4 tokens, case when length(text) < 500 then text else left(text, 250) || E'\\n...[TRUNCATED]...\\n' || right(text, 250) end preview from documents")
 def telemetry(t):
     x = F.col("text")
     return t("documents").select("doc_id", F.char_length(x).cast("long").alias("length"), X.tokens_estimate(x).alias("tokens"), X.telemetry_preview(x).alias("preview"))
 
 
-@query("select doc_id, case when length(text) <= 800 then text else left(text, 800) || '... (+' || (length(text) - 800) || ' chars)' end params from documents")
+@query("select doc_id, case when length(text) <= 800 then text else left(text, 800) || '... [truncated ' || (length(text) - 800) || ' chars]' end params from documents")
 def rpc_trunc(t):
     return t("documents").select("doc_id", X.suffix_cut(F.col("text"), 800).alias("params"))
 
@@ -209,17 +272,72 @@ def refs_grouped(t):
     return found.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("shown"), F.min("total").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["p"]), ",").alias("places"))
 
 
-@query(f"""with {LINES}, s as (select doc_id, line_no, line, sum(length(line) + 1) over (partition by doc_id order by line_no) e from lines),
-  p as (select doc_id, strpos(lower(text), 'license') - 1 pos from documents where contains(lower(text), 'license'))
-  select doc_id, pos, line_no, cast(e - length(line) - 1 as bigint) start, line header from s join p using (doc_id) where pos >= e - length(line) - 1 and pos < e""")
-def enclosing_line(t):
+SPANS = f"""{LINES}, e as (select doc_id, line_no, line, sum(length(line) + 1) over (partition by doc_id order by line_no) e from lines where doc_id in (select doc_id from documents where contains(lower(text), 'license'))),
+  s as (select doc_id, line_no, line, cast(e - length(line) - 1 as bigint) "start", cast(e as bigint) "end" from e),
+  p as (select doc_id, unnest(list_filter(range(0, length(text)), lambda i: substr(lower(text), i + 1, 7) = 'license')) pos from documents where contains(lower(text), 'license'))"""
+
+
+def _spans(t) -> tuple[DataFrame, DataFrame]:
+    """Lines with their places, and all places of a word."""
     docs = t("documents").where(X.contains_ci(F.col("text"), "license"))
     end = F.sum(F.char_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("line_no"))
-    own = search.file_lines(docs.select("doc_id", "text"), "doc_id").select("doc_id", "line_no", F.lit("method").alias("kind"), end.alias("end"), F.col("line").alias("header"))
-    spans = own.withColumn("start", F.col("end") - F.char_length("header") - 1)
-    points = docs.select("doc_id", (F.instr(F.lower("text"), F.lit("license")) - 1).cast("long").alias("pos"))
-    found = symbols.enclosing(points, spans.select("doc_id", "kind", "start", "end", "header", "line_no").drop("line_no"), "doc_id")
-    return found.join(spans.select("doc_id", "start", "line_no"), ["doc_id", "start"]).select("doc_id", "pos", "line_no", "start", "header")
+    own = search.file_lines(docs.select("doc_id", "text"), "doc_id").select("doc_id", "line_no", end.alias("end"), F.col("line").alias("header"))
+    found = F.expr("filter(sequence(0, char_length(text) - 1), i -> substr(lower(text), i + 1, 7) = 'license')")
+    return own.withColumn("start", F.col("end") - F.char_length("header") - 1), docs.select("doc_id", F.explode(found).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""with {SPANS} select doc_id, pos, line_no, "start", line header from s join p using (doc_id) where pos >= "start" and pos < "end\"""")
+def enclosing_line(t):
+    lines, points = _spans(t)
+    found = symbols.enclosing(points, lines.withColumn("kind", F.lit("method")), "doc_id")
+    return found.join(lines.select("doc_id", "start", "line_no"), ["doc_id", "start"]).select("doc_id", "pos", "line_no", "start", "header")
+
+
+KIND_OF = "case line_no % 6 when 0 then 'class' when 1 then 'method' when 2 then 'event' when 3 then 'property' when 4 then 'ctor' else 'field' end"
+
+
+@query(f"""with {SPANS}, g as (select doc_id, {KIND_OF} kind, "start", "end", line header from s union all select doc_id, 'class', min("start"), max("end"), 'class ' || (line_no - 1) // 4 from s group by doc_id, (line_no - 1) // 4 union all select doc_id, 'interface', min("start"), max("end"), 'all' from s where doc_id % 2 = 0 group by doc_id),
+  r as (select p.doc_id, pos, kind, header, row_number() over (partition by p.doc_id, pos order by list_position(['method', 'ctor', 'property', 'field', 'class', 'interface'], kind), "end" - "start", "start") n from p join g on p.doc_id = g.doc_id and pos >= "start" and pos < "end" and kind <> 'event')
+  select p.doc_id, p.pos, case when d.doc_id is null then '(unknown file)' else source end path, d.doc_id is not null known, r.kind, r.header from p left join r on r.doc_id = p.doc_id and r.pos = p.pos and n = 1 left join (select * from documents where doc_id % 3 <> 0) d on d.doc_id = p.doc_id""")
+def references_context(t):
+    lines, points = _spans(t)
+    wide = lines.groupBy("doc_id", ((F.col("line_no") - 1) / 4).cast("long").alias("n")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    whole = lines.where("doc_id % 2 = 0").groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = lines.select("doc_id", F.expr(KIND_OF).alias("kind"), "start", "end", "header")
+    spans = spans.unionByName(wide.select("doc_id", F.lit("class").alias("kind"), "start", "end", F.concat(F.lit("class "), F.col("n").cast("string")).alias("header")))
+    spans = spans.unionByName(whole.select("doc_id", F.lit("interface").alias("kind"), "start", "end", F.lit("all").alias("header")))
+    found = symbols.enclosing(points, spans, "doc_id", 512)
+    known = t("documents").where("doc_id % 3 != 0").select("doc_id", F.col("source").alias("path"))
+    return symbols.with_documents(found, known, "doc_id").select("doc_id", "pos", "path", "known", "kind", "header")
+
+
+SYMBOL = "case p_size % 7 when 0 then 'type' when 1 then 'method' when 2 then 'property' when 3 then 'event' when 4 then 'field' else 'other' end"
+
+
+@query(f"""with s as (select p_brand, p_partkey, {SYMBOL} kind, p_size % 4 n_params, p_name || '.' || p_partkey fqn from part),
+  r as (select *, row_number() over (partition by p_brand order by case kind when 'type' then 400 when 'method' then 300 when 'property' then 250 when 'event' then 200 when 'field' then 150 else 100 end desc, case when kind = 'method' then n_params else 0 end, fqn) rank, count(*) over (partition by p_brand) n from s),
+  q as (select *, row_number() over (partition by p_brand order by rank > 1, fqn) - 1 place from r) select p_brand, p_partkey, kind, place, greatest(n - 11, 0) more from q where place <= 10""")
+def symbol_chosen(t):
+    s = t("part").select("p_brand", "p_partkey", F.expr(SYMBOL).alias("kind"), (F.col("p_size") % 4).alias("n_params"), F.concat_ws(".", "p_name", "p_partkey").alias("fqn"))
+    return symbols.chosen(s, ["p_brand"]).select("p_brand", "p_partkey", "kind", "place", "more")
+
+
+@query("""with s as (select distinct p_partkey, p_name, p_brand, p_size % 3 n from part where lower(p_brand) = 'brand#11'), l as (select *, unnest(range(0, n)) i from s),
+  f as (select p_partkey, p_name, p_brand, 'src/' || p_partkey || '_' || i || '.cs' path, cast(i * 10 + 1 as bigint) line from l order by p_name, p_partkey, i limit 200)
+  select p_partkey, p_name, p_brand, path, line from f union all select p_partkey, p_name, p_brand, null, null from s where n = 0""")
+def definitions_located(t):
+    place = F.transform(F.sequence(F.lit(0), F.col("p_size") % 3 - 1), lambda i: F.struct(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit("_"), i.cast("string"), F.lit(".cs")).alias("path"), (i * 10 + 1).cast("long").alias("line")))
+    s = t("part").select("p_partkey", "p_name", F.col("p_brand").alias("name"), F.when(F.col("p_size") % 3 > 0, place).alias("locations"))
+    return symbols.located(s, " BRAND#11 ", ["p_name", "p_partkey"]).select("p_partkey", "p_name", F.col("name").alias("p_brand"), "path", "line")
+
+
+@query(f"""with {LINES}, q as (select doc_id, line_no, replace(replace(line, 'e ', '` '), 'a', 'aaaaa') line from lines) select l_orderkey, l_linenumber, l_suppkey doc_id, l_partkey, case when coalesce(rtrim(line), '') = '' then '(source line unavailable)' else replace(case when length(rtrim(line)) > 400 then left(rtrim(line), 400) || '…' else rtrim(line) end, '`', chr(39)) end source
+  from lineitem left join q on doc_id = l_suppkey and line_no = l_linenumber""")
+def usage_lines(t):
+    docs = t("documents").select("doc_id", "text")
+    lines = search.file_lines(docs, "doc_id").withColumn("line", F.replace(F.replace("line", F.lit("e "), F.lit("` ")), F.lit("a"), F.lit("aaaaa")))
+    refs = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("doc_id"), "l_partkey", F.col("l_linenumber").cast("long").alias("line_no"))
+    return symbols.with_source_lines(refs, lines, ["doc_id", "line_no"]).drop("line_no")
 
 
 RENAMED = r"regexp_replace(text, '\bthe\b', 'THE', 'g')"
@@ -282,14 +400,30 @@ def project_list(t):
     return graph.listing(*_projects(t))
 
 
+@query(f"""with {PROJECTS}, n as (select *, row_number() over (partition by src_id order by dst_id) ord from e),
+  x as (select p.project_id, p.name as name, string_agg(q.name, ', ' order by ord) refs from p left join n on src_id = p.project_id left join p q on q.project_id = dst_id group by 1, 2)
+  select name, case when project_id % 3 = 0 then '(unknown path)' else 'src/' || name || '.csproj' end path, case when project_id % 2 = 0 then '(unknown)' else 'net' || project_id || '.0' end tfm, case when project_id % 4 = 0 then 'Exe' else '(unknown)' end output_type, coalesce(refs, '(none)') "references" from x""")
+def projects_described(t):
+    own, edges = _projects(t)
+    k = F.col("project_id")
+    own = own.withColumn("path", F.when(k % 3 != 0, F.concat(F.lit("src/"), "name", F.lit(".csproj")))).withColumn("tfm", F.when(k % 2 != 0, F.concat(F.lit("net"), k.cast("string"), F.lit(".0")))).withColumn("output_type", F.when(k % 4 == 0, "Exe"))
+    return graph.described(own, edges.withColumn("ord", F.col("dst_id")))
+
+
 @query(r"select page_id, nullif(regexp_replace(nullif(regexp_extract(html, '<title>(.*?)</title>', 1, 'is'), ''), '^\s+|\s+$', '', 'g'), null) title from pages")
 def project_tags(t):
     return t("pages").select("page_id", X.tag_value(F.col("html"), "title").alias("title"))
 
 
-@query("select p_partkey, case when contains(lower(p_type), 'brass') then 'Test' when contains(lower(p_type), 'steel') or contains(lower(p_type), 'tin') then 'Web' else 'Library' end kind from part")
+@query("""select p_partkey, case when contains(lower(p_type), 'nickel') or contains(lower(p_brand), 'tests') then 'Test' when contains(lower(p_type), 'steel') then 'Web API' when contains(lower(p_type), 'tin') then 'Worker' else 'Library' end kind
+  from (select p_partkey, p_type, case when p_size % 9 = 0 then p_brand || '.Tests' else p_brand end p_brand from part)""")
 def project_type(t):
-    return t("part").select("p_partkey", graph.classified(F.col("p_type"), [("Test", ["BRASS"]), ("Web", ["STEEL", "TIN"])], "Library").alias("kind"))
+    """References are named after metals here, so that each kind occurs."""
+    refs = F.col("p_type")
+    for metal, name in (("NICKEL", "xUnit.core"), ("STEEL", "Microsoft.AspNetCore.App"), ("TIN", "Microsoft.Extensions.Hosting")):
+        refs = F.replace(refs, F.lit(metal), F.lit(name))
+    brand = F.when(F.col("p_size") % 9 == 0, F.concat("p_brand", F.lit(".Tests"))).otherwise(F.col("p_brand"))
+    return t("part").select("p_partkey", workspace.project_kind(refs, brand).alias("kind"))
 
 
 @query("""with k(wanted) as (values ('brand#11'), ('AND#2'), ('nothing')) select wanted, p_brand, p_partkey from (select *, row_number() over (partition by wanted order by case when lower(p_brand) = lower(wanted) then 0 else 1 end, p_partkey) n from part join k on contains(lower(p_brand), lower(wanted))) where n = 1""")
@@ -299,9 +433,25 @@ def assembly_resolve(t):
     return graph.resolved(wanted, part, "wanted", "p_brand", "p_partkey").select("wanted", "p_brand", "p_partkey")
 
 
-@query("select p_brand ns, count(*) n, string_agg(distinct p_type, ', ' order by p_type) types from part group by 1")
+ACCESS_OF = "case p_size % 6 when 0 then 'Public' when 1 then 'Protected' when 2 then 'ProtectedAndInternal' when 3 then 'ProtectedOrInternal' when 4 then 'Internal' else 'Private' end"
+NAME_OF = "case when p_size % 11 = 0 then '<' || p_name || '>d' else p_name || p_partkey end"
+
+
+@query(f"""with y as (select case when p_size % 10 = 0 then '' else p_type end ns, {NAME_OF} as name, case when p_partkey % 5 = 0 then 'interface' when p_partkey % 5 = 1 then 'struct' else 'class' end kind, {ACCESS_OF} access from part)
+  select case when ns = '' then '(global namespace)' else ns end ns, count(*) n, string_agg(kind || ' ' || name, ', ' order by name, kind) types from y where kind <> 'struct' and access not in ('Internal', 'Private') and not contains(name, '<') group by 1""")
 def types_by_ns(t):
-    return t("part").groupBy(F.col("p_brand").alias("ns")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("types"))
+    kind = F.expr("case when p_partkey % 5 = 0 then 'interface' when p_partkey % 5 = 1 then 'struct' else 'class' end")
+    own = t("part").select(F.expr("case when p_size % 10 = 0 then ' ' else p_type end").alias("namespace"), F.expr(NAME_OF).alias("name"), kind.alias("kind"), F.expr(ACCESS_OF).alias("access"))
+    return graph.by_namespace(own)
+
+
+@query(f"""with m as (select p_type type_id, p_partkey, {NAME_OF} as name, case p_partkey % 4 when 0 then 'field' when 1 then 'property' when 2 then 'method' else 'ctor' end kind, {ACCESS_OF} access, p_size % 2 = 0 is_static, p_partkey % 17 = 0 is_accessor, p_partkey % 19 = 0 is_operator, p_size n_params from part),
+  v as (select *, case kind when 'field' then 0 when 'property' then 1 else 2 end section from m where access in ('Public', 'Protected', 'ProtectedAndInternal', 'ProtectedOrInternal') and not contains(name, '<') and not is_accessor and not is_operator)
+  select type_id, p_partkey, section::bigint section, case access when 'Public' then 'public ' when 'Protected' then 'protected ' else 'protected internal ' end || case when is_static then 'static ' else '' end || name shown, row_number() over (partition by type_id order by section, name, case when section = 2 then n_params else 0 end, name) place from v""")
+def members_visible(t):
+    kind = F.expr("case p_partkey % 4 when 0 then 'field' when 1 then 'property' when 2 then 'method' else 'ctor' end")
+    own = t("part").select(F.col("p_type").alias("type_id"), "p_partkey", F.expr(NAME_OF).alias("name"), kind.alias("kind"), F.expr(ACCESS_OF).alias("access"), (F.col("p_size") % 2 == 0).alias("is_static"), (F.col("p_partkey") % 17 == 0).alias("is_accessor"), (F.col("p_partkey") % 19 == 0).alias("is_operator"), F.col("p_size").alias("n_params"))
+    return graph.visible_members(own.withColumn("signature", F.col("name"))).select("type_id", "p_partkey", "section", "shown", "place")
 
 
 @query("select 'fields' section, 0::bigint section_rank, c_name as name, c_custkey id from customer union all select 'properties', 1, s_name, s_suppkey from supplier union all select 'methods', 2, p_name, p_partkey from part")
@@ -310,16 +460,46 @@ def member_sections(t):
     return graph.sections([("fields", part("customer", "c_name", "c_custkey")), ("properties", part("supplier", "s_name", "s_suppkey")), ("methods", part("part", "p_name", "p_partkey"))])
 
 
-@query("select p_brand, string_agg(p_name, E'\\n---\\n' order by p_size, p_name, p_partkey) bodies from part where p_size <= 5 group by 1")
+@query("""select p_brand, p_type as name, string_agg(case when p_partkey % 7 = 0 then p_name else p_name end, E'\\n\\n---\\n\\n' order by p_size, p_name, p_partkey) bodies, count(*) n from part where p_partkey % 13 <> 0 group by 1, 2""")
 def overloads(t):
-    own = F.array_sort(F.collect_list(F.struct("p_size", "p_name", "p_partkey")))
-    return t("part").where("p_size <= 5").groupBy("p_brand").agg(F.array_join(F.transform(own, lambda x: x["p_name"]), "\n---\n").alias("bodies"))
+    body = F.when(F.col("p_partkey") % 13 == 0, " \n").when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit("  \n"))).otherwise(F.col("p_name"))
+    own = t("part").select("p_brand", F.col("p_type").alias("name"), body.alias("body"), F.lit(False).alias("is_accessor"), "p_size", "p_name", "p_partkey")
+    return graph.overload_bodies(own, ["p_brand", "name"], ["p_size", "p_name", "p_partkey"])
 
 
-@query("select p_brand, string_agg(p_name, E'\\n---\\n' order by p_size, p_name, p_partkey) bodies from part group by 1")
-def overloads_all(t):
-    own = F.array_sort(F.collect_list(F.struct("p_size", "p_name", "p_partkey")))
-    return t("part").groupBy("p_brand").agg(F.array_join(F.transform(own, lambda x: x["p_name"]), "\n---\n").alias("bodies"))
+@query("""select p_partkey, regexp_extract(p_name, '^[^ ]*') || case when p_size % 3 = 0 then '' else '<' || array_to_string(list_transform(range(0, p_size % 3), lambda i: 'T' || i), ', ') || '>' end shown, replace(p_type, ' ', '.') nested,
+  case when length(p_name) > 12 then left(p_name, 9) || '...' else p_name end short, regexp_extract(p_type, '[^ ]*$') file, p_retailprice / 1048576.0 mb, case when p_size > 40 then null else p_size + 4 end last from part""")
+def names(t):
+    """Names of types, nested types and files, short forms, sizes and ends of ranges."""
+    first = F.substring_index("p_name", " ", 1)
+    tick = F.when(F.col("p_size") % 3 == 0, first).otherwise(F.concat(first, F.lit("`"), (F.col("p_size") % 3).cast("string")))
+    given = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("p_size") % 3 - 1), lambda i: F.concat(F.lit("T"), i.cast("string"))))
+    path = F.concat(F.replace("p_type", F.lit(" "), F.lit("/")), F.lit(".cs"))
+    last = X.last_line(F.when(F.col("p_size") > 40, 2**31 - 3).otherwise(F.col("p_size")), F.lit(5))
+    return t("part").select("p_partkey", X.type_name(tick, given).alias("shown"), X.nested_dotted(F.replace("p_type", F.lit(" "), F.lit("/"))).alias("nested"), X.ellipsis(F.col("p_name"), 12, "...", 9).alias("short"), X.file_stem(path).alias("file"), X.megabytes(F.col("p_retailprice")).alias("mb"), last.alias("last"))
+
+
+@query("""select event_id, case when event_type = 'error' then '(none)' when event_type = 'view' then 'not ' || props else case when length(props) > 20 then left(props, 20) || '... [truncated ' || (length(props) - 20) || ' chars]' else props end end params from (select event_id, event_type, replace(replace(replace(props, ', ', ','), ': ', ':'), ' ', '_') props from events)""")
+def rpc_params(t):
+    tight = F.replace(F.replace(F.replace("props", F.lit(", "), F.lit(",")), F.lit(": "), F.lit(":")), F.lit(" "), F.lit("_"))
+    loose = F.regexp_replace(tight, r'("[^"]*")', " $1 \n")
+    text = F.when(F.col("event_type") == "error", None).when(F.col("event_type") == "view", F.concat(F.lit("not "), tight)).otherwise(loose)
+    shown = F.when(F.col("event_type") == "view", X.rpc_params(text, 0)).otherwise(X.rpc_params(text, 20))
+    return t("events").select("event_id", shown.alias("params"))
+
+
+@query("""with w as (select url path from pages where page_id % 3 = 0 union all select 'none/' || page_id from pages where page_id % 50 = 0), f as (select lower(url) k, min_by(url, (url, page_id)) found, min_by(page_id, (url, page_id)) page_id from pages group by 1)
+  select upper(path) path, found, page_id from w left join f on k = lower(path)""")
+def path_lookup(t):
+    pages = t("pages").select(F.col("url").alias("path"), "page_id")
+    wanted = pages.where("page_id % 3 = 0").select(F.upper("path").alias("path")).unionByName(pages.where("page_id % 50 = 0").select(F.concat(F.lit("NONE/"), F.col("page_id").cast("string")).alias("path")))
+    return symbols.at_paths(pages, wanted, any_case=True)
+
+
+@query("select s_suppkey, s_nationkey || '.' || s_suppkey || '.0' version from supplier order by s_nationkey < 17, s_suppkey limit 1")
+def version_preferred(t):
+    own = t("supplier").select("s_suppkey", F.concat_ws(".", "s_nationkey", "s_suppkey", F.lit("0")).alias("version"))
+    return graph.preferred(own, "version", "s_suppkey")
 
 
 @query("""with e as (select *, case event_type when 'purchase' then 'write' when 'view' then 'append' else 'clear' end action from events where event_type in ('purchase', 'view', 'error')),
@@ -383,3 +563,16 @@ def method_body(t):
 @query(f"""with {SOURCES} select path, replace(replace(text, '{{ return "' || n || ' }}"; }}', '{{ }}'), '=> a + b;', '{{ }}') skeleton from sources order by upper(path), path limit 20""")
 def code_skeletons(t):
     return code.skeletons(_sources(t))
+
+
+@query(f"""with {SOURCES} select path, 'using System;' || E'\\nnamespace N' || k || E'\\n    public class Box\\n        private int size\\n        public string Name(int a)\\n        public int Add(int a, int b)' outline from sources""")
+def class_outlines(t):
+    return code.outlines(_sources(t))
+
+
+@query(f"""with {SOURCES} select path, case when k % 3 = 0 then ['line 11: unexpected )', 'line 11: {{ is not closed'] when k % 3 = 1 then ['line 3: {{ is not closed'] else [] end notes from sources""")
+def code_notes(t):
+    """Sources with a bracket too many, or one too few."""
+    key = F.regexp_extract("path", "[0-9]+", 0).cast("long")
+    odd = F.when(key % 3 == 0, F.concat("text", F.lit("){"))).when(key % 3 == 1, F.regexp_replace("text", r"\}\s*$", "")).otherwise(F.col("text"))
+    return code.with_notes(_sources(t).withColumn("text", odd)).select("path", "notes")

@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from . import settings
+
 KEPT_DAYS = 14
 
 
@@ -47,3 +50,38 @@ def read_log(spark: SparkSession, path: str, days: int = KEPT_DAYS) -> DataFrame
     log = spark.read.parquet(path)
     newest = log.agg(F.max("day")).first()[0]
     return log.where(F.col("day") > F.date_sub(F.lit(newest), days)) if newest else log
+
+
+def prune_log(spark: SparkSession, path: str, days: int = KEPT_DAYS) -> list[str]:
+    """Delete all but the newest folders of a log; the names of those deleted. A log has few of them, one a day."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("day="))
+    for name in found[:-days]:
+        fs.delete(jvm.Path(root, name), True)
+    return found[:-days]
+
+
+def log_outputs(outputs: DataFrame, path: str) -> None:
+    """Log results (ts, tool, result) by their length, estimated tokens and a preview; a null result is empty."""
+    text = F.coalesce("result", F.lit(""))
+    append_log(outputs.select("ts", "tool", F.char_length(text).cast("long").alias("length"), X.tokens_estimate(text).alias("tokens"), X.telemetry_preview(text).alias("preview")), path)
+
+
+def log_requests(requests: DataFrame, path: str) -> bool:
+    """Log requests and notifications (ts, id, method, params) with their parameters as compact JSON, if the session's settings say so; whether they do."""
+    own = settings.settings(requests.sparkSession)
+    if own.log_requests:
+        kind = F.when(F.col("method").isNull(), "message").when(F.col("id").isNull(), "notification").otherwise("request")
+        append_log(requests.select("ts", kind.alias("kind"), "id", "method", X.rpc_params(F.col("params"), own.request_chars).alias("params")), path)
+    return own.log_requests
+
+
+def write_through(spark: SparkSession, updates: DataFrame, path: str, view: str) -> DataFrame:
+    """Apply updates to a table of files and have its view read the new files; the table."""
+    overwrite(spark, upserted(spark.read.parquet(path), updates), path)
+    spark.catalog.refreshByPath(path)
+    after = spark.read.parquet(path)
+    after.createOrReplaceTempView(view)
+    return after

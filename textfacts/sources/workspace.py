@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,12 @@ VIEWS = ("files", "projects", "project_refs", "assembly_refs")
 #: How project files name things, and what tells the kinds of projects apart.
 _PROJECT_LINE = r'(?m)^Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+proj)"'
 _PROJECT_REF = r'(?is)<ProjectReference\s[^>]*?Include="([^"]+)"'
-_PACKAGE = r'(?is)<(?:PackageReference|Reference)\s[^>]*?Include="([^"]+)"'
-KINDS = [
-    ("test", ["xunit", "nunit", "mstest", "microsoft.net.test.sdk"]),
-    ("web", ["microsoft.net.sdk.web", "microsoft.aspnetcore"]),
-    ("desktop", ["usewpf", "usewindowsforms", "avalonia"]),
-    ("console", ["<outputtype>exe"]),
-]
+_PACKAGE = r'(?is)<(?:PackageReference|FrameworkReference|Reference)\s[^>]*?Include="([^"]+)"'
+_SDK = r'(?is)<Project\s[^>]*?Sdk="([^"]+)"'
+TEST_REFERENCES, TEST_NAMES = ["xunit", "nunit", "mstest", "microsoft.net.test.sdk"], [".tests", "tests"]
+KINDS = [("Web API", ["microsoft.aspnetcore.app"]), ("Worker", ["microsoft.extensions.hosting"])]
+#: Frameworks that an SDK brings along.
+SDK_REFERENCES = {"microsoft.net.sdk.web": "Microsoft.AspNetCore.App", "microsoft.net.sdk.worker": "Microsoft.Extensions.Hosting"}
 
 
 def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -45,19 +46,35 @@ def _folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def references(text: Column) -> Column:
+    """What a project file refers to outside of the solution, and what its SDK brings along."""
+    sdk = F.lower(F.regexp_extract(text, _SDK, 1))
+    brought = F.lit(None).cast("string")
+    for name, framework in SDK_REFERENCES.items():
+        brought = F.when(sdk == name, framework).otherwise(brought)
+    return F.concat(F.regexp_extract_all(text, F.lit(_PACKAGE), 1), F.when(brought.isNull(), F.array().cast("array<string>")).otherwise(F.array(brought)))
+
+
+def project_kind(refs: Column, assembly: Column) -> Column:
+    """Test by what is referred to or the assembly's name, else Web API, Worker or Library; `refs` is one text of all references."""
+    named = graph.classified(assembly, [("Test", TEST_NAMES)], "")
+    return F.when(named == "Test", named).otherwise(graph.classified(refs, [("Test", TEST_REFERENCES), *KINDS], "Library"))
+
+
 def projects(sources: DataFrame) -> DataFrame:
-    """project_id (its path), name, path, tfm, output_type, assembly_name and kind of each project file among (path, text)."""
+    """project_id (its path), name, path, tfm, output_type (null if not told), assembly_name and kind of each project file among (path, text)."""
     own = sources.where(F.lower("path").endswith("proj"))
     stem = X.file_stem(F.col("path"))
-    tfm = F.coalesce(X.tag_value(F.col("text"), "TargetFramework"), X.tag_value(F.col("text"), "TargetFrameworks"), F.lit("unknown"))
+    tfm = F.coalesce(X.tag_value(F.col("text"), "TargetFramework"), X.tag_value(F.col("text"), "TargetFrameworks"))
+    assembly = F.coalesce(X.tag_value(F.col("text"), "AssemblyName"), stem)
     return own.select(
         F.col("path").alias("project_id"),
         stem.alias("name"),
         "path",
         tfm.alias("tfm"),
-        F.coalesce(X.tag_value(F.col("text"), "OutputType"), F.lit("Library")).alias("output_type"),
-        F.coalesce(X.tag_value(F.col("text"), "AssemblyName"), stem).alias("assembly_name"),
-        graph.classified(F.col("text"), KINDS, "library").alias("kind"),
+        X.tag_value(F.col("text"), "OutputType").alias("output_type"),
+        assembly.alias("assembly_name"),
+        project_kind(F.array_join(references(F.col("text")), "\n"), assembly).alias("kind"),
     )
 
 
@@ -69,31 +86,35 @@ def solution_projects(sources: DataFrame) -> DataFrame:
 
 
 def project_refs(sources: DataFrame) -> DataFrame:
-    """src_id and dst_id of references between projects; dst_id may name a file that isn't there."""
+    """src_id, dst_id and ord of references between projects, each once; dst_id may name a file that isn't there."""
     own = sources.where(F.lower("path").endswith("proj"))
-    found = own.select(F.col("path").alias("src_id"), F.explode(F.regexp_extract_all("text", F.lit(_PROJECT_REF), 1)).alias("p"))
-    return found.select("src_id", _from(_folder(F.col("src_id")), F.col("p")).alias("dst_id")).distinct()
+    found = own.select(F.col("path").alias("src_id"), F.posexplode(F.regexp_extract_all("text", F.lit(_PROJECT_REF), 1)).alias("ord", "p"))
+    return found.select("src_id", _from(_folder(F.col("src_id")), F.col("p")).alias("dst_id"), "ord").groupBy("src_id", "dst_id").agg(F.min("ord").alias("ord"))
 
 
 def assembly_refs(sources: DataFrame) -> DataFrame:
     """project_id and name of the packages and assemblies that projects refer to."""
     own = sources.where(F.lower("path").endswith("proj"))
-    return own.select(F.col("path").alias("project_id"), F.explode(F.regexp_extract_all("text", F.lit(_PACKAGE), 1)).alias("path")).distinct()
+    return own.select(F.col("path").alias("project_id"), F.explode(references(F.col("text"))).alias("path")).distinct()
 
 
 def nearest_solution(sources: DataFrame, folder: str) -> DataFrame:
-    """path of the solution, else project, in the nearest folder at or above `folder`; one row or none."""
+    """path of the solution, else project, in the nearest folder at or above `folder` that has either; one row or none."""
     above = ["/".join(folder.split("/")[:n]) for n in range(len(folder.split("/")), -1, -1)]
     own = sources.withColumn("_depth", F.array_position(F.lit(list(dict.fromkeys(above))), _folder(F.col("path")))).where("_depth > 0")
     kind = F.when(F.lower("path").endswith(".sln"), 0).when(F.lower("path").endswith(".csproj"), 1)
-    return own.withColumn("_kind", kind).where("_kind is not null").orderBy("_kind", "_depth", "path").limit(1).select("path")
+    return own.withColumn("_kind", kind).where("_kind is not null").orderBy("_depth", "_kind", "path").limit(1).select("path")
 
 
-def load(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+def load(spark: SparkSession, root: str, prefix: str = "", diagnostics: Iterable[str] = ()) -> DataFrame:
     """Register the views of a workspace and return its projects by name in any case.
 
-    Views are swapped only when all tables could be planned and a project was found; otherwise ValueError is raised and the views stay as they were.
+    diagnostics are messages of whatever restored or built the workspace. Views are swapped only when all tables could be
+    planned, a project was found and no diagnostic tells of an error; otherwise ValueError is raised and the views stay as they were.
     """
+    told = list(dict.fromkeys(diagnostics))
+    if any("error" in d.lower() for d in told):
+        raise ValueError(f"cannot load {root}:\n" + "\n".join(told))
     project_files = files(spark, root, "*.{sln,csproj}")
     found = {"files": files(spark, root), "projects": projects(project_files), "project_refs": project_refs(project_files), "assembly_refs": assembly_refs(project_files)}
     if found["projects"].limit(1).count() == 0:
@@ -106,3 +127,9 @@ def load(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
 def reset(spark: SparkSession, prefix: str = "") -> int:
     """Drop the views of a workspace; how many there were."""
     return sum(spark.catalog.dropTempView(prefix + name) for name in VIEWS)
+
+
+def stop(spark: SparkSession, prefix: str = "") -> None:
+    """Drop the views of a workspace and end the session."""
+    reset(spark, prefix)
+    spark.stop()
