@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textfacts.llm import decontaminate, packing, secrets, simhash, toxicity
-from textfacts.llm.common import bounded_batches, stored, table
+from textfacts.llm.common import bounded_batches, discard, stored, table, tables_written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over the table documents, each one's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    """The stages in turn over the table documents, each one's result written and read again. What a stage wrote for itself, and its input, are deleted when its result stands."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with tables_written() as own:
+            docs = stored(stage(spark, docs, sf_dir))
+        discard(spark, before + own[:-1])
+        before = own[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
