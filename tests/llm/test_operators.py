@@ -287,6 +287,38 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_graph_finds_what_its_beam_is_narrower_than():
+    """Recall on a full shard, with the production beam and with one of a hundredth of the shard."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(ann.SHARD_VECTORS, 64)).astype(np.float32).astype(np.float64)
+    g = ann.Graph.build(x)
+    g = ann.Graph.unpacked(x.astype(np.float32), g.packed())
+    for width, least in ((ann.SEARCH_WIDTH, 0.97), (40, 0.6)):
+        hits = 0
+        for q in range(0, len(x), 64):
+            near = ann.inner_products(x, x[q])
+            near[q] = -np.inf
+            hits += len(set(np.argsort(-near)[:20].tolist()) & set([i for i in g.search(x[q], width).tolist() if i != q][:20]))
+        assert hits / (20 * len(range(0, len(x), 64))) >= least
+
+
+def test_nearest_of_many_shards(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), width=32, shard_vectors=300).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, len(x), 20):
+        near = ann.inner_products(x, x[q])
+        rows = sorted(got[q])
+        assert [r[0] for r in rows] == list(range(1, 21)) and all(s == near[i] for _, i, s in rows) and rows == sorted(rows, key=lambda r: (-r[2], r[1]))
+        near[q] = -np.inf
+        hits += len(set(np.argsort(-near)[:20].tolist()) & {i for _, i, _ in rows})
+    assert hits / (20 * 150) > 0.9  # the beam holds a tenth of a shard
+
+
 def test_secrets(docs, empty):
     text = "Token: 'abcd12' password=x1 AKIA" + "A1" * 8 + " " + "0a" * 12 + " secret=password=abcdefgh\nconst base = \"q8Zr-77xTy\"\ndb_password := base + 'tail-99Q'\npassword_length = 123456789"
     found = secrets.find(text)
@@ -559,6 +591,13 @@ def test_pack_is_tight():
     sequences = packing.pack(lengths)
     sizes = [sum(p.length for p in s) for s in sequences]
     assert sum(sizes) == sum(lengths) and all(s == 2048 or s & (s - 1) == 0 for s in sizes)
+    of = Counter(sizes)
+    assert all(of[t] > 3 for t in packing.TIERS) and sum(n for x, n in of.items() if x not in packing.TIERS) < 11  # the window's tail
+    groups, count = packing.tiered_steps(sequences)
+    held = {}
+    for x, g in zip(sizes, groups, strict=True):
+        held.setdefault(g, []).append(next(t for t in packing.TIERS if x <= t))
+    assert sorted(held) == list(range(count)) and all(len(set(v)) == 1 and len(v) <= 16 * 2048 // v[0] for v in held.values())
     places = sorted((p.doc, p.start, p.length) for s in sequences for p in s)
     for (d, a, n), (e, b, _) in itertools.pairwise(places):
         assert b == (a + n if d == e else 0)
