@@ -2,10 +2,11 @@
 
 A document's ids are cut at the longest context size; each full cut is a sequence of its own and
 the rest goes to the tier of the smallest context size that holds it. The tiers are packed from the
-longest: a sequence opens with the longest piece left in its tier, and its gap is filled with the
-largest piece that fits from this tier or, failing that, from a shorter one. A gap that no whole
+longest, each into sequences of its own size: a sequence opens with the longest piece left in its tier, and its gap is
+filled with the largest piece that fits from this tier or, failing that, from a shorter one. A gap that no whole
 piece fits is filled by cutting a piece, so only the last sequence of a window is short. It is dealt
-out over power-of-two sequences, which need no padding.
+out over power-of-two sequences, which need no padding. A training step takes sequences of one tier, more of the shorter
+ones, so that all steps hold as many ids; steps of a tier are balanced in what attention costs them.
 
 Windows of documents are packed where they are read: nothing is shuffled, a lost executor's
 partitions are simply packed again, and a task holds one window's ids at a time.
@@ -108,7 +109,7 @@ def encoder(path: str) -> Encoder:
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[Piece]]:
     """Sequences of pieces that hold each id of documents of these lengths exactly once, none over the longest tier.
 
-    All but the last few sequences are full; those are powers of two. Documents of no ids give no piece.
+    All but the last few sequences have exactly the size of a tier; those are powers of two. Documents of no ids give no piece.
     """
     full = tiers[-1]
     out: list[list[Piece]] = []
@@ -121,7 +122,8 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[Piece]
     while any(waiting):
         top = max(k for k, w in enumerate(waiting) if w)
         row = [waiting[top].pop()]
-        gap = full - row[0].length
+        size = tiers[top]
+        gap = size - row[0].length
         while gap and any(waiting):
             for w in reversed(waiting):
                 if at := bisect_right(w, (gap, 1 << 62)):
@@ -138,7 +140,7 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[Piece]
             out.append(row)
             continue
         # The window's last ids, dealt over powers of two.
-        left = full - gap
+        left = size - gap
         row.reverse()
         while left:
             size = 1 << (left.bit_length() - 1)
@@ -171,6 +173,18 @@ def step_groups(sequences: list[list[Piece]], size: int = STEP_SEQUENCES) -> lis
     return out
 
 
+def tiered_steps(sequences: list[list[Piece]], tiers: tuple[int, ...] = TIERS, size: int = STEP_SEQUENCES) -> tuple[list[int], int]:
+    """A step group for each sequence, of one tier and of `size` sequences of the longest or as many ids of shorter ones; and how many groups there are."""
+    tier = [next(t for t in tiers if sum(p.length for p in s) <= t) for s in sequences]
+    out, first = [0] * len(sequences), 0
+    for t in tiers:
+        own = [i for i, x in enumerate(tier) if x == t]
+        for i, g in zip(own, step_groups([sequences[i] for i in own], size * tiers[-1] // t), strict=True):
+            out[i] = first + g
+        first += -(-len(own) // (size * tiers[-1] // t))
+    return out, first
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row for each piece of each document (doc_id, text), with its place in a sequence; with_ids adds the piece's ids.
 
@@ -188,7 +202,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIE
         def window() -> pa.RecordBatch:
             nonlocal base, steps
             sequences = pack([len(b) // 4 for b in blobs], tiers)
-            groups = step_groups(sequences)
+            groups, count = tiered_steps(sequences, tiers)
             rows = []
             for n, s in enumerate(sequences):
                 total, offset = sum(p.length for p in s), 0
@@ -198,7 +212,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIE
                     rows.append((ids[p.doc], p.start, p.length, zlib.crc32(part), len(blobs[p.doc]) // 4, base + n, offset, tier, total, (base >> 40 << 40) + steps + groups[n], *([part] if with_ids else [])))
                     offset += p.length
             base += len(sequences)
-            steps += -(-len(sequences) // STEP_SEQUENCES)
+            steps += count
             ids.clear()
             blobs.clear()
             types = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * with_ids
