@@ -476,6 +476,54 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_documents(empty, 8).count() == 0 and sharding.shard_documents(docs, 3).count() == docs.count()
 
 
+def _plain_leaves(rows, leaves, dims, ties, weight, extent):
+    """The k-d tree by sorting: the leaf of each row, and the dimensions that were split."""
+    if leaves == 1 or not rows:
+        return [(i, 0) for i, _ in rows], []
+    spread = [(max(r[d] for _, r in rows) - min(r[d] for _, r in rows)) / max(1, extent[d]) for d in dims]
+    widest = dims[max(range(len(dims)), key=lambda i: (spread[i], -i))]
+    key = lambda r: (r[widest], *(r[t] for t in ties))
+    groups = {}
+    for i, r in rows:
+        groups.setdefault(key(r), []).append((i, r))
+    want, before, low, high = sum(r[weight] for _, r in rows) * (leaves // 2) / leaves, 0, [], []
+    for k in sorted(groups):
+        w = sum(r[weight] for _, r in groups[k])
+        below = before + w <= want or (before < want and before + w - want < want - before)
+        (low if below and not high else high).extend(groups[k])
+        before += w
+    left, a = _plain_leaves(low, leaves // 2, dims, ties, weight, extent)
+    right, b = _plain_leaves(high, leaves - leaves // 2, dims, ties, weight, extent)
+    return left + [(i, n + leaves // 2) for i, n in right], [widest, *a, *b]
+
+
+def test_kd_tree_by_sorting(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BINS", 30)
+    rng = np.random.default_rng(15)
+    rows = [{"a": int(rng.integers(0, 40)), "b": int(rng.lognormal(3, 1)), "t": int(rng.integers(0, 9)), "u": i, "w": int(rng.integers(1, 100))} for i in range(700)]
+    for leaves in (3, 8):
+        df = spark.createDataFrame([tuple(r.values()) for r in rows], "a long, b long, t long, u long, w long")
+        got = {r["u"]: r["leaf"] for r in sharding.kd_partition(df, ["a", "b"], ["t", "u"], "w", leaves, tolerance=0.0).collect()}
+        want, split = _plain_leaves(list(enumerate(rows)), leaves, ["a", "b"], ["t", "u"], "w", {d: max(r[d] for r in rows) - min(r[d] for r in rows) for d in "ab"})
+        assert got == dict(want) and (leaves < 8 or set(split) == {"a", "b"})
+
+
+def test_shards_of_documents(spark):
+    """Sizes and hashes by Python; equal texts together; target bytes; splits by measures of the text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = sharding.shard_documents(docs, target_bytes=sum(len(t.encode()) + 1 for t in texts.values()) // 5).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in texts.items()}
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    assert set(shard.values()) == set(range(6))  # a sixth holds the division's rest
+    by_text = {}
+    for d, t in texts.items():
+        by_text.setdefault(t, set()).add(shard[d])
+    assert all(len(v) == 1 for v in by_text.values()) and len(by_text) < len(texts)
+    point = sharding.metadata(spark.createDataFrame([(1, "Aé9\nB日 12")], "doc_id long, text string")).first()
+    assert (point["chars"], point["breaks"], point["wide"], point["digits"], point["capitals"], point["size"]) == (9, 1, 3, 3, 2, 13)
+
+
 def _plain_scores(tokens, held, masses):
     """(base, score) of each text by the smoothing formula, n-grams in plain counters."""
     c, pairs, triples = Counter(), Counter(), Counter()
