@@ -6,11 +6,16 @@ of `words` words has a kept suffix among its first WINDOW words, and at least wo
 of the passage follow from there. Suffixes that agree on that many words are brought together and sorted
 by what follows and what precedes them; neighbours in these orders show how far a match extends to the
 right and to the left. Every repeated window of `words` words is found, whatever the number of its copies.
+
+Runs of more than RUN_ROWS suffixes that begin alike are dealt to parts of about that size. A part is sorted like any run, tells
+the two smallest documents of each of its windows, and what the parts tell is put together by window, so no task holds a long run.
+Suffixes begin alike by a 64-bit hash of their words, and what surrounds them is compared by 31 bits a word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ from .common import stored, texts_of, words_of
 WORDS = 50
 GRAM = 8
 WINDOW = 16
-RUN_ROWS = 1 << 17
+RUN_ROWS = 1 << 14
 CACHE = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -70,7 +75,7 @@ def minimisers(rolling: Rolling, n: int) -> np.ndarray:
 
 
 SUFFIX = "key long, doc_id long, at int"
-CONTEXT = "key long, doc_id long, at int, left binary, right binary"
+CONTEXT = "key long, doc_id long, at int, left binary, right binary, part int"
 PLACE = np.dtype([("doc", "<i8"), ("at", "<i4")])
 SPAN = "doc_id long, start int, end int, other long, many boolean"
 
@@ -103,8 +108,10 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     suffixes = stored(known.mapInArrow(sample, SUFFIX))
-    shared = suffixes.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    places = suffixes.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    shared = suffixes.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
+    # Written, so that the join below reads both sides from shuffles and Spark can split the side with the long runs.
+    shared = stored(shared.select("key", F.ceil(F.col("n") / RUN_ROWS).cast("int").alias("parts")))
+    places = suffixes.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("at", "key", "parts")).alias("places"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, pad = Hasher(), np.zeros(WINDOW, np.uint32)
@@ -112,46 +119,39 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
             rows = []
             for doc, t, places in zip(b.column(0).to_pylist(), texts_of(b), b.column(2).to_pylist(), strict=True):
                 h = hasher(t)
-                places = np.unique(np.array([p for p in places if p + suffix <= len(h)], dtype=np.int64))
-                keys = Rolling(h)(places, suffix).view(np.int64)
+                parts = {p["key"]: p["parts"] for p in places}
+                at = np.unique(np.array([p["at"] for p in places if p["at"] + suffix <= len(h)], dtype=np.int64))
+                keys = Rolling(h)(at, suffix).view(np.int64)
                 small = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # 0 is where a text ends
                 small = np.concatenate([pad, small, pad])
-                for key, p in zip(keys.tolist(), places.tolist(), strict=True):
+                for key, p in zip(keys.tolist(), at.tolist(), strict=True):
+                    if (n := parts.get(key)) is None:  # a place of another text of the same id
+                        continue
                     left, right = small[p + 1 : p + WINDOW][::-1], small[p + WINDOW + suffix : p + 2 * WINDOW + suffix - 1]
-                    rows.append((key, doc, p, left.tobytes(), right.tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                    part = xxh64_intdigest(b"%d %d" % (doc, p)) % n if n > 1 else -1
+                    rows.append((key, doc, p, left.tobytes(), right.tobytes(), part))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], [x.split()[0] for x in CONTEXT.split(", ")])
 
     context = known.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(surround, CONTEXT)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SPAN.split(", ")]
-        held: pa.Table | None = None  # the last run, whose end isn't known yet
-        long = None  # the key of a run too long to hold: every window of its suffixes is passed on
+        held: pa.Table | None = None  # the last run or part of a run, whose end isn't known yet
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
             t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            keys = t.column("key").to_numpy()
-            if long is not None:
-                n = len(keys) if keys[-1] == long else int(np.argmax(keys != long))
-                yield _packed(t.slice(0, n), names)
-                t, keys = t.slice(n), keys[n:]
-                if not len(keys):
-                    held = None
-                    continue
-                long = None
-            last = int(np.argmax(keys == keys[-1]))
+            keys, part = t.column("key").to_numpy(), t.column("part").to_numpy()
+            new = np.append(True, (keys[1:] != keys[:-1]) | (part[1:] != part[:-1]))
+            last = int(np.flatnonzero(new)[-1])
             if last:
-                yield _compared(t.slice(0, last), words, names)
+                yield from _runs(t.slice(0, last), new[:last], words, names)
             held = t.slice(last)
-            if held.num_rows > RUN_ROWS:
-                yield _packed(held, names)
-                held, long = None, keys[-1]
         if held is not None:
-            yield _compared(held, words, names)
+            yield from _runs(held, np.append(True, np.zeros(held.num_rows - 1, bool)), words, names)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,8 +163,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 cols = _spans(at["doc"], at["at"], others, words)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "start", "end", "other"])
 
-    found = stored(context.repartition("key").sortWithinPartitions("key", "right", "left", "doc_id", "at").mapInArrow(neighbours, SPAN + ", window binary, windows array<binary>, places binary"))
-    # Suffixes of very long runs: a part of a run tells the two smallest documents of each of its windows, and a context
+    found = stored(context.repartition("key", "part").sortWithinPartitions("key", "part", "right", "left", "doc_id", "at").mapInArrow(neighbours, SPAN + ", window binary, windows array<binary>, places binary"))
+    # Suffixes of long runs: a part of a run tells the two smallest documents of each of its windows, and a context
     # (words on both sides) with all its places is one row, so that copies don't multiply what is compared.
     part = found.where("many and window is not null").select("window", F.col("doc_id").alias("a"), F.col("other").alias("b"))
     least = part.groupBy("window").agg(F.min("a").alias("least"), F.max(F.coalesce("b", "a")).alias("most")).where("least < most")
@@ -181,6 +181,20 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc", (F.col("doc_id") < F.col("other_doc")).alias("is_first"))
 
 
+def _runs(t: pa.Table, new: np.ndarray, words: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The spans of whole runs, and what each part of a longer run tells; `new` marks their first rows."""
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], t.num_rows)
+    whole = t.column("part").to_numpy()[starts] < 0
+    for is_whole, some in groupby(zip(whole.tolist(), starts.tolist(), ends.tolist(), strict=True), key=lambda x: x[0]):
+        some = list(some)
+        if is_whole:
+            yield _compared(t.slice(some[0][1], some[-1][2] - some[0][1]), words, names)
+        else:
+            for _, i, j in some:
+                yield _packed(t.slice(i, j - i), names)
+
+
 def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     n = t.num_rows
     return tuple(np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=np.uint32).reshape(n, WINDOW - 1) for c in ("left", "right"))
@@ -228,7 +242,7 @@ def _spans(docs: np.ndarray, at: np.ndarray, others: np.ndarray, words: int) ->
 
 
 def _packed(t: pa.Table, names: list[str]) -> pa.RecordBatch:
-    """A part of a very long run of one key, sorted by its words: each context as one row with its windows and places, and for each window the two smallest documents of the part."""
+    """A part of a long run of one key, sorted by its words: each context as one row with its windows and places, and for each window the two smallest documents of the part."""
     docs, at, key = t.column("doc_id").to_numpy(), t.column("at").to_numpy(), t.column("key")[0].as_py().to_bytes(8, "little", signed=True)
     left, right = _sides(t)
     whole = np.concatenate([left[:, ::-1], right], axis=1)
