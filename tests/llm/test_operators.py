@@ -77,6 +77,15 @@ def test_near_duplicates(docs, empty):
     assert simhash.without_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_keep_all_columns(spark):
+    """Columns named like the operator's own, repeated rows, null ids and ids of several texts."""
+    rows = [(1, "a b c d e f", 7, "p"), (1, "a b c d e f", 7, "p"), (2, "a b c d e f", 8, "q"), (None, "x y z", 9, "r"), (3, None, 1, "s"), (4, "", 2, "t"), (1, "other words here", 3, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _node long, text_key string").withColumn("node", F.lit(5)).withColumn("first", F.lit(6)).withColumn("root", F.lit(0)).withColumn("kept_first", F.lit(0))
+    kept = simhash.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert Counter(tuple(r)[:4] for r in kept.collect()) == Counter([rows[0], rows[3], rows[4], rows[6]])
+
+
 @pytest.mark.parametrize(("rows", "size"), [(4096, 32 << 20), (16, 40_000)])
 def test_near_duplicates_by_brute_force(spark, rows, size, monkeypatch):
     monkeypatch.setattr(simhash, "CELL_ROWS", rows)

@@ -7,6 +7,7 @@ no bound that would allow a broadcast to every task; each is built where its sha
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections.abc import Iterator
 from itertools import chain, combinations, repeat
@@ -153,9 +154,7 @@ SIGNATURE = 128
 #: Signatures this far over the limit make a pair sure; so far under it, they drop it. Over three deviations.
 BAND = 0.12
 #: Bounds of a cell, the part of a shard that one task holds: rows, and bytes of texts.
-CELL_ROWS, CELL_BYTES = 2048, 8 << 20
-#: Heavy shards are broadcast up to this many (24 bytes each), else joined by a shuffle.
-HEAVY_KEYS = 100_000
+CELL_ROWS, CELL_BYTES = 512, 8 << 20
 _M = np.random.default_rng(7)
 _KEY_A = _M.integers(1, 2**63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIG_A = _M.integers(1, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,33 +177,54 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 22) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id. All its columns are kept; repeated rows stay once.
+    """docs with one document of each group: that of the smallest doc_id. All its columns are kept, whatever their names; repeated rows stay once.
 
     A group whose ids are all null keeps one of its documents.
     """
     ids, classes = near_duplicate_classes(docs, shingle, similarity, radius)
-    kept = classes.where("stays").select(F.col("node").alias("_node"), F.col("first").alias("_first"))
-    keyed = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(kept, (keyed["_node"] == kept["_node"]) & F.col("doc_id").cast("long").eqNullSafe(kept["_first"]), "left_semi")
+    key = f"text_key_{uuid.uuid4().hex}"
+    kept = classes.where("stays").select(F.col("text_key").alias("kept_key"), F.col("first").alias("kept_first"))
+    keyed = docs.withColumn(key, _text_key())
+    out = keyed.join(kept, (keyed[key] == kept["kept_key"]) & keyed["doc_id"].cast("long").eqNullSafe(kept["kept_first"]), "left_semi")
     if ids.groupBy("doc_id", "node").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_node"])
-    return out.drop("_node")
+        out = out.dropDuplicates(["doc_id", key])
+    return out.drop(key)
 
 
-def in_cells(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
-    """rows (k, key, node, ...) with columns i, j and block: each shard (k, key) in cells whose weight is bounded.
+def _text_key() -> Column:
+    """128 bits that stand for a text; a null text is as an empty one."""
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
-    A shard over `limit` in weight is dealt to blocks of about that weight, and each pair of blocks
-    meets in one cell, so that every pair of rows does and no task holds a whole large shard.
+
+CELL = ["k", "key", "i", "j"]
+
+
+def diagonal(rows: DataFrame, weight: Column, limit: int) -> tuple[DataFrame, DataFrame]:
+    """rows (k, key, node, ...) with columns i, j and block, each shard (k, key) dealt to blocks of about `limit` in weight that are a cell each; and the shards of more than one block.
+
+    Only rows of one block meet, so the work is linear in the rows.
     """
-    heavy = cut(rows.groupBy("k", "key").agg(F.ceil(F.sum(weight) / limit).cast("int").alias("blocks")).where("blocks > 1"))
-    if heavy.count() <= HEAVY_KEYS:
-        heavy = F.broadcast(heavy)
-    dealt = rows.join(heavy, ["k", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "k"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("_other", other).withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
-    return dealt.drop("_other", "blocks")
+    heavy = stored(rows.groupBy("k", "key").agg(F.ceil(F.sum(weight) / limit).cast("int").alias("blocks")).where("blocks > 1"))
+    dealt = rows.join(heavy, ["k", "key"], "left").withColumn("block", F.pmod(F.xxhash64("node", "k"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    return dealt.withColumn("i", F.col("block")).withColumn("j", F.col("block")).drop("blocks"), heavy.select("k", "key")
+
+
+def crossed(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """rows (k, key, node, root, ...) with columns i, j and block: cells of bounded weight in which all pairs of a shard meet whose roots differ.
+
+    In each shard, the rows of the root that weighs most need not meet each other. The rest and they are dealt to blocks,
+    and each block of the rest meets every block in one cell. A shard of one root gives no cells.
+    """
+    roots = rows.groupBy("k", "key", "root").agg(F.sum(weight).alias("w"))
+    shards = roots.groupBy("k", "key").agg(F.sum("w").alias("all"), F.max("w").alias("most"), F.max_by("root", "w").alias("main")).where("all > most")
+    shards = stored(shards.select("k", "key", "main", F.ceil((F.col("all") - F.col("most")) / limit).cast("int").alias("rest"), F.ceil(F.col("most") / limit).cast("int").alias("mains")))
+    dealt = rows.join(shards, ["k", "key"])
+    hashed, of_main = F.xxhash64("node", "k"), F.col("root") == F.col("main")
+    block = F.when(of_main, F.col("rest") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("rest")))
+    dealt = dealt.withColumn("block", block.cast("int"))
+    last = F.when(of_main, F.col("rest") - 1).otherwise(F.col("rest") + F.col("mains") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "main", "rest", "mains")
 
 
 class Parts:
@@ -258,7 +278,7 @@ class Cell:
 
 
 def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of each document, where node stands for a text, and (node, first, group_id, stays) of each text.
+    """(doc_id, node) of each document, where node stands for a text, and (node, text_key, first, group_id, stays) of each text.
 
     Linked are texts whose sets of word shingles have Jaccard similarity of `similarity` or more, linked.
 
@@ -269,11 +289,13 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
     are over four deviations beyond the mean. A signature of 128 min-hashes (their low bytes: of many
     shingles, the high ones of any minimum are near zero) tells sure pairs from doubtful ones.
 
-    Sure pairs are joined first. Only texts that have a doubtful pair outside their own part then come,
+    A large shard is dealt to blocks. First, rows meet within blocks only; as a group of near copies is dealt otherwise in
+    each of its shards, this joins most of it. Then those rows of large shards meet that no link has joined so far.
+    Either time, sure pairs are joined at once; only texts that have a doubtful pair outside their own part come,
     with their texts, to the shard where the two first met, and the exact similarity of the shingle
     sets is taken there, of pairs that no link has joined so far. Each task gives out only links
     that join two parts, never its pairs.
-    Null and empty texts have no shingles; they are alike and form one group. Null ids sort last.
+    Equal texts are told by 128 bits. Null and empty texts have no shingles; they are alike and form one group. Null ids sort last.
     """
     low, high = similarity - BAND, similarity + BAND
 
@@ -290,20 +312,21 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, types)], ["node", "print", "keys", "low", "sig", "bytes"])
 
     text = F.coalesce("text", F.lit(""))
-    ids = cut(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("node")))
-    # One row of each different text, with no text in the shuffle: the first of its ids stands for it.
-    first = ids.groupBy("node").agg(F.min("doc_id").alias("first"))
-    one = docs.select(F.col("doc_id").cast("long").alias("first"), F.xxhash64(text).alias("node"), text.alias("text"))
-    one = one.join(first.select("first"), one["first"].eqNullSafe(first["first"]), "left_semi").select("node", "text")
-    sketched = stored(one.mapInArrow(sketch, "node long, print long, keys array<long>, low binary, sig binary, bytes long"))
-    by_cell, in_order = ["k", "key", "i", "j"], ["k", "key", "i", "j", "block", "node"]
+    ids = cut(docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key")))
+    first = stored(ids.groupBy("text_key").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    ids = ids.join(first.select("text_key", "node"), "text_key").select("doc_id", "node")
+    # One row of each different text: the first of its ids stands for it. Repeated rows are merged when they are sketched.
+    one = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key().alias("id_key"), text.alias("text"))
+    one = one.join(first, (one["id_key"] == first["text_key"]) & one["id"].eqNullSafe(first["first"])).select("node", "text")
+    sketched = stored(one.mapInArrow(sketch, "node long, print long, keys array<long>, low binary, sig binary, bytes long").dropDuplicates(["node"]))
+    in_order = [*CELL, "block", "node"]
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links (a, b) of sure pairs; rows (a, k, key) of texts with doubtful pairs that no sure link joined."""
-        for rows in runs_of(batches, by_cell):
+        for rows in runs_of(batches, CELL):
             cell, links, doubtful = Cell(rows), [], (array("i"), array("i"))
             nodes = cell.nodes
-            parts = Parts(np.unique(nodes, return_inverse=True)[1])
+            parts = Parts(np.unique(rows.column("root").to_numpy(), return_inverse=True)[1])
             for row, found, alike in cell.candidates(radius, parts):
                 links += [(nodes[m], nodes[row]) for m in found[alike >= high].tolist() if parts.join(m, row)]
                 found = found[(alike >= low) & (alike < high)]
@@ -317,14 +340,8 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
             columns = [[a for a, _ in links] + marked, [b for _, b in links] + [None] * n, [None] * len(links) + [cell.k] * n, [None] * len(links) + [cell.key] * n]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["a", "b", "k", "key"])
 
-    dealt = sketched.select("node", "print", "low", "sig", F.posexplode("keys").alias("k", "key"))
-    dealt = in_cells(dealt, F.lit(1), CELL_ROWS).repartition(*by_cell).sortWithinPartitions(*in_order)
-    found = cut(dealt.mapInArrow(sure, "a long, b long, k int, key long"))
-    links = found.where("b is not null").select("a", "b")
-    roots = cut(components(links))
-
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs_of(batches, by_cell):
+        for rows in runs_of(batches, CELL):
             cell, links, texts, sets = Cell(rows), [], rows.column("text"), {}
             nodes, parts = cell.nodes, Parts(np.unique(rows.column("root").to_numpy(), return_inverse=True)[1])
 
@@ -347,15 +364,46 @@ def near_duplicate_classes(docs: DataFrame, shingle: int, similarity: float, rad
                         links.append((nodes[m], nodes[row]))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    marked = found.where("b is null").select(F.col("a").alias("node"), "k", "key").distinct()
-    texts = one.join(marked.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    marked = marked.join(sketched.drop("keys").dropDuplicates(["node"]), "node")
-    marked = cut(marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    cells = in_cells(marked, F.col("bytes") + CELL_BYTES // CELL_ROWS, CELL_BYTES).drop("bytes").join(texts, "node")
-    more = cells.repartition(*by_cell).sortWithinPartitions(*in_order).mapInArrow(exact, EDGE)
-    roots = components(links.unionByName(more))
-    rooted = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    def met(cells: DataFrame, by, schema: str) -> DataFrame:
+        return cells.repartition(*CELL).sortWithinPartitions(*in_order).mapInArrow(by, schema)
+
+    def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def with_texts(cells: DataFrame, marked: DataFrame) -> DataFrame:
+        texts = one.join(marked.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        return cells.drop("bytes").join(texts, "node")
+
+    size, sure_schema = F.col("bytes") + CELL_BYTES // CELL_ROWS, "a long, b long, k int, key long"
+    dealt = sketched.select("node", "print", "low", "sig", F.posexplode("keys").alias("k", "key"))
+
+    def doubtful(found: DataFrame, roots: DataFrame) -> DataFrame:
+        """The marked rows of shards in which not all have one root yet, with what cells need."""
+        marked = with_roots(found.where("b is null").select(F.col("a").alias("node"), "k", "key").distinct(), roots)
+        open_ = marked.groupBy("k", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("k", "key")
+        return cut(marked.join(open_, ["k", "key"], "left_semi").join(sketched.drop("keys"), "node"))
+
+    # Within blocks.
+    cells, heavy = diagonal(with_roots(dealt, None), F.lit(1), CELL_ROWS)
+    found = cut(met(cells, sure, sure_schema))
+    links = found.where("b is not null").select("a", "b")
+    roots = cut(components(links))
+    marked = doubtful(found, roots)
+    cells, heavy_marked = diagonal(marked, size, CELL_BYTES)
+    links = cut(links.unionByName(met(with_texts(cells, marked), exact, EDGE)))
+    roots = cut(components(links))
+    # Between blocks, of shards that have several.
+    found = cut(met(crossed(with_roots(dealt.join(heavy, ["k", "key"], "left_semi"), roots), F.lit(1), CELL_ROWS), sure, sure_schema))
+    links = links.unionByName(found.where("b is not null").select("a", "b"))
+    before = marked.join(heavy_marked, ["k", "key"], "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "k", "key")
+    roots = cut(components(links))
+    marked = doubtful(found.unionByName(before), roots)
+    links = cut(links.unionByName(met(with_texts(crossed(marked, size, CELL_BYTES), marked), exact, EDGE)))
+    roots = components(links)
+    rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")
     named = rooted.groupBy("root").agg(best)
-    classes = rooted.join(named, "root").select("node", "first", F.col("best.first").alias("group_id"), (F.col("node") == F.col("best.node")).alias("stays"))
+    classes = rooted.join(named, "root").select("node", "text_key", "first", F.col("best.first").alias("group_id"), (F.col("node") == F.col("best.node")).alias("stays"))
     return ids, classes
