@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, remainder, texts_of
+from .common import lower_az, remainder, stored, texts_of
 from .simhash import shingle_hashes
 
 #: Word lists of common insults in four languages; they vote from the start, whatever the labels hold.
@@ -99,15 +99,11 @@ def _cached(of: Callable[[bytes], object]) -> Callable[[bytes], object]:
 
 
 def _induced(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different features; the least share of toxic documents among those that have them, at 95 % (Wilson's bound); and how far that share is from the mean, in standard deviations."""
-    names, n, a = [np.zeros(0, "<u4")], [np.zeros(0)], [np.zeros(0)]
-    for part in range(16):  # by their first bits, in order, so that the driver holds little at a time
-        own = np.flatnonzero(feats >> np.uint32(28) == part)
-        found, at = np.unique(feats[own], return_inverse=True)
-        names.append(found)
-        n.append(np.bincount(at, weights=weight[rows[own]], minlength=len(found)))
-        a.append(np.bincount(at, weights=(weight * toxic)[rows[own]], minlength=len(found)))
-    names, n, a = np.concatenate(names), np.concatenate(n), np.concatenate(a)
+    """Different features of LEAST_DOCS documents or more (fewer can't be significant); the least share of toxic documents among those that have them, at 95 % (Wilson's bound); and how far that share is from the mean, in standard deviations."""
+    names, at, times = np.unique(feats, return_inverse=True, return_counts=True)
+    n = np.bincount(at, weights=weight[rows], minlength=len(names))
+    a = np.bincount(at, weights=(weight * toxic)[rows], minlength=len(names))
+    names, n, a = (x[times >= LEAST_DOCS] for x in (names, n, a))
     p, q, c = float((weight * toxic).sum() / max(weight.sum(), 1e-9)), a / np.maximum(n, 1e-9), 1.96**2
     least = (q + c / 2 / np.maximum(n, 1e-9) - np.sqrt(c * (np.maximum(q * (1 - q), 0) + c / 4 / np.maximum(n, 1e-9)) / np.maximum(n, 1e-9))) / (1 + c / np.maximum(n, 1e-9))
     return names, least, (a - n * p) / np.sqrt(n * p * (1 - p) + 1)
@@ -125,13 +121,33 @@ def _places(feats: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(which)
 
 
-def _frequent(feats: list[np.ndarray]) -> list[np.ndarray]:
-    """The features without those of fewer than LEAST_DOCS occurrences, which can't be significant, counted in 2^24 buckets."""
-    seen = np.zeros(1 << 24, dtype=np.uint16)
-    for x in feats:
-        at = np.unique(x >> np.uint32(8))
-        seen[at] += seen[at] < np.iinfo(np.uint16).max
-    return [x[seen[x >> np.uint32(8)] >= LEAST_DOCS] for x in feats]
+class _Sample:
+    """The features of the labelled rows, in a table, of which the driver reads a part at a time."""
+
+    def __init__(self, known: DataFrame) -> None:
+        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = texts_of(b)
+                feats = [np.array([f for t in terms_of(x) for f in features_of(t)], dtype="<u4").tobytes() for x in texts]
+                kin = [int(h.min() >> np.uint64(1)) if len(h := shingle_hashes(x, 5)) else 0 for x in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kin, pa.int64()), pa.array(feats, pa.binary())], ["id", "y", "kin", "feats"])
+
+        self.table = stored(known.select(F.monotonically_increasing_id().alias("id"), "y", "text").mapInArrow(features, "id long, y int, kin long, feats binary"))
+        got = self.table.select("id", "y", "kin").orderBy("id").toArrow()
+        self.ids, self.toxic, self.kin = got.column("id").to_numpy(), got.column("y").to_numpy().astype(float), got.column("kin").to_numpy()
+
+    def read(self, keep: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, feature) of all features that keep() keeps of a row's, in order of the rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kept = [(x := np.frombuffer(f.as_buffer(), dtype="<u4"))[keep(x)].tobytes() for f in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], ["id", "feats"])
+
+        got = self.table.select("id", "feats").mapInArrow(run, "id long, feats binary").toArrow().sort_by("id")
+        flat = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in got.column("feats")]
+        rows = np.searchsorted(self.ids, got.column("id").to_numpy()).astype(np.int32)
+        return np.repeat(rows, [len(x) for x in flat]), np.concatenate([*flat, np.zeros(0, "<u4")])
 
 
 def _label_model(n: float, moments: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -194,27 +210,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     taken = taken.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     taken = taken.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = texts_of(b)
-            feats = [np.array([f for t in terms_of(x) for f in features_of(t)], dtype="<u4").tobytes() for x in texts]
-            kin = [int(h.min() >> np.uint64(1)) if len(h := shingle_hashes(x, 5)) else 0 for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kin, pa.int64()), pa.array(feats, pa.binary())], ["y", "kin", "feats"])
-
-    known = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(taken), "id").select("y", "text")
-    got = known.mapInArrow(sample, "y int, kin long, feats binary").toArrow()
-    y = got.column("y").to_numpy().astype(float)
-    feats = _frequent([np.frombuffer(x.as_buffer(), dtype="<u4") for x in got.column("feats")])
+    sample = _Sample(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(taken), "id").select("y", "text"))
+    y = sample.toxic
     # Copies and near copies share their least shingle: a group of them counts as one document.
-    _, kin, size = np.unique(got.column("kin").to_numpy(), return_inverse=True, return_counts=True)
-    del got
+    _, kin, size = np.unique(sample.kin, return_inverse=True, return_counts=True)
     weight = 1 / size[kin] if len(y) else np.zeros(0)
-    rows, flat = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in feats]), np.concatenate([*feats, np.zeros(0, "<u4")])
-    del feats
 
     voters = [(f"words {k}", frozenset(zlib.crc32(b"w" + w.encode()) for w in v.split())) for k, v in WORDS.items()]
     voters += [(f"pattern {k.decode()}", frozenset([zlib.crc32(k)])) for k in _PATTERNS]
-    names, least, z = _induced(rows, flat, y, weight)
+    parts = [_induced(*sample.read(lambda x, n=n: x >> np.uint32(29) == n), y, weight) for n in range(8)]  # by their first bits, so in order
+    names, least, z = (np.concatenate(x) for x in zip(*parts, strict=True))
     bad = [int(names[i]) for i in np.lexsort((names, -z, -least)) if least[i] >= LEAST_SHARE][:FEATURES]
     for n in range(LEXICONS if bad else 0):
         # Dealt in turn, so that each lexicon has words of every language and strength.
@@ -224,12 +229,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     n, moments = _moments(docs, voters)
     model.accuracy, model.correlation = _label_model(n, moments, model.prior)
 
+    listed = np.array(sorted({f for name, words in voters if not name.startswith("lexicon") for f in words}), dtype="<u4")
+    keep = np.union1d(names[np.argsort(-np.abs(z), kind="stable")[: int((np.abs(z) >= LEAST_Z).sum())][:FEATURES]], listed)
+    voting = np.union1d(keep, np.array(bad, dtype="<u4"))
+    rows, flat = sample.read(lambda x: np.isin(x, voting))
     fired = np.zeros((len(y), len(voters)))
     for j, (_, words) in enumerate(voters):
         fired[rows[_places(flat, np.array(sorted(words), dtype="<u4"))[0]], j] = 1
     soft = _posterior(fired, model)
-    listed = np.array(sorted({f for name, words in voters if not name.startswith("lexicon") for f in words}), dtype="<u4")
-    keep = np.union1d(names[np.argsort(-np.abs(z), kind="stable")[: int((np.abs(z) >= LEAST_Z).sum())][:FEATURES]], listed)
     where, at = _places(flat, keep)
     w, model.bias = _logistic(rows[where], at, np.where(np.isin(keep, listed), LISTED, 0.0), soft, weight)
     model.weights = {int(f): float(x) for f, x in zip(keep, w, strict=True) if abs(x) > 1e-4}
