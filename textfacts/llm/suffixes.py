@@ -28,7 +28,7 @@ from .common import stored, texts_of, words_of
 WORDS = 50
 GRAM = 8
 WINDOW = 16
-RUN_ROWS = 1 << 14
+RUN_ROWS = 1 << 17
 CACHE = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
