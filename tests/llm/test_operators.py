@@ -265,6 +265,16 @@ def test_label_model_finds_accuracies():
     assert correlation[0, 5] > 0.5 and abs(correlation[1, 2]) < 0.1
 
 
+def test_toxicity_takes_the_least_hashes(spark):
+    """The sample is the same as by ordering all usable labels, at sizes below and above their number."""
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 11 != 0, F.col("id") % 2).alias("toxic")).union(spark.sql("SELECT cast(null AS long), 1L"))
+    rows = [tuple(r) for r in labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int"), F.xxhash64("doc_id")).collect()]
+    order = [r[:2] for r in sorted(rows, key=lambda r: (r[2], r[0])) if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    for n in (1, 40, 3_000, len(order), 2 * len(order)):
+        assert sorted(tuple(r) for r in toxicity._taken(labels, n).collect()) == sorted(order[:n])
+    assert toxicity._taken(labels.limit(0), 10).count() == 0
+
+
 def test_toxicity_learns_from_rows_past_12000(spark):
     ids = spark.range(21_000).where("crc32(cast(id as string)) % 3 != 1").orderBy(F.xxhash64("id"), "id").limit(13_500)
     rows = [(r["id"], "gronk blarf" if i >= 12_000 and i % 3 == 0 else f"plain{'abcdefgh'[i % 8]} words", int(i >= 12_000 and i % 3 == 0)) for i, r in enumerate(ids.collect())]

@@ -199,6 +199,18 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, mean: np.ndarray, y: np.ndarra
     return w, float(b)
 
 
+def _taken(labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(id, y) of the `sample_rows` usable labelled ids of the least hashes.
+
+    Hashes are uniform, so those under the share that holds ten deviations more than `sample_rows` hold them all;
+    only these go to the task that orders them, however many labels there are.
+    """
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
+    share = min(1.0, (sample_rows + 10 * sample_rows**0.5) / max(usable.count(), 1))
+    return usable.where(F.xxhash64("id") <= int(share * 2**64) - 2**63 - 1).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from labelled documents whose crc32(doc_id) mod 3 is not 1, and the votes of all documents.
 
@@ -206,10 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     to the driver. Rows whose label or id is null are left out. Without labelled rows of both kinds there are no
     lexicons: the fixed word lists and patterns vote, and the classifier learns from their posterior labels.
     """
-    taken = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
-    taken = taken.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
-    taken = taken.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-
+    taken = _taken(labels, sample_rows)
     sample = _Sample(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(taken), "id").select("y", "text"))
     y = sample.toxic
     # Copies and near copies share their least shingle: a group of them counts as one document.
