@@ -672,17 +672,3 @@ def test_pack_is_tight():
     for s, g in zip(sequences, packing.step_groups(sequences), strict=True):
         costs[g] += sum(p.length**2 for p in s)
     assert max(costs.values()) < 1.6 * (sum(costs.values()) / len(costs))
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    sf_dir = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = docs.columns
-    for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if name != "packing":
-            assert docs.columns == names and docs.count() <= before.count()
-        else:
-            assert {r[0] for r in docs.select("doc_id").collect()} == {r[0] for r in before.select("doc_id").collect()}
