@@ -2,8 +2,8 @@
 
 1. Words, runs of marks and single line ends are tokens, with their case. A document's features are its tokens and pairs of
    neighbours (of equal ones also that they are equal), hashed to DIMENSIONS slots; a slot's value is 1 + ln of its count, all scaled to a length of 1. Whole texts count.
-2. A bounded sample of labelled documents is dealt to parts by hash. In each epoch every part walks its rows in a fixed order from
-   the shared state, updating a coordinate's gradient sums (z, n) as follow-the-regularised-leader does; the parts' changes
+2. The features of a bounded sample of labelled documents are written once; parts are runs of its partitions. In each epoch every part
+   walks its rows, ordered by hash, from the shared state, updating a coordinate's gradient sums (z, n) as follow-the-regularised-leader does; the parts' changes
    are averaged by slot in a groupBy and become the next epoch's state. Only DIMENSIONS slots at most pass through the driver.
 3. The state's closed form gives sparse weights; a document's score is the logistic of a sparse dot product.
 """
@@ -27,7 +27,7 @@ BITS = 18
 DIMENSIONS = 1 << BITS
 #: Bound of the labelled documents that the model learns from; those of the least hashes of their ids are taken.
 SAMPLE_ROWS = 50_000
-#: Rows of a part: one task walks them in order.
+#: Rows of a part, about: one task walks them in order. No more parts than partitions are made.
 PART_ROWS = 4_096
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.05, 0.05
@@ -50,16 +50,25 @@ class _Hashes(dict):
         return h
 
 
-def features(text: str | None, hashes: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a text; none of an empty one."""
+def counted(text: str | None, hashes: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of a text and how often it has each; none of an empty one."""
     hashes = _Hashes() if hashes is None else hashes
     h = np.array([hashes[t] for t in _TOKEN.findall(text or "")], dtype=np.uint64)
     again = np.full(int((h[:-1] == h[1:]).sum()), _TWICE, dtype=np.uint64)
     both = np.concatenate([h, h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(3) + np.uint64(1), again])
     both = (both * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)
-    slots, counts = np.unique(both.astype(np.int32), return_counts=True)
+    return np.unique(both.astype(np.int32), return_counts=True)
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
     values = 1 + np.log(counts)
-    return slots, values / np.sqrt((values * values).sum()) if len(values) else values
+    return values / np.sqrt((values * values).sum()) if len(values) else values
+
+
+def features(text: str | None, hashes: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of a text."""
+    slots, counts = counted(text, hashes)
+    return slots, scaled(counts)
 
 
 class Learner:
@@ -111,41 +120,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fold
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            each = [features(t, hashes) for t in b.column(2).to_pylist()]
-            slots, values = pa.array([s for s, _ in each], pa.list_(pa.int32())), pa.array([v for _, v in each], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), slots, values], ["h", "y", "slots", "values"])
+            each = [counted(t, hashes) for t in b.column(2).to_pylist()]
+            slots, counts = (pa.array([x[k] for x in each], pa.list_(pa.int32())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), slots, counts], ["h", "y", "slots", "counts"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(taken), "id").select("h", "y", "text")
-    rows = stored(own.mapInArrow(featured, "h long, y int, slots array<int>, values array<double>"))
-    parts = max(1, -(-rows.count() // PART_ROWS))
-    dealt = rows.withColumn("part", F.pmod(F.col("h"), F.lit(parts)).cast("int"))
+    rows = stored(own.mapInArrow(featured, "h long, y int, slots array<int>, counts array<int>"))
+    ordered = rows.coalesce(max(1, -(-rows.count() // PART_ROWS))).sortWithinPartitions("h", "slots").select("y", "slots", "counts")
     learner = Learner()
     for _ in range(EPOCHS):
         shared = spark.sparkContext.broadcast((learner.z, learner.n))
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             z, n = shared.value  # noqa: B023  run before the next epoch
-            part, own = -1, None
-
-            def changes() -> pa.RecordBatch:
-                at = np.flatnonzero((own.n != n) | (own.z != z))
-                return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own.z[at] - z[at]), pa.array(own.n[at] - n[at])], ["slot", "z", "n"])
-
+            own, some = Learner(z, n), False
             for b in batches:
-                for p, y, slots, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                    if p != part:
-                        if own is not None:
-                            yield changes()
-                        part, own = p, Learner(z, n)
-                    own.learn(slots.values.to_numpy(), values.values.to_numpy(), y)
-            if own is not None:
-                yield changes()
-
-        ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "h", "slots").select("part", "y", "slots", "values")
-        moved = ordered.mapInArrow(walk, "slot int, z double, n double").groupBy("slot").agg((F.sum("z") / parts).alias("z"), (F.sum("n") / parts).alias("n")).toArrow()
+                for y, slots, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                    own.learn(slots.values.to_numpy(), scaled(counts.values.to_numpy()), y)
+                    some = True
+            at = np.flatnonzero((own.n != n) | (own.z != z))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(own.z[at] - z[at], float(some))), pa.array(np.append(own.n[at] - n[at], 0.0))], ["slot", "z", "n"])
+
+        moved = ordered.mapInArrow(walk, "slot int, z double, n double").groupBy("slot").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow().sort_by("slot")
+        parts = max(1.0, moved.column("z")[0].as_py())  # the first row tells how many walked
+        moved = moved.slice(1)
         at = moved.column("slot").to_numpy()
-        learner.z[at] += moved.column("z").to_numpy()
-        learner.n[at] += moved.column("n").to_numpy()
+        learner.z[at] += moved.column("z").to_numpy() / parts
+        learner.n[at] += moved.column("n").to_numpy() / parts
     return Model(learner.weights())
 
 
