@@ -53,7 +53,7 @@ def without_bodies(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def notes(texts: pd.Series) -> pd.Series:
     """What the lexer finds wrong with each source, the first few."""
-    return texts.map(lambda t: csharp.problems(t)[:MOST_NOTES], na_action="ignore")
+    return texts.map(lambda t: csharp.problems(t, MOST_NOTES), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())

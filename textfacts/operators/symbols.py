@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,11 +64,16 @@ def chosen(symbols: DataFrame, by: list[str], kind: str = "kind", parameters: st
     return ranked.where(F.col("place") <= most).withColumn("more", F.greatest(F.col("_total") - 1 - most, F.lit(0))).drop("_total", "rank")
 
 
-def usages(refs: DataFrame, symbol: str, order: list[str], most: int = MOST_USAGES) -> DataFrame:
-    """The first references of each symbol, with the number of all of them and whether some were left out."""
-    own = Window.partitionBy(symbol)
-    out = refs.withColumn("rank", F.row_number().over(own.orderBy(*order)).cast("long")).withColumn("total", F.count("*").over(own))
-    return out.where(F.col("rank") <= most).withColumn("cut", F.col("total") > most)
+def usages(refs: DataFrame, symbol: str | list[str], order: list[Column | str], most: int = MOST_USAGES) -> DataFrame:
+    """The first references of each symbol (one column or several), with the number of all of them and whether some were left out.
+
+    All are counted by a sum of the tasks' counts, and each task keeps only its first ones of a symbol before they meet, however popular it is.
+    """
+    by = [symbol] if isinstance(symbol, str) else symbol
+    total = refs.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count("*").alias("total"))
+    first = refs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= most)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    return first.join(total, same).drop(*(f"_{c}" for c in by)).withColumn("cut", F.col("total") > most)
 
 
 def with_source_lines(refs: DataFrame, lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:

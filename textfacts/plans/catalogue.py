@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import code, graph, logs, patch, search, symbols, tree
+from ..operators import code, graph, logs, patch, references, search, symbols, tree
 from ..sources import workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,3 +576,85 @@ def code_notes(t):
     key = F.regexp_extract("path", "[0-9]+", 0).cast("long")
     odd = F.when(key % 3 == 0, F.concat("text", F.lit("){"))).when(key % 3 == 1, F.regexp_replace("text", r"\}\s*$", "")).otherwise(F.col("text"))
     return code.with_notes(_sources(t).withColumn("text", odd)).select("path", "notes")
+
+
+# Sources that refer to each other: each to the one before it, whose namespace it uses, and to the first one of its own; to one that it can't see; in comments and texts; and with a parameter of a field's name.
+LINKED = """using System;
+using N@U;
+namespace N@M
+{
+    // Box@P in a comment
+    public class Box@K
+    {
+        private Type kind = typeof(Box@B), other; // Box@P
+        private int size = @S;
+        public int Size() { return this.size + size; }
+        public int Other(Box@P box, int size)
+        {
+            var text = $"Box@P {size:N2}, {box.Size()}";
+            return new Box@P().Size() + new Box@Q().Size() + size;
+        }
+    }
+}
+"""
+_MARKS = {"@K": "p_partkey", "@S": "p_size", "@U": "(p_partkey + 2) % 3", "@M": "p_partkey % 3", "@P": "p_partkey - 1", "@Q": "p_partkey - 2", "@B": "case p_partkey % 3 when 0 then 3 else p_partkey % 3 end"}
+
+
+def _linked_sql() -> str:
+    text = f"'{LINKED}'"
+    for mark, value in _MARKS.items():
+        text = f"replace({text}, '{mark}', ({value})::varchar)"
+    place = "strpos(text, '{0}') - 1 + {1}"
+    own, last, first = "'N' || m || '.Box' || k", "'N' || u || '.Box' || p", "'N' || m || '.Box' || b"
+    other = "'public int Other(Box' || p || ' box, int size);'"
+    uses = [
+        (first, "'class'", 8, "typeof(", 7, "'private Type kind = typeof(Box' || b || '), other;'", "true"),
+        (f"{own} || '.size'", "'field'", 10, "this.size", 5, "'public int Size();'", "true"),
+        (f"{own} || '.size'", "'field'", 10, "+ size; }", 2, "'public int Size();'", "true"),
+        (last, "'class'", 11, "Other(Box", 6, other, "p >= 0"),
+        (f"{last} || '.Size'", "'method'", 13, "box.Size", 4, other, "p >= 0"),
+        (last, "'class'", 14, "return new Box", 11, other, "p >= 0"),
+        (f"{last} || '.Size'", "'method'", 14, "return new Box", None, other, "p >= 0"),
+    ]
+    rows = []
+    for fqn, kind, line, phrase, more, context, where in uses:
+        at = place.format(phrase, more) if more is not None else "strpos(text, '().Size() + new') - 1 + 3"
+        rows.append(f"select {fqn} fqn, {kind} kind, path, {line}::bigint line, ({at})::bigint \"start\", {context} context, string_split(text, E'\\n')[{line}] source from linked where {where}")
+    return f"linked as (select 'src/P' || k || '.cs' path, * from (select p_partkey k, p_partkey - 1 p, p_partkey % 3 m, (p_partkey + 2) % 3 u, {_MARKS['@B']} b, {text} text from part)), uses as ({' union all '.join(rows)})"
+
+
+LINKS = _linked_sql()
+
+
+def _linked(t) -> DataFrame:
+    text = F.lit(LINKED)
+    for mark, value in _MARKS.items():
+        text = F.replace(text, F.lit(mark), F.expr(value).cast("string"))
+    return t("part").select(F.format_string("src/P%s.cs", "p_partkey").alias("path"), text.alias("text"), F.col("p_partkey").alias("k"))
+
+
+@query(f"""with {LINKS}, r as (select *, row_number() over (partition by fqn order by upper(path), path, line, "start") rank, count(*) over (partition by fqn) total from uses) select fqn, kind, path, line, "start", rank, total, total > 30 cut, source from r where rank <= 30""")
+def usages_in_sources(t):
+    files = _linked(t)
+    return references.with_lines(references.usages(references.index(files).persist()), files).select("fqn", "kind", "path", "line", "start", "rank", "total", "cut", "source")
+
+
+@query(f"""with {LINKS}, r as (select *, row_number() over (order by upper(path), path, line, "start") rank, count(*) over () total from uses where fqn = 'N1.Box1') select path, line, "start", rank, total, total > 20 cut, context from r where rank <= 20""")
+def references_in_sources(t):
+    return references.find_references(references.index(_linked(t)).persist(), "src/P1.cs", "Box1").select("path", "line", "start", "rank", "total", "cut", "context")
+
+
+_CRATE = "replace({0}, '{1}Box' || {2} || '{3}', '{1}Crate' || {2} || '{3}')"
+_OF_LAST = _CRATE.format(_CRATE.format("{0}", "Other(", "p", " "), "return new ", "p", "(")
+
+
+@query(f"""with {LINKS}, a as (select path, text, case when k % 3 = 0 then {_CRATE.format("text", "class ", "k", "")} else text end t1, * from linked),
+  b as (select *, case when p >= 0 and p % 3 = 0 and p // 10 = k // 10 then {_OF_LAST.format("t1")} else t1 end t2 from a),
+  c as (select *, case when m = 0 and k // 10 = 0 then {_CRATE.format("t2", "typeof(", "3", ")")} else t2 end after from b) select path, after from c where after <> text""")
+def rename_by_places(t):
+    """A third of the classes get new names, within the project that declares each."""
+    files = _linked(t)
+    k = F.col("k")
+    new = files.where(k % 3 == 0).select(F.concat(F.lit("N0.Box"), k.cast("string")).alias("fqn"), F.lit("class").alias("kind"), F.lit(0).cast("long").alias("n_params"), F.concat(F.lit("Crate"), k.cast("string")).alias("new"), F.floor(k / 10).alias("project"))
+    projects = files.select("path", F.floor(k / 10).alias("project"))
+    return references.renamed(files, references.index(files).persist(), new, projects).select("path", F.col("text").alias("after"))
