@@ -35,7 +35,17 @@ def lines_physical(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without ASCII white space at either end."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def places(text: Column, part: str) -> Column:
+    """Where a text stands in another, from 0 and without overlaps, in one pass: the running lengths of what lies between."""
+    between = F.transform(F.split(text, rf"\Q{part}\E", -1), lambda x: F.char_length(x).cast("long"))
+    start = F.struct(F.array().cast("array<long>").alias("at"), F.lit(0).cast("long").alias("end"))
+    step = lambda done, n: F.struct(F.array_append(done["at"], done["end"] + n).alias("at"), (done["end"] + n + len(part)).alias("end"))
+    found = F.aggregate(between, start, step)["at"]
+    return F.slice(found, 1, F.size(found) - 1)
 
 
 def contains_ci(text: Column, part: str) -> Column:

@@ -21,17 +21,17 @@ ANCHORS = [
 ]
 ERROR_LABEL, STACK_LABEL = "Error Message:", "Stack Trace:"
 MOST_DIAGNOSTICS, MOST_FAILED, TOTALS_WINDOW = 20, 5, 24
+#: A log is split into ranges of so many places.
+RANGE = 65_536
 
 
 def diagnostics(lines: DataFrame, line: str = "line") -> DataFrame:
     """location, severity (lower case), code and message of the lines that are diagnostics, with all other columns. They aren't de-duplicated.
 
-    Most lines lack both words and are dropped before the pattern is tried. A match is rewritten once into its parts, which hold no line ends.
+    A line is matched once, and only if it has parentheses: the match, rewritten into its parts, which hold no line ends, is exploded where there is one.
     """
-    low = F.lower(line)
-    some = lines.where(F.contains(low, F.lit("error")) | F.contains(low, F.lit("warning")))
-    parts = F.split(F.regexp_replace(line, DIAGNOSTIC, "\n$2\n$3\n$1\n$4"), "\n")
-    got = some.withColumn("_d", parts).where("size(_d) = 5")
+    parts = F.when(F.contains(line, F.lit("(")) & F.contains(line, F.lit(")")), F.split(F.regexp_replace(line, DIAGNOSTIC, "\n$2\n$3\n$1\n$4"), "\n"))
+    got = lines.select("*", F.explode(F.filter(F.array(parts), lambda x: F.size(x) == 5)).alias("_d"))
     return got.select("*", F.lower(F.col("_d")[1]).alias("severity"), F.col("_d")[2].alias("code"), X.trimmed(F.col("_d")[3]).alias("location"), X.trimmed(F.col("_d")[4]).alias("message")).drop("_d")
 
 
@@ -54,16 +54,19 @@ def last_summary(runs: DataFrame, by: str, pos: str, line: str = "line") -> Data
     return got.select(by, *(F.regexp_extract("l", last, i + 2).cast("long").alias(n) for i, n in enumerate(names)))
 
 
-def last_totals(lines: DataFrame, by: str, pos: str, line: str = "line") -> DataFrame:
+def last_totals(lines: DataFrame, by: str, pos: str, line: str = "line", range_: int = RANGE) -> DataFrame:
     """Totals of each run's last block of totals: a line with the number of tests after which, within TOTALS_WINDOW lines, both the passed and the failed ones are told.
 
     Lines are those that CR and LF each end, numbered by `pos`; of several lines of a kind in a block, the last counts.
+    Ranges of a log are looked at apart, each with the few lines after it that its last blocks may need.
     """
     number = lambda pattern: F.when(F.rlike(line, F.lit(pattern)), F.regexp_extract(line, pattern, 1).cast("long"))
     told = lines.select(by, pos, number(TOTAL).alias("total"), number(PASSED).alias("p"), number(FAILED).alias("f")).where("coalesce(total, p, f) is not null")
-    ahead = Window.partitionBy(by).orderBy(pos).rangeBetween(0, TOTALS_WINDOW - 1)
+    near = F.floor(F.col(pos) / range_).cast("long")
+    told = told.withColumn("_own", near).withColumn("_r", F.explode(F.sequence(F.floor((F.col(pos) - (TOTALS_WINDOW - 1)) / range_).cast("long"), near)))
+    ahead = Window.partitionBy(by, "_r").orderBy(pos).rangeBetween(0, TOTALS_WINDOW - 1)
     told = told.withColumn("passed", F.last("p", ignorenulls=True).over(ahead)).withColumn("failed", F.last("f", ignorenulls=True).over(ahead))
-    best = told.where("total is not null and passed is not null and failed is not null").groupBy(by).agg(F.max_by(F.struct("failed", "passed", "total"), pos).alias("t"))
+    best = told.where("_r = _own and total is not null and passed is not null and failed is not null").groupBy(by).agg(F.max_by(F.struct("failed", "passed", "total"), pos).alias("t"))
     return best.select(by, "t.failed", "t.passed", F.lit(0).cast("long").alias("skipped"), "t.total")
 
 
@@ -78,25 +81,29 @@ def failed_name(line: Column) -> Column:
     return F.coalesce(*(F.nullif(X.trimmed(F.regexp_extract(line, p, 1)), F.lit("")) for p in ANCHORS))
 
 
-def blocks(lines: DataFrame, by: str, pos: str, anchor: Column, most: int = MOST_FAILED) -> DataFrame:
+def blocks(lines: DataFrame, by: str, pos: str, anchor: Column, most: int = MOST_FAILED, range_: int = RANGE) -> DataFrame:
     """Lines with the number of the block that they stand in: from an anchor up to the next one. The first blocks of each log are kept; lines before the first anchor aren't in one.
 
-    Only the places of a log's first anchors are needed, so no task goes through a whole log.
+    A prefix scan: the anchors of each range of a log are counted, the counts of the ranges before are carried over to it, and within it anchors
+    are counted line by line. So one log is split over many tasks, and ranges behind its first blocks are dropped before they are sorted.
+    Lines whose log is null are in no block.
     """
-    n = F.row_number().over(Window.partitionBy(by).orderBy(pos))
-    first = lines.where(anchor).select(by, pos).withColumn("_n", n).where(F.col("_n") <= most + 1).groupBy(by).agg(F.collect_list(pos).alias("_at"))
-    own = lines.join(first, by).withColumn("block", F.size(F.filter("_at", lambda a: a <= F.col(pos))).cast("long"))
-    return own.where((F.col("block") >= 1) & (F.col("block") <= most)).drop("_at")
+    own = lines.withColumn("_anchor", F.coalesce(anchor, F.lit(False)).cast("long")).withColumn("_r", F.floor(F.col(pos) / range_).cast("long"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = own.groupBy(by, "_r").agg(F.sum("_anchor").alias("_n")).withColumn("_before", before).where((F.col("_before") <= most) & (F.col("_before") + F.col("_n") > 0))
+    so_far = F.sum("_anchor").over(Window.partitionBy(by, "_r").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    own = own.join(carried.drop("_n"), [by, "_r"]).withColumn("block", F.col("_before") + so_far)
+    return own.where((F.col("block") >= 1) & (F.col("block") <= most)).drop("_anchor", "_r", "_before")
 
 
-def failures(lines: DataFrame, by: str, pos: str, line: str = "line", most: int = MOST_FAILED) -> DataFrame:
+def failures(lines: DataFrame, by: str, pos: str, line: str = "line", most: int = MOST_FAILED, range_: int = RANGE) -> DataFrame:
     """block, name, error and stack of the first failed tests of each log.
 
     The error is what stands after its label, or without one after the first line, up to the stack's label, as one line; the stack
     is what follows its label, as far as it is shown. A stack before the error's label leaves no error.
     """
     named = lines.withColumn("_name", failed_name(F.col(line)))
-    own = blocks(named, by, pos, F.col("_name").isNotNull(), most)
+    own = blocks(named, by, pos, F.col("_name").isNotNull(), most, range_)
     low = F.lower(line)
     e, s = F.instr(low, F.lit(ERROR_LABEL.lower())), F.instr(low, F.lit(STACK_LABEL.lower()))
     own = own.select(by, "block", pos, F.col(line).alias("_line"), "_name", F.when(e > 0, e).alias("_e"), F.when(s > 0, s).alias("_s"))
@@ -112,7 +119,8 @@ def failures(lines: DataFrame, by: str, pos: str, line: str = "line", most: int
     part = F.explode(F.array(F.struct(F.lit("error").alias("part"), X.trimmed(error).alias("text")), F.struct(F.lit("stack").alias("part"), F.regexp_replace(stack, r"\s+$", "").alias("text"))))
     rank = F.row_number().over(Window.partitionBy(by, "block", "part").orderBy(pos))
     rows = at.select(by, "block", pos, part.alias("x")).select(by, "block", pos, "x.*").where("text != ''").withColumn("n", rank)
-    # Each kept line of an error is a character at least, so no more lines than characters can be shown.
+    # Each kept line of an error is a character at least, so no more lines than characters can be shown; tasks keep only so many before they meet.
+    rows = rows.where(F.col("n") <= X.DETAIL_CHARS)
     rows = rows.where(F.when(F.col("part") == "stack", F.col("n") <= X.STACK_LINES).otherwise(F.col("n") <= X.DETAIL_CHARS))
     joined = lambda name, mark: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("n", "text")))), lambda x: x["text"]), mark)
     texts = rows.groupBy(by, "block").agg(joined("error", " ").alias("error"), F.regexp_replace(joined("stack", "\n"), r"^\s+", "").alias("stack"))

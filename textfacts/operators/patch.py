@@ -26,7 +26,9 @@ def patched(text: Column, old: str, new: str, every: bool = False) -> tuple[Colu
     where = F.regexp_instr(own, F.lit(flexible))
     kind = F.when(exact > 0, "exact").when(F.rlike(own, F.lit(flexible)), "flexible").otherwise("none")
     if every:
-        out = F.regexp_replace(F.replace(own, F.lit(old), F.lit(new)) if new not in old and old not in new else own, flexible, literal)
+        # At each place the exact text comes first; what has been put in isn't looked at again.
+        exactly = re.escape(old).replace("/", r"\/")
+        out = F.regexp_replace(own, f"{exactly}|{flexible}", literal)
     else:
         first = F.concat(F.left(own, exact - 1), F.lit(new), F.substring(own, exact + len(old), F.char_length(own)))
         hit = F.regexp_substr(own, F.lit(flexible))
@@ -36,8 +38,8 @@ def patched(text: Column, old: str, new: str, every: bool = False) -> tuple[Colu
 
 
 def folded(events: DataFrame, by: str, pos: str) -> DataFrame:
-    """The text of each pad after its events: write replaces, append adds a line, clear empties; what precedes the last write or clear doesn't count."""
+    """The text of each pad after its events: write replaces, append adds a line, clear empties; what precedes the last write or clear doesn't count. Null contents are empty."""
     since = F.max(F.when(F.col("action").isin("write", "clear"), F.col(pos))).over(Window.partitionBy(by))
     live = events.withColumn("_since", since).where(F.col("_since").isNull() | (F.col(pos) >= F.col("_since")))
-    parts = F.array_sort(F.collect_list(F.when(F.col("action") != "clear", F.struct(pos, "content"))))
+    parts = F.array_sort(F.collect_list(F.when(F.col("action") != "clear", F.struct(pos, F.coalesce("content", F.lit("")).alias("content")))))
     return live.groupBy(by).agg(F.array_join(F.transform(parts, lambda x: x["content"]), "\n").alias("content"), F.count_if(F.col("action") != "clear").alias("n_parts"))

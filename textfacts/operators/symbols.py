@@ -98,17 +98,17 @@ def at_paths(documents: DataFrame, paths: DataFrame, path: str = "path", any_cas
     return paths.withColumn("_k", key(path)).join(first, "_k", "left").select(path, *(F.col(f"_d.{c}") for c in ("found", *others)))
 
 
-def enclosing(points: DataFrame, spans: DataFrame, path: str = "path", size: int = BIN) -> DataFrame:
-    """Each different point with what encloses it: the best kind, of that the innermost span; points in no span have nulls.
+def enclosing(points: DataFrame, spans: DataFrame, path: str = "path", size: int = BIN, more: list[str] | None = None) -> DataFrame:
+    """Each different point with what encloses it: the best kind, of that the innermost span, with its columns `more`; points in no span have nulls.
 
     Spans and points meet by path and by bins of positions, so that a point meets only spans of its part of a file.
     """
     own = points.columns
-    bins = spans.where("start < end").where(kind_rank(F.col("kind")).isNotNull()).select(F.col(path).alias("_path"), "kind", "start", "end", "header", F.explode(F.expr(f"sequence(cast(floor(start / {size}) as bigint), cast(floor((end - 1) / {size}) as bigint))")).alias("_bin"))
+    bins = spans.where("start < end").where(kind_rank(F.col("kind")).isNotNull()).select(F.col(path).alias("_path"), "kind", "start", "end", "header", *(more or []), F.explode(F.expr(f"sequence(cast(floor(start / {size}) as bigint), cast(floor((end - 1) / {size}) as bigint))")).alias("_bin"))
     at = points.distinct().withColumn("_bin", F.floor(F.col("pos") / size).cast("long"))
     inside = (F.col(path) == F.col("_path")) & (at["_bin"] == bins["_bin"]) & (F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end"))
-    best = F.min(F.when(F.col("kind").isNotNull(), F.struct(kind_rank(F.col("kind")).alias("rank"), (F.col("end") - F.col("start")).alias("length"), "start", "end", "kind", "header"))).alias("_best")
-    return at.join(bins, inside, "left").groupBy(*own).agg(best).select(*own, "_best.kind", "_best.start", "_best.end", "_best.header")
+    best = F.min(F.when(F.col("kind").isNotNull(), F.struct(kind_rank(F.col("kind")).alias("rank"), (F.col("end") - F.col("start")).alias("length"), "start", "end", "kind", "header", *(more or [])))).alias("_best")
+    return at.join(bins, inside, "left").groupBy(*own).agg(best).select(*own, "_best.kind", "_best.start", "_best.end", "_best.header", *(f"_best.{c}" for c in more or []))
 
 
 def _quoted(name: str) -> str:

@@ -93,6 +93,15 @@ def dir_tree(t):
     return tree.tree(t("pages"), "url", 2)
 
 
+@query(f"""with s as (select {SEGMENTS} s from pages), n as (select s, unnest(range(1, least(len(s), 3) + 1)) n from s),
+  k as (select list_slice(s, 1, n - 1) above, n - 1 as depth, s[n] as name, bool_or(n < len(s)) is_dir from n where not list_has_any(list_transform(list_slice(s, 1, case when n < len(s) then n else n - 1 end), lambda x: lower(x)), ['.git', '.vs', 'bin', 'obj', 'blog']) group by all),
+  l as (select list_transform(above, lambda x: '0' || upper(x) || chr(1) || x) above, depth, name, is_dir, case when is_dir then '0' else '1' end || upper(name) || chr(1) || name own from k),
+  t as (select list_append(above, own) k, repeat('    ', depth::int) || case when own = max(own) over (partition by above) then '└── ' else '├── ' end || name || case when is_dir then '/' else '' end text from l union all select [], 'pages')
+  select row_number() over (order by k) line_no, text from t""")
+def tree_printed(t):
+    return tree.printed(t("pages"), "url", "pages", 3, [*tree.EXCLUDED, "blog"])
+
+
 @query(f"with s as (select page_id, url, {SEGMENTS} s from pages) select page_id, url from s where not list_has_any(list_transform(list_slice(s, 1, len(s) - 1), lambda x: lower(x)), ['.git', '.vs', 'bin', 'obj', 'blog'])")
 def path_exclude(t):
     return t("pages").where(~tree.excluded(F.col("url"), [*tree.EXCLUDED, "blog"])).select("page_id", "url")
@@ -282,15 +291,13 @@ def _spans(t) -> tuple[DataFrame, DataFrame]:
     docs = t("documents").where(X.contains_ci(F.col("text"), "license"))
     end = F.sum(F.char_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("line_no"))
     own = search.file_lines(docs.select("doc_id", "text"), "doc_id").select("doc_id", "line_no", end.alias("end"), F.col("line").alias("header"))
-    found = F.expr("filter(sequence(0, char_length(text) - 1), i -> substr(lower(text), i + 1, 7) = 'license')")
-    return own.withColumn("start", F.col("end") - F.char_length("header") - 1), docs.select("doc_id", F.explode(found).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+    return own.withColumn("start", F.col("end") - F.char_length("header") - 1), docs.select("doc_id", F.explode(X.places(F.lower("text"), "license")).alias("pos"))
 
 
 @query(f"""with {SPANS} select doc_id, pos, line_no, "start", line header from s join p using (doc_id) where pos >= "start" and pos < "end\"""")
 def enclosing_line(t):
     lines, points = _spans(t)
-    found = symbols.enclosing(points, lines.withColumn("kind", F.lit("method")), "doc_id")
-    return found.join(lines.select("doc_id", "start", "line_no"), ["doc_id", "start"]).select("doc_id", "pos", "line_no", "start", "header")
+    return symbols.enclosing(points, lines.withColumn("kind", F.lit("method")), "doc_id", more=["line_no"]).where("kind is not null").select("doc_id", "pos", "line_no", "start", "header")
 
 
 KIND_OF = "case line_no % 6 when 0 then 'class' when 1 then 'method' when 2 then 'event' when 3 then 'property' when 4 then 'ctor' else 'field' end"
