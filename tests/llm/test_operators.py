@@ -338,6 +338,26 @@ def test_nearest_of_many_shards(spark):
     assert hits / (20 * 150) > 0.9  # the beam holds a tenth of a shard
 
 
+@pytest.mark.parametrize("long", [1.0, 1e5, 1e20, 1e-20])
+def test_nearest_with_one_long_vector(spark, long):
+    rng = np.random.default_rng(23)
+    vectors = rng.normal(0, 1, (1500, 32))
+    vectors[0] *= long
+    vectors[1::7] *= 10 ** rng.uniform(-3, 3, (len(vectors[1::7]), 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 30 = 0")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    found = 0
+    for i, v in enumerate(vectors):
+        if i % 30 == 0:
+            order = [j for j in np.argsort(-(vectors @ v), kind="stable") if j != i][:20]
+            found += len(set(order) & set(got[i].values()))
+            assert len(got[i]) == 20
+    assert found / (20 * len(got)) >= 0.95
+
+
 def test_secrets(docs, empty):
     text = "Token: 'abcd12' password=x1 AKIA" + "A1" * 8 + " " + "0a" * 12 + " secret=password=abcdefgh\nconst base = \"q8Zr-77xTy\"\ndb_password := base + 'tail-99Q'\npassword_length = 123456789"
     found = secrets.find(text)
@@ -609,6 +629,26 @@ def test_automaton_carries_its_state():
         assert abs(got - total) < 1e-9
 
 
+def test_automaton_with_collided_keys():
+    """Counts of n-grams that training lacks, as collisions give them: no state without its words, no arc without its states, and no failure."""
+    rng = np.random.default_rng(21)
+    size = 40
+    for some in (0.0, 0.1, 0.5, 1.0):
+        word = rng.integers(0, 4, size) * (rng.random(size) < 0.7)
+        pairs = np.sort(rng.choice(size * size, 300, replace=False))
+        pair = rng.integers(1, 9, 300) * (rng.random(300) < some)
+        triples = np.sort(rng.choice(300 * size, 900, replace=False))
+        triple = rng.integers(1, 9, 900) * (rng.random(900) < 0.8)
+        model = lm.Automaton(size, word, pairs, pair, triples, triple, int(word.sum()) or 1, int((word > 0).sum()), (2.0, 0.5))
+        assert (np.diff(model.arcs2) > 0).all() and (np.diff(model.arcs3) > 0).all()
+        assert all(word[k // size] and word[k % size] for k in model.arcs2)
+        states = set(model.arcs2.tolist())
+        assert all(int(model.last[k // size]) * size + int(k % size) in states for k in model.arcs3)
+        assert all(len(w) == 0 or w.max() <= 0 for w in (model.root, model.weight2, model.weight3))
+        tokens = rng.integers(0, size, 2_000)
+        assert (model.read(tokens, np.array([0, 700]), np.array([700, 1_300])) < 0).all()
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer

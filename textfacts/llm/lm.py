@@ -149,7 +149,9 @@ class Automaton:
         root = (word + 1.0) / (n + 1.0 * (v + 1))
         self.root = np.log10(root)
         m2, m3 = masses
-        # What training lacks is no state and no arc.
+        # What training lacks is no state and no arc. Keys of n-grams can collide, so one that it lacks may come with another's count:
+        # a pair needs both its words and a triple both its pairs, and neither is more frequent than what it consists of.
+        pair = np.minimum(pair, np.minimum(word[pairs // size], word[pairs % size]))
         seen = pair > 0
         self.arcs2, c2 = pairs[seen], pair[seen]
         first, self.last = self.arcs2 // size, self.arcs2 % size
@@ -158,11 +160,13 @@ class Automaton:
         self.fail1 = np.log10(m2 / (word + m2))
         self.fail2 = np.log10(m3 / (c2 + m3))
         number = np.cumsum(seen) - 1
-        had = triple > 0
+        had = np.flatnonzero((triple > 0) & seen[triples // size])
         state, w = number[triples[had] // size], triples[had] % size
+        next_, hit = self._find(self.arcs2, self.last[state] * size + w)
+        had, state, w, self.next3 = had[hit], state[hit], w[hit], next_[hit]
         self.arcs3 = state * size + w
-        self.next3 = np.searchsorted(self.arcs2, self.last[state] * size + w)
-        self.weight3 = np.log10((triple[had] + m3 * p2[self.next3]) / (c2[state] + m3)) if had.any() else np.zeros(0)
+        c3 = np.minimum(triple[had], np.minimum(c2[state], c2[self.next3]))
+        self.weight3 = np.log10((c3 + m3 * p2[self.next3]) / (c2[state] + m3)) if len(had) else np.zeros(0)
 
     @staticmethod
     def _find(arcs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
