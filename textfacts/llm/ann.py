@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph per shard.
 
-Different vectors are dealt to shards of bounded size by hash. A shard's graph is built by
+Different vectors are dealt to shards of bounded size by their scale, which is that of their largest component, and by hash. A shard's graph is built by
 insertion and stored as flat arrays of neighbours. Queries go to every shard in blocks that are much larger than a
 graph, and a query's best rows of all shards are merged. Equal vectors are one node that stands for all its ids.
 
 For inner products, each vector gets one more component that gives all of a shard's vectors the same norm;
-the order by inner product is then the order by distance, which such graphs need.
+the order by inner product is then the order by distance, which such graphs need. Vectors of one scale have similar norms, so
+that few long ones don't swamp the differences of the others, and they are scaled to at most 1, so that none is too large for float32.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ EXPAND = 8
 SHARD_VECTORS = 4_096
 LEAST_SHARDS = 6
 QUERY_BLOCK = 65_536
+#: Powers of 2 that the largest components of a scale span.
+SCALE_BITS = 4
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """float32 vectors with one more component, all of the same norm."""
+    """float32 vectors with one more component, all of the same norm, 1 at most."""
     vectors = np.asarray(vectors, dtype=np.float64)
+    vectors = vectors / max(np.abs(vectors).max(initial=0), 5e-324)
+    vectors = vectors / max(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)).max(initial=0), 1.0)
     norms = np.einsum("ij,ij->i", vectors, vectors)
     last = np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))
     return np.column_stack([vectors, last]).astype(np.float32)
@@ -141,7 +146,7 @@ class Graph:
         """Up to `width` nodes near a vector, nearest first."""
         if self.entry < 0:
             return np.zeros(0, dtype=int)
-        q, at = np.append(q, 0).astype(np.float32), np.array([self.entry])
+        q, at = np.append(np.asarray(q, dtype=np.float64) / max(np.abs(q).max(initial=0), 5e-324), 0).astype(np.float32), np.array([self.entry])
         for k in range(len(self.layers) - 1, 0, -1):
             if self.layers[k][0][self.entry] >= 0:
                 at = self._layer(q, at, k, 1)[0]
@@ -171,7 +176,7 @@ def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-GRAPH = "dim int, shard long, ids array<array<long>>, vectors binary, graph binary"
+GRAPH = "dim int, scale int, shard long, ids array<array<long>>, vectors binary, graph binary"
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -194,7 +199,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, widt
     # A vector's smallest ids are enough: no query needs more than k of them besides its own.
     ranked = valid(embeddings).withColumn("n", F.expr("row_number() over (partition by v order by vec_id)")).where(F.col("n") <= k + 1)
     nodes = ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    nodes = nodes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"), "v", "ids")
+    scale = F.floor(F.log2(F.array_max(F.transform("v", F.abs))) / SCALE_BITS).cast("int")
+    nodes = nodes.select(F.size("v").alias("dim"), scale.alias("scale"), F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"), "v", "ids")
 
     def build(t: pa.Table) -> pa.Table:
         vectors = matrix_of(t.column("v"))
@@ -202,14 +208,15 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, widt
         order = order[np.random.default_rng(0).permutation(len(order))]
         vectors = vectors[order]
         ids = t.column("ids").to_pylist()
-        row = [[t.column("dim")[0].as_py()], [t.column("shard")[0].as_py()], [[ids[i] for i in order]], [vectors.astype(kept).tobytes()], [Graph.build(vectors).packed()]]
-        types = [pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(row, types, strict=True)], ["dim", "shard", "ids", "vectors", "graph"])
+        row = [[t.column("dim")[0].as_py()], [t.column("scale")[0].as_py()], [t.column("shard")[0].as_py()], [[ids[i] for i in order]], [vectors.astype(kept).tobytes()], [Graph.build(vectors).packed()]]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(row, types, strict=True)], ["dim", "scale", "shard", "ids", "vectors", "graph"])
 
-    graphs = stored(nodes.groupBy("dim", "shard").applyInArrow(build, GRAPH), wide=True)
+    graphs = stored(nodes.groupBy("dim", "scale", "shard").applyInArrow(build, GRAPH), wide=True)
     asked = cut(valid(queries))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    asked = asked.join(F.broadcast(graphs.select("dim", F.expr("scale + 0").alias("scale")).distinct()), "dim")  # few: doubles have 2,100 powers of 2
     spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(graph: pa.Table, block: pa.Table) -> pa.Table:
@@ -225,7 +232,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, widt
         cols = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    keys = ("dim", "shard", "block")
+    keys = ("dim", "scale", "shard", "block")
     hits = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, HITS)
     best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = best.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int"))
