@@ -665,3 +665,16 @@ def rename_by_places(t):
     new = files.where(k % 3 == 0).select(F.concat(F.lit("N0.Box"), k.cast("string")).alias("fqn"), F.lit("class").alias("kind"), F.lit(0).cast("long").alias("n_params"), F.concat(F.lit("Crate"), k.cast("string")).alias("new"), F.floor(k / 10).alias("project"))
     projects = files.select("path", F.floor(k / 10).alias("project"))
     return references.renamed(files, references.index(files).persist(), new, projects).select("path", F.col("text").alias("after"))
+
+
+@query(f"""with u as (select page_id, array_to_string({SEGMENTS}, '/') p from pages), d as (select page_id, p, regexp_replace(p, '/?[^/]*$', '') f from u),
+  s as (select case when page_id % 7 = 0 then f || '/All.sln' when page_id % 5 = 0 then p || '/P.csproj' when page_id % 11 = 0 then p || '/X.vbproj' end path from d), k as (select path, regexp_replace(path, '/?[^/]*$', '') base, path like '%.csproj' proj from s where path like '%.sln' or path like '%.csproj'),
+  w as (select distinct f folder from d), h as (select folder, arg_min(path, (-length(base), proj, path)) found from w join k on folder = base or starts_with(folder, base || '/') group by 1)
+  select folder, found from w left join h using (folder)""")
+def nearest_solutions(t):
+    path = F.array_join(tree.segments(F.col("url")), "/")
+    folder = F.regexp_replace(path, r"/?[^/]*$", "")
+    k = F.col("page_id")
+    files = F.when(k % 7 == 0, F.concat(folder, F.lit("/All.sln"))).when(k % 5 == 0, F.concat(path, F.lit("/P.csproj"))).when(k % 11 == 0, F.concat(path, F.lit("/X.vbproj")))
+    pages = t("pages")
+    return workspace.nearest_solutions(pages.select(files.alias("path")).where("path is not null"), pages.select(folder.alias("folder")))

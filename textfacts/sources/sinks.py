@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import text as X
 from . import settings
 
-KEPT_DAYS = 14
+KEPT_DAYS, BUCKETS = 14, 64
 
 
-def upserted(files: DataFrame, updates: DataFrame) -> DataFrame:
+def upserted(files: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """(path, text) after updates: a path's new text replaces the old, new paths are added, a null text deletes.
 
-    Several updates of one path: the greatest text counts, as rows have no order.
+    Of several updates of one path that of the greatest `order` counts, of equal orders or without one the greatest text, as rows have no order.
     """
-    one = updates.groupBy("path").agg(F.max("text").alias("text"))
+    rank = F.struct(*([order] if order else []), F.col("text").isNotNull(), "text")
+    one = updates.groupBy("path").agg(F.max_by(F.struct("text"), rank).alias("_u")).select("path", "_u.text")
     return files.join(one.select("path"), "path", "left_anti").select("path", "text").unionByName(one.where("text is not null"))
 
 
@@ -78,10 +80,57 @@ def log_requests(requests: DataFrame, path: str) -> bool:
     return own.log_requests
 
 
-def write_through(spark: SparkSession, updates: DataFrame, path: str, view: str) -> DataFrame:
-    """Apply updates to a table of files and have its view read the new files; the table."""
-    overwrite(spark, upserted(spark.read.parquet(path), updates), path)
+def bucket_of(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def write_files(files: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write (path, text) as a table of files in so many buckets, a folder each."""
+    files.select("path", "text", bucket_of(F.col("path"), buckets).alias("bucket"), F.lit(buckets).alias("buckets")).repartition("bucket").write.partitionBy("buckets", "bucket").parquet(path)
+
+
+def _buckets(spark: SparkSession, path: str) -> int | None:
+    """How many buckets a table of files has, by the name of its folder; None if it has none."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    names = [s.getPath().getName() for s in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
+    return next((int(n.removeprefix("buckets=")) for n in names if n.startswith("buckets=")), None)
+
+
+def write_through(spark: SparkSession, updates: DataFrame, path: str, view: str, order: str | None = None) -> DataFrame:
+    """Apply updates to a table of files and have its view read the new files; the table, (path, text).
+
+    In a table of write_files() only the buckets of the updated paths are read and replaced; others keep their files. A bucket that is left without files
+    is deleted. Tables without buckets are rewritten. Applying the same updates again changes nothing.
+    """
+    n = _buckets(spark, path)
+    if n is None:
+        overwrite(spark, upserted(spark.read.parquet(path), updates, order), path)
+    else:
+        touched = [r["b"] for r in updates.select(bucket_of(F.col("path"), n).alias("b")).distinct().collect()]
+        if touched:
+            held = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select("path", "text")
+            after = upserted(held, updates, order).withColumns({"bucket": bucket_of(F.col("path"), n), "buckets": F.lit(n)})
+            after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(path)
+            # The write replaces buckets that have rows; of the others, those whose rows are all deleted go.
+            again = upserted(spark.read.parquet(path).where(F.col("bucket").isin(touched)), updates, order)
+            left = {r["b"] for r in again.select(bucket_of(F.col("path"), n).alias("b")).distinct().collect()}
+            jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+            for b in set(touched) - left:
+                folder = jvm.Path(f"{path}/buckets={n}/bucket={b}")
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     spark.catalog.refreshByPath(path)
-    after = spark.read.parquet(path)
+    after = spark.read.parquet(path).select("path", "text")
     after.createOrReplaceTempView(view)
     return after
+
+
+def stream_updates(updates: DataFrame, path: str, view: str, checkpoint: str, order: str | None = None) -> DataStreamWriter:
+    """A stream of updates (path, text) that writes each batch through; start() it. A batch that is run again after a failure changes nothing more."""
+
+    def through(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        write_through(batch.sparkSession, batch, path, view, order)
+        batch.unpersist()
+
+    return updates.writeStream.foreachBatch(through).option("checkpointLocation", checkpoint)

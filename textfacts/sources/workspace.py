@@ -7,26 +7,25 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projects as P
 from ..functions import text as X
 from ..operators import graph, tree
+from . import scan
 
 VIEWS = ("files", "projects", "project_refs", "assembly_refs")
-#: How project files name things, and what tells the kinds of projects apart.
-_PROJECT_LINE = r'(?m)^Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+proj)"'
-_PROJECT_REF = r'(?is)<ProjectReference\s[^>]*?Include="([^"]+)"'
-_PACKAGE = r'(?is)<(?:PackageReference|FrameworkReference|Reference)\s[^>]*?Include="([^"]+)"'
-_SDK = r'(?is)<Project\s[^>]*?Sdk="([^"]+)"'
-TEST_REFERENCES, TEST_NAMES = ["xunit", "nunit", "mstest", "microsoft.net.test.sdk"], [".tests", "tests"]
-KINDS = [("Web API", ["microsoft.aspnetcore.app"]), ("Worker", ["microsoft.extensions.hosting"])]
-#: Frameworks that an SDK brings along.
-SDK_REFERENCES = {"microsoft.net.sdk.web": "Microsoft.AspNetCore.App", "microsoft.net.sdk.worker": "Microsoft.Extensions.Hosting"}
+_PROJECT_LINE, _PROJECT_REF, _PACKAGE, _SDK = P.PROJECT_LINE, P.PROJECT_REF, P.PACKAGE, P.SDK
+TEST_REFERENCES, TEST_NAMES, KINDS, SDK_REFERENCES = P.TEST_REFERENCES, P.TEST_NAMES, P.KINDS, P.SDK_REFERENCES
 
 
 def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path (below the root, with forward slashes), text and modified of all files under a folder; folders that scans don't enter are left out.
 
-    A file is one row, so its size is bounded by a task's memory. An empty folder gives no rows.
+    Excluded folders aren't even listed where Arrow knows the store; of others Spark lists all. A file is one row, so its size is bounded by a task's
+    memory. An empty folder gives no rows.
     """
+    if scan.readable(root):
+        scan.register(spark)
+        return spark.read.format("textfacts_files").option("glob", ",".join(braced(glob))).load(root).select("path", "text", "modified")
     whole = spark.read.text(root, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     own = whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
     base = F.lit(root.split("://")[-1].removeprefix("file:").strip("/") + "/")
@@ -35,6 +34,20 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return own.withColumn("path", F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))).where(~tree.excluded(F.col("path")))
 
 
+def braced(glob: str) -> list[str]:
+    """A pattern with at most one list in braces, as patterns without."""
+    head, _, rest = glob.partition("{")
+    some, _, end = rest.partition("}")
+    return [head + x + end for x in some.split(",")] if rest else [glob]
+
+
+def _table(spark: SparkSession, root: str, name: str, sources: DataFrame | None) -> DataFrame:
+    """projects, project_refs, assembly_refs or solution_projects of a folder, from its files where Arrow doesn't know the store."""
+    if sources is not None:
+        return {"projects": projects, "project_refs": project_refs, "assembly_refs": assembly_refs, "solution_projects": solution_projects}[name](sources)
+    return spark.read.format("textfacts_projects").option("table", name).load(root)
+
+
 def _from(folder: Column, path: Column) -> Column:
     """A path of a project file, taken from the folder that it stands in; .. and . are resolved."""
     parts = F.split(F.concat_ws("/", F.nullif(folder, F.lit("")), F.replace(path, F.lit("\\"), F.lit("/"))), "/")
@@ -98,12 +111,27 @@ def assembly_refs(sources: DataFrame) -> DataFrame:
     return own.select(F.col("path").alias("project_id"), F.explode(references(F.col("text"))).alias("path")).distinct()
 
 
+def nearest_solutions(sources: DataFrame, folders: DataFrame, folder: str = "folder") -> DataFrame:
+    """Each of many folders with `found`: the path of the solution, else project, in the nearest folder at or above it that has either; null without one.
+
+    A folder is exploded to itself and those above it, which meet solution and project files by equality; of a folder's files only the best counts,
+    and of the hits the deepest. Equal folders are one; a null folder has none.
+    """
+    kind = F.when(F.lower("path").endswith(".sln"), 0).when(F.lower("path").endswith(".csproj"), 1)
+    best = F.min_by("path", F.struct(kind, "path"))
+    there = sources.where(kind.isNotNull()).groupBy(_folder(F.col("path")).alias("_at")).agg(best.alias("_path"))
+    own = folders.select(F.col(folder).alias(folder)).distinct()
+    parts = F.filter(F.split(folder, "/"), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    hits = own.select(folder, F.posexplode(above).alias("_depth", "_at")).join(there, "_at")
+    found = hits.groupBy(F.col(folder).alias("_of")).agg(F.max_by("_path", "_depth").alias("found"))
+    return own.join(found, own[folder] == found["_of"], "left").select(folder, "found")
+
+
 def nearest_solution(sources: DataFrame, folder: str) -> DataFrame:
     """path of the solution, else project, in the nearest folder at or above `folder` that has either; one row or none."""
-    above = ["/".join(folder.split("/")[:n]) for n in range(len(folder.split("/")), -1, -1)]
-    own = sources.withColumn("_depth", F.array_position(F.lit(list(dict.fromkeys(above))), _folder(F.col("path")))).where("_depth > 0")
-    kind = F.when(F.lower("path").endswith(".sln"), 0).when(F.lower("path").endswith(".csproj"), 1)
-    return own.withColumn("_kind", kind).where("_kind is not null").orderBy("_depth", "_kind", "path").limit(1).select("path")
+    one = sources.sparkSession.range(1).select(F.lit(folder).alias("folder"))
+    return nearest_solutions(sources, one).where("found is not null").select(F.col("found").alias("path"))
 
 
 def load(spark: SparkSession, root: str, prefix: str = "", diagnostics: Iterable[str] = ()) -> DataFrame:
@@ -115,8 +143,9 @@ def load(spark: SparkSession, root: str, prefix: str = "", diagnostics: Iterable
     told = list(dict.fromkeys(diagnostics))
     if any("error" in d.lower() for d in told):
         raise ValueError(f"cannot load {root}:\n" + "\n".join(told))
-    project_files = files(spark, root, "*.{sln,csproj}")
-    found = {"files": files(spark, root), "projects": projects(project_files), "project_refs": project_refs(project_files), "assembly_refs": assembly_refs(project_files)}
+    scan.register(spark)
+    project_files = None if scan.readable(root) else files(spark, root, "*.{sln,csproj}")
+    found = {"files": files(spark, root)} | {name: _table(spark, root, name, project_files) for name in VIEWS[1:]}
     if found["projects"].limit(1).count() == 0:
         raise ValueError(f"no project under {root}")
     for name, df in found.items():
