@@ -108,10 +108,6 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
 
 
-def file_extension(path: Column) -> Column:
-    return F.regexp_extract(file_name(path), r"(\.[^.]*)$", 1)
-
-
 def generic_stripped(name: Column) -> Column:
     """A type's name up to the backtick before its arity."""
     return F.substring_index(name, "`", 1)
@@ -142,6 +138,19 @@ def modifiers(access: Column, static: Column) -> Column:
     return F.concat(F.when(keyword == "", "").otherwise(F.concat(keyword, F.lit(" "))), F.when(static, "static ").otherwise(""))
 
 
+def signature(kind: Column, name: Column, returned: Column, type_name: Column, type_parameters: Column, parameters: Column, getter: Column, setter: Column) -> Column:
+    """A member as it is declared: a field's type and name, a property's accessors, or a method's type parameters and parameters.
+
+    kind is field, property, method or ctor, which has its type's name and returns nothing; parameters are an array of (type, name), a blank name is arg; slashes in types are dots.
+    """
+    own = F.concat(nested_dotted(returned), F.lit(" "), name)
+    accessors = F.concat(F.lit(" { "), F.when(getter, "get; ").otherwise(""), F.when(setter, "set; ").otherwise(""), F.lit("}"))
+    listed = F.array_join(F.transform(parameters, lambda p: F.concat(nested_dotted(p["type"]), F.lit(" "), F.when(trimmed(F.coalesce(p["name"], F.lit(""))) == "", "arg").otherwise(p["name"]))), ", ")
+    types = F.when(F.size(type_parameters) > 0, F.concat(F.lit("<"), F.array_join(type_parameters, ", "), F.lit(">"))).otherwise("")
+    called = F.concat(F.when(kind == "ctor", type_name).otherwise(own), types, F.lit("("), listed, F.lit(");"))
+    return F.when(kind == "field", F.concat(own, F.lit(";"))).when(kind == "property", F.concat(own, accessors)).otherwise(called)
+
+
 def public_or_protected(access: Column) -> Column:
     return access.isin(*ACCESS)
 
@@ -160,9 +169,30 @@ def megabytes(size: Column) -> Column:
     return size / (1024.0 * 1024.0)
 
 
+#: What has a short escape in JSON, and ASCII that is written as its number.
+JSON_SHORT = {"\\": "\\\\", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+JSON_NUMBERED = "\"&'+<>`\x7f"
+
+
+def _json_char(c: Column) -> Column:
+    """A character of a string in JSON: short escapes, and numbers of UTF-16 units for marks of markup and all beyond ASCII."""
+    n = F.ascii(c)
+    unit = lambda x: F.concat(F.lit("\\u"), F.lpad(F.hex(x), 4, "0"))
+    high = F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+    out = F.when(n > 0xFFFF, high)
+    for mark, short in JSON_SHORT.items():
+        out = out.when(c == mark, short)
+    return out.when((n < 0x20) | (n > 0x7F) | F.contains(F.lit(JSON_NUMBERED), c), unit(n)).otherwise(c)
+
+
 def json_compact(text: Column) -> Column:
-    """JSON without white space between its parts; text that isn't JSON stays as it is."""
-    return F.when(F.try_parse_json(text).isNotNull(), F.regexp_replace(text, r'("(?:[^"\\]|\\.)*+")|\s+', "$1")).otherwise(text)
+    """JSON without white space between its parts and with its strings as the writer escapes them; text that isn't JSON stays as it is."""
+    parts = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*+"|[^"\s]+)'), 1)
+    plain = r'^"[\x20!#-%(-*,-;=?-\[\]-_a-~]*+"$'  # most strings stay as they are
+    told = lambda t: F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]
+    again = lambda t: F.concat(F.lit('"'), F.array_join(F.transform(F.filter(F.split(told(t), ""), lambda c: c != ""), _json_char), ""), F.lit('"'))
+    written = F.array_join(F.transform(parts, lambda t: F.when(F.startswith(t, F.lit('"')) & ~F.rlike(t, F.lit(plain)), again(t)).otherwise(t)), "")
+    return F.when(F.try_parse_json(text).isNotNull(), written).otherwise(text)
 
 
 def rpc_params(text: Column, most: int = RPC_CHARS) -> Column:

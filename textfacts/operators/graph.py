@@ -36,20 +36,6 @@ def described(projects: DataFrame, edges: DataFrame) -> DataFrame:
     return projects.join(refs, "project_id", "left").select("name", or_mark("path", "(unknown path)"), or_mark("tfm", "(unknown)"), or_mark("output_type", "(unknown)"), or_mark("references", "(none)"))
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(src_id, dst_id) of all paths, by doubling. An extension for small graphs."""
-    found = edges.select("src_id", "dst_id").distinct()
-    before = -1
-    for _ in range(most):
-        n = found.count()
-        if n == before:
-            break
-        before = n
-        step = found.alias("a").join(found.alias("b"), F.col("a.dst_id") == F.col("b.src_id")).select("a.src_id", "b.dst_id")
-        found = found.unionByName(step).distinct()
-    return found
-
-
 def classified(value: Column, rules: list[tuple[str, list[str]]], other: str) -> Column:
     """The first kind one of whose markers stands in the value, in any case."""
     low, out = F.lower(value), F.lit(other)
@@ -61,13 +47,43 @@ def classified(value: Column, rules: list[tuple[str, list[str]]], other: str) ->
     return out
 
 
-def resolved(wanted: DataFrame, assemblies: DataFrame, key: str, name: str, order: str) -> DataFrame:
-    """For each wanted key the first assembly of exactly that name, else the first whose name holds it, in any case. The wanted keys are few and named by the caller."""
-    low = F.lower(F.col(name))
-    rank = F.when(low == F.lower(F.col(key)), 0).when(F.contains(low, F.lower(F.col(key))), 1)
-    pairs = assemblies.join(F.broadcast(wanted), F.contains(low, F.lower(F.col(key)))).withColumn("rank", rank)
-    n = F.row_number().over(Window.partitionBy(key).orderBy("rank", order))
-    return pairs.withColumn("_n", n).where("_n = 1").drop("_n")
+def first_of_any_case(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """Of the rows whose names are equal in any case, the first by order; null names are left out."""
+    others = [c for c in rows.columns if c != name]
+    first = rows.where(F.col(name).isNotNull()).groupBy(F.lower(name).alias("_low")).agg(F.min_by(F.struct(name, *others), F.struct(order, name)).alias("_r"))
+    return first.select(*(F.col(f"_r.{c}").alias(c) for c in rows.columns))
+
+
+#: Characters of the pieces of names in the index.
+GRAM = 3
+
+
+def grams(text: Column, n: Column) -> Column:
+    """The different pieces of n characters of a text."""
+    return F.when(F.char_length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def resolved(wanted: DataFrame, assemblies: DataFrame, key: str, path: str, order: str) -> DataFrame:
+    """For each wanted name the first assembly whose file's stem it is, else the first whose file name holds it, in any case; rank is 0 or 1.
+
+    Of paths that are equal in any case the first counts. Stems meet by equality. For the rest, file names are in an index of their pieces of GRAM characters; a wanted name meets
+    the names of its own rarest piece, which are then looked through. Shorter names meet by all pieces of their length. Equal wanted names are one; null and empty names find nothing.
+    """
+    asked = wanted.select(F.col(key).alias("_key"), F.lower(key).alias("_want")).where("_want != ''").distinct()
+    own = first_of_any_case(assemblies.select(F.col(path).alias(path), F.col(order).alias(order)).distinct(), path, order)
+    own = own.select(path, order, F.lower(X.file_stem(F.col(path))).alias("_stem"), F.lower(X.file_name(F.col(path))).alias("_file"))
+    best = F.min_by(F.struct(path, order), F.struct(order, path)).alias("_a")
+    exact = asked.join(own, asked["_want"] == own["_stem"]).groupBy("_key").agg(best).withColumn("rank", F.lit(0))
+
+    rest = asked.join(exact, "_key", "left_anti")
+    size = F.least(F.char_length("_want"), F.lit(GRAM))
+    sizes = rest.select(size.alias("_n")).distinct()
+    index = own.join(F.broadcast(sizes)).select(path, order, "_file", F.explode(grams(F.col("_file"), F.col("_n"))).alias("_gram"))  # at most GRAM rows
+    pieces = rest.select("_key", "_want", F.explode(grams(F.col("_want"), size)).alias("_gram"))
+    counts = index.join(pieces.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_df"))
+    rarest = pieces.join(counts, "_gram").groupBy("_key", "_want").agg(F.min_by("_gram", F.struct("_df", "_gram")).alias("_gram"))
+    held = rarest.join(index, "_gram").where(F.contains("_file", F.col("_want"))).groupBy("_key").agg(best).withColumn("rank", F.lit(1))
+    return exact.unionByName(held).select(F.col("_key").alias(key), f"_a.{path}", f"_a.{order}", "rank")
 
 
 def sections(parts: list[tuple[str, DataFrame]]) -> DataFrame:

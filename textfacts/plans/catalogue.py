@@ -433,11 +433,19 @@ def project_type(t):
     return t("part").select("p_partkey", workspace.project_kind(refs, brand).alias("kind"))
 
 
-@query("""with k(wanted) as (values ('brand#11'), ('AND#2'), ('nothing')) select wanted, p_brand, p_partkey from (select *, row_number() over (partition by wanted order by case when lower(p_brand) = lower(wanted) then 0 else 1 end, p_partkey) n from part join k on contains(lower(p_brand), lower(wanted))) where n = 1""")
+# Assemblies are parts by name and brand, some in other case; what is wanted are names of parts, pieces of them, and what no part has.
+ASSEMBLIES = "a as (select 'lib/' || case when p_partkey % 3 = 0 then upper(p_name) else p_name end || case when p_partkey % 2 = 0 then '.' || p_brand else '' end || '.dll' path, p_partkey from part), w as (select distinct case p_partkey % 4 when 0 then upper(p_name) when 1 then substr(p_name || '.' || p_brand, 2 + p_size % 5, 1 + p_size % 7) when 2 then p_name || '.' || p_brand else 'no ' || p_partkey end wanted from part where p_partkey % 5 = 0)"
+
+
+@query(f"""with {ASSEMBLIES}, d as (select min_by(path, (p_partkey, path)) path, min(p_partkey) p_partkey from a group by lower(path)), n as (select *, lower(regexp_extract(path, '[^/]*$')) file from d),
+  h as (select wanted, path, p_partkey, case when regexp_replace(file, '\\.[^.]*$', '') = lower(wanted) then 0 else 1 end rank from w join n on contains(file, lower(wanted)))
+  select wanted, path, p_partkey, rank from (select *, row_number() over (partition by wanted order by rank, p_partkey, path) i from h) where i = 1""")
 def assembly_resolve(t):
     part = t("part")
-    wanted = part.sparkSession.createDataFrame([("brand#11",), ("AND#2",), ("nothing",)], "wanted string")
-    return graph.resolved(wanted, part, "wanted", "p_brand", "p_partkey").select("wanted", "p_brand", "p_partkey")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    path = F.concat(F.lit("lib/"), name, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("."), "p_brand")).otherwise(""), F.lit(".dll"))
+    wanted = F.expr("case p_partkey % 4 when 0 then upper(p_name) when 1 then substr(p_name || '.' || p_brand, 2 + p_size % 5, 1 + p_size % 7) when 2 then p_name || '.' || p_brand else 'no ' || p_partkey end")
+    return graph.resolved(part.where("p_partkey % 5 = 0").select(wanted.alias("wanted")), part.select(path.alias("path"), "p_partkey"), "wanted", "path", "p_partkey")
 
 
 ACCESS_OF = "case p_size % 6 when 0 then 'Public' when 1 then 'Protected' when 2 then 'ProtectedAndInternal' when 3 then 'ProtectedOrInternal' when 4 then 'Internal' else 'Private' end"
@@ -678,3 +686,76 @@ def nearest_solutions(t):
     files = F.when(k % 7 == 0, F.concat(folder, F.lit("/All.sln"))).when(k % 5 == 0, F.concat(path, F.lit("/P.csproj"))).when(k % 11 == 0, F.concat(path, F.lit("/X.vbproj")))
     pages = t("pages")
     return workspace.nearest_solutions(pages.select(files.alias("path")).where("path is not null"), pages.select(folder.alias("folder")))
+
+
+@query("""with m as (select p_partkey, case p_partkey % 4 when 0 then 'field' when 1 then 'property' when 2 then 'method' else 'ctor' end kind, split_part(p_name, ' ', 1) as name, replace(p_type, ' ', '.') ret, list_transform(range(0, p_size % 3), lambda i: 'T' || i) tps,
+    list_transform(range(0, p_size % 4), lambda i: 'Outer.In' || i || ' ' || case when i = 1 then 'arg' else 'p' || i end) ps, p_size % 2 = 0 g, p_size % 5 = 0 s from part)
+  select p_partkey, case kind when 'field' then ret || ' ' || name || ';' when 'property' then ret || ' ' || name || ' { ' || case when g then 'get; ' else '' end || case when s then 'set; ' else '' end || '}'
+    else case kind when 'ctor' then 'Box' else ret || ' ' || name end || case when len(tps) = 0 then '' else '<' || array_to_string(tps, ', ') || '>' end || '(' || coalesce(array_to_string(ps, ', '), '') || ');' end signature from m""")
+def member_signatures(t):
+    """Members of all kinds put together from their parts."""
+    kind = F.expr("case p_partkey % 4 when 0 then 'field' when 1 then 'property' when 2 then 'method' else 'ctor' end")
+    types = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("p_size") % 3 - 1), lambda i: F.concat(F.lit("T"), i.cast("string"))))
+    given = F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda i: F.struct(F.concat(F.lit("Outer/In"), i.cast("string")).alias("type"), F.when(i == 1, " ").otherwise(F.concat(F.lit("p"), i.cast("string"))).alias("name")))
+    given = F.slice(given, 1, F.col("p_size") % 4)
+    shown = X.signature(kind, F.substring_index("p_name", " ", 1), F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("Box"), types, given, F.col("p_size") % 2 == 0, F.col("p_size") % 5 == 0)
+    return t("part").select("p_partkey", shown.alias("signature"))
+
+
+@query(r"""select p_partkey, case when p_partkey % 7 = 0 then '{"k": é' else replace('{"k":"' || p_name || ' ~u00E9~u003C~u002B~u0027~uD83D~uDE00~n~~~u0022/","n":[1e+5,true,null,"plain text",{}]}', '~', chr(92)) end params from part""")
+def rpc_written(t):
+    """Requests whose strings hold what the log writes as escapes."""
+    rest = r""" é<+'😀\n\\\"\/", "n" : [1e+5, true,   null, "plain text", { } ] }"""
+    text = F.concat(F.lit('{ "k" :\t"'), "p_name", F.lit(rest))
+    return t("part").select("p_partkey", X.rpc_params(F.when(F.col("p_partkey") % 7 == 0, '{"k": é').otherwise(text), 0).alias("params"))
+
+
+@query("""with a as (select doc_id, case when doc_id % 6 = 0 then null else 'src/' || doc_id end path, case when doc_id % 3 = 0 then replace(text, 'e', 'E') when doc_id % 10 = 1 then null else text end text from documents where doc_id % 4 <> 1 union all select -doc_id - 1, 'new', text from documents)
+  select a.doc_id, a.path, a.text from a join documents d using (doc_id) where path is not null and a.text is distinct from d.text""")
+def document_diff(t):
+    """Documents of a new state of a solution whose text isn't that of the old one."""
+    old = t("documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    new = old.where(k % 4 != 1).select("doc_id", F.when(k % 6 != 0, F.concat(F.lit("src/"), k.cast("string"))).alias("path"), F.when(k % 3 == 0, F.replace("text", F.lit("e"), F.lit("E"))).when(k % 10 == 1, None).otherwise(F.col("text")).alias("text"))
+    new = new.unionByName(old.select((-k - 1).alias("doc_id"), F.lit("new").alias("path"), "text"))
+    return symbols.differences(old, new, "doc_id")
+
+
+# Project files made alike on both sides: frameworks told one way, the other or not at all; references outside of and within the solution.
+PROJECT = """<Project Sdk="@K">@T@A<ItemGroup>
+  <PackageReference Version="1" Include="@R" />
+  <ProjectReference Include="../P@N/./P@N.csproj" />
+  <ProjectReference Include="@U" /></ItemGroup></Project>"""
+_PROJECT_PARTS = {
+    "@K": "case p_size % 5 when 0 then 'Microsoft.NET.Sdk.Web' when 1 then 'microsoft.net.sdk.worker' else 'Microsoft.NET.Sdk' end",
+    "@T": "case p_partkey % 4 when 0 then '<TargetFramework> net' || p_size || '.0 </TargetFramework>' when 1 then '<targetframeworks>a;b</targetframeworks>' when 2 then '<TargetFramework></TargetFramework><TargetFrameworks>c</TargetFrameworks><OutputType>Exe</OutputType>' else '' end",
+    "@A": "case when p_partkey % 6 = 0 then '<AssemblyName>' || p_name || '.Tests</AssemblyName>' else '' end",
+    "@R": "case p_size % 7 when 0 then 'NUnit' when 1 then 'Microsoft.AspNetCore.App' else p_name end",
+    "@N": "p_partkey // 2",
+    "@U": "case when p_partkey % 2 = 0 then 'Sub/../../Up.csproj' else '../../../Top.csproj' end",
+}
+PROJECT_FILES = "f as (select 'src/P' || p_partkey || '/P' || p_partkey || '.csproj' path, * from part)"
+
+
+def _project_files(t) -> DataFrame:
+    text = F.lit(PROJECT)
+    for mark, value in _PROJECT_PARTS.items():
+        text = F.replace(text, F.lit(mark), F.expr(value.replace("//", "div")).cast("string"))
+    return t("part").select(F.format_string("src/P%s/P%s.csproj", "p_partkey", "p_partkey").alias("path"), text.alias("text"))
+
+
+@query(f"""with {PROJECT_FILES} select path project_id, 'P' || p_partkey as name, path, case p_partkey % 4 when 0 then 'net' || p_size || '.0' when 1 then 'a;b' when 2 then 'c' end tfm, case when p_partkey % 4 = 2 then 'Exe' end output_type,
+  case when p_partkey % 6 = 0 then p_name || '.Tests' else 'P' || p_partkey end assembly_name, case when p_partkey % 6 = 0 or p_size % 7 = 0 then 'Test' when p_size % 7 = 1 or p_size % 5 = 0 then 'Web API' when p_size % 5 = 1 then 'Worker' else 'Library' end kind from f""")
+def projects_parsed(t):
+    return workspace.projects(_project_files(t))
+
+
+@query(f"""with {PROJECT_FILES} select path src_id, 'src/P' || p_partkey // 2 || '/P' || p_partkey // 2 || '.csproj' dst_id, 0 ord from f union all select path, case when p_partkey % 2 = 0 then 'src/Up.csproj' else 'Top.csproj' end, 1 from f""")
+def project_refs_parsed(t):
+    return workspace.project_refs(_project_files(t))
+
+
+@query(r"select doc_id, case when len(string_split_regex(text, '\r\n|\n|\r')) - case when text = '' or suffix(text, chr(10)) then 1 else 0 end <= 20 then text end shown from documents")
+def type_guarded(t):
+    """Texts that are shown whole, or not at all where they have more lines than the limit."""
+    return t("documents").select("doc_id", X.guarded(F.col("text"), 20).alias("shown"))
