@@ -426,7 +426,7 @@ def test_secrets_base_by_brute_force(spark):
         assert tuple(got[d][f"n_{k}"] for k in ("assign", "access", "hex")) == tuple(sum(x[0] == k for x in want) for k in ("assign", "access", "hex"))
 
 
-@pytest.mark.parametrize("text", [":" + "ab" * 500_000, "password=" * 110_000, "a." * 500_000 + "=x", "a: " + "mut " * 250_000 + "=", "a=`b='c=\"" * 30_000, "".join(f"x{i + 1} = x{i} + x{i}\n" for i in range(20_000)), "".join(f"x{i + 1} = x{i} + 'l{i}'\n" for i in range(20_000))], ids=["run", "nested", "dots", "type", "quotes", "doubling", "chain"])
+@pytest.mark.parametrize("text", [":" + "ab" * 500_000, "password=" * 110_000, "a." * 500_000 + "=x", "a: " + "mut " * 250_000 + "=", "a=`b='c=\"" * 30_000, "".join(f"x{i + 1} = x{i} + x{i}\n" for i in range(20_000)), "".join(f"x{i + 1} = x{i} + 'l{i}'\n" for i in range(20_000)), "a=f(" * 100_000, "a:\n " * 100_000, "<a>" * 150_000, "<a b" * 150_000, 'a="""b=\'\'\'' * 40_000, "a" * 300_000 + ":\n"], ids=["run", "nested", "dots", "type", "quotes", "doubling", "chain", "calls", "below", "tags", "attributes", "triple", "name"])
 def test_secrets_in_linear_time(text):
     start = time.process_time()
     secrets.find(text)
@@ -446,6 +446,22 @@ def test_secrets_of_typed_declarations(line):
     assert "Zx81" not in secrets.redact(text, found)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ['PASSWORD="""@"""', "x = 1\npassword:\n  @\nother: 2", "db:\n  - api_key: |\n      '@'", "<cfg><db:password type='a'> @ </db:password></cfg>", "DB_PASS=@", 'db.password = os.environ.get("DB_PASSWORD_NAME", "@")', "token = decode('@')", 'v = f(g("@"))\napi_key = v', "secret: str = os.getenv(key, default='@')"],
+)
+def test_secrets_of_more_forms(text):
+    text = text.replace("@", "Zx81-kkQ9v")
+    found = secrets.find(text)
+    assert {text[s.start : s.end] for s in found if s.kind == "literal"} == {"Zx81-kkQ9v"}
+    assert "Zx81" not in secrets.redact(text, found)
+
+
+@pytest.mark.parametrize("text", ['password = os.environ.get("DB_PASSWORD_X9")', 'token = config.lookup_token("Zx81-key-name")', "password = self.vault.readPassword99()", "password:\n  see the Manual99-b for it", "<password>\n</password>", "password:\nZx81-kkQ9v", "bypass = 'Zx81-kkQ9v'"])
+def test_secrets_leave_code_alone(text):
+    assert [s for s in secrets.find(text) if s.kind == "literal"] == []
+
+
 def test_secrets_keep_values_with_equals_signs():
     text = "client_secret: c2Vj-cmV0dmFsdWU=x9\nclient_secret: q8Zr77xTy0=\nlabel: string = 'q8Zr-77xTy'\nx: a == 'q8Zr-77xTy'"
     assert [text[s.start : s.end] for s in secrets.find(text) if s.kind == "literal" and "q8Zr-77xTy" in text[s.start : s.end]] == []

@@ -1,7 +1,8 @@
 """Secrets in text: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer reads `name = value`, `name: value`, `name: type = value`, `name := value`, `"name" => value`
-and so on into pairs of a name and a value of literals and names. Names that were given literals before stand for
+The lexer reads `name = value`, `name: value`, `name: type = value`, `name := value`, `"name" => value`,
+values on the line after a name and its colon, `<name>value</name>` and so on into pairs of a name and a value of literals and names. Of a call it reads
+the quoted arguments, but not the first one of a look-up, which is a key. Names that were given literals before stand for
 them (constants are propagated, also through concatenation), and each literal is scored by how
 sensitive the names are that it reaches and by how little it looks like a placeholder.
 """
@@ -51,11 +52,18 @@ _WORDS = r"(?:(?:mut|dyn|impl|const|constant|readonly|keyof|typeof|unique)[ \t]+
 _UNIT = rf"""(?:[&*](?:'\w++[ \t]+)?)*+{_WORDS}(?:[A-Za-z_$][\w$]*+(?:(?:\.|::)[\w$]++)*+|"[^"\n]*+"|'[^'\n]*+'|{_BRACKETS})(?:{_BRACKETS})*+[?!]?"""
 #: A declaration with its type: `name: type = value`.
 _TYPED = re.compile(rf"""{_EDGE}(?P<name>[A-Za-z0-9_$]++)[?!]?[ \t]*+:(?![:/=])[ \t]*+{_UNIT}(?:[ \t]*+[|&][ \t]*+{_UNIT})*+[ \t]*+:?=(?![=~>])[ \t]*+(?=(?P<first>["'`A-Za-z0-9_$+/]))""", re.ASCII)
-_ATOM = re.compile(r"""(?:[rbfuRBFU]{0,2}(?P<q>["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[A-Za-z0-9_$+/.=~-]+))[ \t]*""", re.ASCII)
+#: A name and its colon, with the value on the next line, further in.
+_NEXT = re.compile(rf"""(?m)^(?P<indent>[ \t]*+)(?:-[ \t]++)?["']?(?P<name>[A-Za-z0-9_$]++(?:[.-][A-Za-z0-9_$]++)*+)["']?[ \t]*+:[ \t]*+(?:[|>][+-]?)?[ \t]*+\r?\n(?P=indent)[ \t]++(?=(?P<first>["'`A-Za-z0-9_$+/]))""", re.ASCII)
+#: An element with its text.
+_TAG = re.compile(r"""<(?:\w++:)?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?:[ \t][^<>\n]*+)?>[ \t]*+(?P<first>(?P<value>[^<>\s]++))[ \t]*+</(?:\w++:)?(?P=name)>""", re.ASCII)
+_QUOTED = re.compile(r"""(?P<q>\"{3}|'{3}|["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)|[()\n]""")
+_ATOM = re.compile(r"""(?:[rbfuRBFU]{0,2}(?P<q>\"{3}|'{3}|["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[A-Za-z0-9_$+/.=~-]+))[ \t]*""", re.ASCII)
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z0-9_$]+)*", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Parts of names and how sensitive they make what is assigned to them.
-_SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.7}
+_SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "passcode": 0.9, "pwd": 0.9, "pass": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.7}
+#: Parts of the names of calls whose first argument is a key.
+_LOOK_UPS = {"get", "getenv", "env", "environ", "property", "var", "lookup", "read", "load", "fetch", "find", "string", "config", "setting", "option", "value"}
 _KEYED = {"api", "access", "private", "secret", "auth", "signing", "encryption", "client", "account", "service"}
 _PLACEHOLDERS = re.compile(r"(?i)^(?:.*(?:example|changeme|change_me|placeholder|your[_-]|dummy|redacted|insert|todo).*|x+|\*+|none|null|true|false|undefined|string|test|secret|password|token)$")
 
@@ -99,6 +107,22 @@ class _Named(NamedTuple):
     constants: set[int]  #: their numbers
 
 
+def _arguments(text: str, at: int, call: str) -> tuple[list[tuple[int, int]], int]:
+    """The spans of the quoted arguments of a call whose parenthesis is at `at`, on its line, and where it ends; without the key of a look-up."""
+    spans, depth, end = [], 0, at
+    for m in _QUOTED.finditer(text, at):
+        end = m.end()
+        if m["q"]:
+            spans.append(m.span("quoted"))
+        else:
+            depth += (m[0] == "(") - (m[0] == ")")
+            if m[0] == "\n" or not depth:
+                break
+    parts = _PARTS.findall(call)
+    key = any(p.lower() in _LOOK_UPS for p in parts) and spans and text[at + 1 : spans[0][0] - 1].strip("rbfuRBFU \t\"'") == ""
+    return spans[1:] if key else spans, end
+
+
 def _definitions(text: str) -> list[_Named]:
     """Pairs of a name and a value in order of the text. A constant is referred to, not expanded, so all of them together are linear in the text."""
     found: list[_Named] = []
@@ -106,10 +130,22 @@ def _definitions(text: str) -> list[_Named]:
     # What follows the ':' of a typed declaration may be a value with a '=' in it, so both readings are taken.
     typed = _TYPED.finditer(text) if ":" in text and "=" in text else ()
     last, within = (-1, ""), -1
+    called = -1  # the end of the arguments that were read
     run, covered = -1, False  # the end of the last value without quotes, and whether a sensitive name has it
-    for pair in heapq.merge(_PAIR.finditer(text), typed, key=lambda m: (m.start(), m.start("first"))):
+    below = _NEXT.finditer(text) if ":" in text and "\n" in text else ()
+    tags = _TAG.finditer(text) if "</" in text else ()
+    for pair in heapq.merge(_PAIR.finditer(text), typed, below, tags, key=lambda m: (m.start("name"), m.start("first"))):
         at, name = pair.start("first"), pair["name"]
-        own = (pair.start(), name)
+        if pair.re is _TAG:
+            number[name] = len(found)
+            found.append(_Named(name, [pair.span("value")], set()))
+            continue
+        if pair.re is _NEXT:
+            # The next line's only value: one that goes on is a text or another name.
+            atom = _ATOM.match(text, at)
+            if not (atom and text[atom.end() : atom.end() + 1] in ("", "\n", "\r")):
+                continue
+        own = (pair.start("name"), name)
         if pair.re is _TYPED:
             within = at
         elif pair.start() < within and not name_score(name):  # the type of a declaration is no name
@@ -131,6 +167,12 @@ def _definitions(text: str) -> list[_Named]:
                 run = max(run, b)
                 b -= len(atom["bare"]) - len(atom["bare"].rstrip(".=+"))
                 bare = text[a:b]
+                if text[b : b + 1] == "(" and _NAME.fullmatch(bare):
+                    if b < called:  # the call around has read them
+                        break
+                    some, called = _arguments(text, b, bare)
+                    spans += some
+                    break
                 if bare in number and _NAME.fullmatch(bare):
                     constants.add(number[bare])
                 elif b > a:
