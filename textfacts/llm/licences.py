@@ -1,45 +1,31 @@
-"""Licence statements by the places of their key phrases.
+"""Licences and their notices by a positional index of rare words.
 
-Templates are short notices. Words weigh by document frequency over all documents. Of each mandatory
-key phrase, the word of the highest weight is looked up in a document's index of word places, and the phrase is
-verified there; relative to the template, the phrases' places give all offsets at which it could stand. It is
-accepted if two of its words line up at an offset that all its key phrases allow.
+Words weigh by document frequency over all documents. Of each template's mandatory key phrases the words of the highest weight are in an index with their
+places in the template. A file's words are looked up there; each hit gives the place at which the template would begin, and postings of a template are intersected by that
+place, give or take a few words for what is inserted or left out. Where they agree, the key phrases are
+verified, and the share of its weight that stands in order tells whether it is there.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_az, texts_of
+from .licence_texts import TEMPLATES
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label: notices, each with its mandatory key phrases.
-TEMPLATES: dict[str, list[tuple[str, tuple[str, ...]]]] = {
-    "apache-2.0": [("licensed under the apache license version 2 0", ("apache license", "version 2 0")), ("you may not use this file except in compliance with the license", ("except in compliance with the license",))],
-    "mit": [("released under the mit license", ("mit license",)), ("permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",))],
-    "bsd": [("redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)), ("licensed under the bsd license", ("bsd license",))],
-    "gpl-2.0": [("licensed under the gnu general public license version 2", ("gnu general public license", "version 2"))],
-    "gpl-3.0": [("licensed under the gnu general public license version 3", ("gnu general public license", "version 3"))],
-    "lgpl": [("licensed under the gnu lesser general public license", ("lesser general public license",))],
-    "agpl-3.0": [("licensed under the gnu affero general public license version 3", ("affero general public license",))],
-    "mpl-2.0": [("subject to the terms of the mozilla public license v 2 0", ("mozilla public license",))],
-    "isc": [("permission to use copy modify and or distribute this software for any purpose", ("copy modify and or distribute this software",)), ("released under the isc license", ("isc license",))],
-    "unlicense": [("this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",))],
-    "cc0-1.0": [("dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",))],
-    "cc-by-4.0": [("licensed under cc by 4 0", ("cc by 4 0",)), ("licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",))],
-    "cc-by-sa-4.0": [("licensed under cc by sa 4 0", ("cc by sa 4 0",))],
-    "cc-by-nc-4.0": [("licensed under cc by nc 4 0", ("cc by nc 4 0",))],
-    "cc-by-nd-4.0": [("licensed under cc by nd 4 0", ("cc by nd 4 0",))],
-    "proprietary": [("this software is proprietary and confidential unauthorized copying is strictly prohibited", ("proprietary and confidential",))],
-}
+#: Different words of a template in the index, those of the highest weight in its key phrases; the least share of a template's weight that stands in its place.
+RARE, LEAST_SHARE = 3, 0.75
 
 _BREAKS = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -62,50 +48,98 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
         return out
 
 
+class _Entry(NamedTuple):
+    label: str
+    words: list[bytes]
+    keys: list[list[bytes]]
+    without: list[list[bytes]]
+    weight: float
+    slack: int  #: how far from its place a word may stand
+    rare: int  #: how many different words of it are in the index
+
+
 class Index:
-    """Templates with their key phrases, and inverse document frequencies; its size is that of the templates."""
+    """Templates, inverse document frequencies and the places of each template's rare words; its size is that of the templates."""
 
     def __init__(self, frequency: dict[bytes, int], n: int) -> None:
-        self.templates = [(label, text.encode().split(), [p.encode().split() for p in keys]) for label, found in TEMPLATES.items() for text, keys in found]
-        self.needed = [frozenset(w for k in keys for w in k) for _, _, keys in self.templates]
-        self.words = frozenset(w for _, words, _ in self.templates for w in words)
-        self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1e-6 for w in self.words}
-        self.weight = [sum(self.idf[w] for w in words) for _, words, _ in self.templates]
-        # The rarest word of each key phrase, as its place in the phrase.
-        self.rarest = [[max(range(len(k)), key=lambda i: (self.idf[k[i]], -i)) for k in keys] for _, _, keys in self.templates]
-        self.looked_up = frozenset(k[i] for (_, _, keys), found in zip(self.templates, self.rarest, strict=True) for k, i in zip(keys, found, strict=True))
+        found = [(label, t) for label, some in TEMPLATES.items() for t in some]
+        self.idf: dict[bytes, float] = {}
+        self.entries: list[_Entry] = []
+        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        for number, (label, t) in enumerate(found):
+            words = licence_words(t.text)
+            for w in words:
+                self.idf.setdefault(w, math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1e-6)
+            phrases = [[licence_words(p) for p in some] for some in (t.keys, t.without)]
+            rare = sorted({w for k in phrases[0] for w in k}, key=lambda w: (-self.idf[w], w))[:RARE]
+            for i, w in enumerate(words):
+                if w in rare:
+                    self.postings.setdefault(w, []).append((number, i))
+            self.entries.append(_Entry(label, words, *phrases, sum(self.idf[w] for w in words), 4 + len(words) // 8, len(rare)))
 
     def match(self, words: list[bytes]) -> dict[str, float]:
-        """Labels of the templates found in a text and the share of their weight that lines up."""
-        known = self.words.intersection(words)
+        """Labels of the templates found in a text, and the greatest share of their weight in place."""
+        hits: dict[int, list[tuple[int, bytes]]] = {}
+        for at, w in enumerate(words):
+            for t, i in self.postings.get(w, ()):
+                hits.setdefault(t, []).append((at - i, w))
         out: dict[str, float] = {}
-        asked = [t for t, needed in enumerate(self.needed) if needed <= known]
-        if not asked:
+        if not hits:
             return out
-        places_of: dict[bytes, list[int]] = {w: [] for w in self.looked_up}
-        for at, w in enumerate(words):
-            if w in places_of:
-                places_of[w].append(at)
-        for t in asked:
-            (label, template, keys), weight = self.templates[t], self.weight[t]
-            # Key phrases may lie a few words from their place: notices differ in small words.
-            offsets: set[int] | None = None
-            for k, i in zip(keys, self.rarest[t], strict=True):
-                found = (at - i for at in places_of[k[i]] if at >= i and words[at - i : at - i + len(k)] == k)
-                own = {o for at in found for o in range(at - len(template) - 7, at + 5)}
-                offsets = own if offsets is None else offsets & own
-            for offset in offsets or ():
-                lined = [w for i, w in enumerate(template) if 0 <= offset + i < len(words) and words[offset + i] == w]
-                if len(lined) >= 2:
-                    out[label] = max(out.get(label, 0.0), min(1.0, sum(self.idf[w] for w in lined) / weight))
-                    if out[label] == 1.0:
+        places_of: dict[bytes, list[int]] = {}
+        for t, found in hits.items():
+            e = self.entries[t]
+            if out.get(e.label, 0.0) >= 1.0:
+                continue
+            for offset in _agreed(found, e):
+                if not places_of:
+                    for at, w in enumerate(words):
+                        if w in self.idf:
+                            places_of.setdefault(w, []).append(at)
+                share = self._share(e, words, offset, places_of)
+                if share >= LEAST_SHARE:
+                    out[e.label] = max(out.get(e.label, 0.0), share)
+                    if share >= 1.0:
                         break
         return out
 
+    def _share(self, e: _Entry, words: list[bytes], offset: int, places_of: dict[bytes, list[int]]) -> float:
+        """The share of a template's weight that stands within its slack of its place at an offset; 0 without its key phrases."""
+        around = words[max(0, offset - e.slack) : max(0, offset + len(e.words) + e.slack)]
+        if not all(places(around, k) for k in e.keys) or any(places(around, k) for k in e.without):
+            return 0.0
+        total = 0.0
+        for i, w in enumerate(e.words):
+            own = places_of.get(w, ())
+            k = bisect_left(own, offset + i - e.slack)
+            if k < len(own) and own[k] <= offset + i + e.slack:
+                total += self.idf[w]
+        return min(1.0, total / e.weight)
+
+
+def _agreed(found: list[tuple[int, bytes]], e: _Entry) -> Iterator[int]:
+    """Places at which a template could begin: those near which two of its rare words agree, or its only one stands; near ones once."""
+    found.sort()
+    least, step, last = min(2, e.rare), max(1, e.slack // 2), None
+    within: Counter[bytes] = Counter()
+    a = 0
+    for offset, w in found:
+        within[w] += 1
+        while found[a][0] < offset - e.slack:
+            within[found[a][1]] -= 1
+            if not within[found[a][1]]:
+                del within[found[a][1]]
+            a += 1
+        if len(within) >= least:
+            for o in (found[a][0], offset):
+                if last is None or o >= last + step:
+                    last = o
+                    yield o
+
 
 def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
     """In how many of all documents each template word stands, and the number of documents. A task gives one row a word."""
-    words = frozenset(w.encode() for found in TEMPLATES.values() for text, _ in found for w in text.split())
+    words = frozenset(w for some in TEMPLATES.values() for t in some for w in licence_words(t.text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
@@ -124,7 +158,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, words, base places and the templates found with their scores, of every whole text.
 
     A null text is empty: no words, no labels, score 0. score is 1 where a base phrase stands, else
-    the largest share of a template that lines up. Repeated rows give repeated results.
+    the largest share of a template that stands in place, which is LEAST_SHARE at least. Repeated rows give repeated results.
     """
     index = Index(*frequencies(docs))
     base = [(p.encode().split(), label) for p, label in BASE.items()]
