@@ -34,11 +34,10 @@ WORDS = {
     "fr": "idiot imbécile connard stupide minable ordure dégoûtant pourri déteste",
     "es": "idiota imbécil estúpido basura asqueroso patético inútil payaso odio",
 }
-#: Bounds of the model: labelled rows that it learns from, words in lexicons and features of the classifier.
+#: Bound of the labelled rows that the model learns from. Lexicons and classifier take all of their words that are significant by LEAST_SHARE and LEAST_Z.
 SAMPLE_ROWS = 20_000
 LEAST_DOCS = 4
 LEXICONS = 16
-FEATURES = 20_000
 LEAST_SHARE = 0.6
 LEAST_Z = 4.0
 HEADS = (4, 5, 6)
@@ -229,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     voters += [(f"pattern {k.decode()}", frozenset([zlib.crc32(k)])) for k in _PATTERNS]
     parts = [_induced(*sample.read(lambda x, n=n: x >> np.uint32(29) == n), y, weight) for n in range(8)]  # by their first bits, so in order
     names, least, z = (np.concatenate(x) for x in zip(*parts, strict=True))
-    bad = [int(names[i]) for i in np.lexsort((names, -z, -least)) if least[i] >= LEAST_SHARE][:FEATURES]
+    bad = [int(names[i]) for i in np.lexsort((names, -z, -least)) if least[i] >= LEAST_SHARE]
     for n in range(LEXICONS if bad else 0):
         # Dealt in turn, so that each lexicon has words of every language and strength.
         voters.append((f"lexicon {n}", frozenset(bad[n::LEXICONS])))
@@ -239,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     model.accuracy, model.correlation = _label_model(n, moments, model.prior)
 
     listed = np.array(sorted({f for name, words in voters if not name.startswith("lexicon") for f in words}), dtype="<u4")
-    keep = np.union1d(names[np.argsort(-np.abs(z), kind="stable")[: int((np.abs(z) >= LEAST_Z).sum())][:FEATURES]], listed)
+    keep = np.union1d(names[np.argsort(-np.abs(z), kind="stable")[: int((np.abs(z) >= LEAST_Z).sum())]], listed)
     voting = np.union1d(keep, np.array(bad, dtype="<u4"))
     rows, flat = sample.read(lambda x: np.isin(x, voting))
     fired = np.zeros((len(y), len(voters)))
