@@ -73,7 +73,7 @@ def features_of(term: bytes) -> list[int]:
 
 @dataclass
 class Model:
-    """A fitted model; its size is bounded by FEATURES and the number of voters, not by the input."""
+    """A fitted model; its size is bounded by the words of the sample and the number of voters, not by the input."""
 
     voters: list[tuple[str, frozenset[int]]]
     accuracy: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  #: P(fires | toxic), P(fires | clean)
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     model.accuracy, model.correlation = _label_model(n, moments, model.prior)
 
     listed = np.array(sorted({f for name, words in voters if not name.startswith("lexicon") for f in words}), dtype="<u4")
-    keep = np.union1d(names[np.argsort(-np.abs(z), kind="stable")[: int((np.abs(z) >= LEAST_Z).sum())]], listed)
+    keep = np.union1d(names[np.abs(z) >= LEAST_Z], listed)
     voting = np.union1d(keep, np.array(bad, dtype="<u4"))
     rows, flat = sample.read(lambda x: np.isin(x, voting))
     fired = np.zeros((len(y), len(voters)))
