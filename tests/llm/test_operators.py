@@ -231,6 +231,22 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_scores_by_plain_sums(spark):
+    """Every score of a fitted model as the logistic of a sum over the different words of a text, of very long and repeated ones too."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    more = spark.createDataFrame([(900_001, "you idiot " * 60_000), (900_002, None), (900_003, ""), (900_004, "You IDIOT!!!! stooopid"), (900_004, "You IDIOT!!!! stooopid")], "doc_id long, text string")
+    every = docs.unionByName(more)
+    want = []
+    for r in every.collect():
+        z = model.bias + sum(model.weights.get(f, 0.0) for term in toxicity.terms_of(r["text"]) for f in toxicity.features_of(term))
+        want.append((r["doc_id"], round(1 / (1 + math.exp(-z)), 9)))
+    assert sorted((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(every, model).collect()) == sorted(want)
+    kept = sorted(r["doc_id"] for r in toxicity.without_toxic(every, model).collect())
+    assert kept == sorted(d for d, s in want if s < 0.7)
+
+
 def test_toxicity_without_toxic_labels_still_learns(spark):
     """All labels clean: there is no lexicon, but the classifier learns from the posterior labels, so a listed word that clean texts have alone weighs less than one that comes with others."""
     rows = [(i, " ".join([f"plain{'abcdefgh'[i % 8]}", "trash" if i % 2 else "day", "you idiot, you moron, pathetic loser" if i % 10 == 0 else "fine"]) + " " + "q".join(chr(97 + int(c)) for c in str(i))) for i in range(900)]

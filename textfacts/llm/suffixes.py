@@ -87,6 +87,9 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     which lies in a window of `words` words that another doc_id has; other_doc is the smallest such id
     of any of its windows, and is_first tells that doc_id is smaller than all of them. Shorter, empty and
     null texts give no rows, and rows with null ids take no part, nor do repeats within one doc_id.
+
+    Words aren't compared themselves: suffixes are told by keys of 64 bits and the words around them by 31 bits each, so by chance of
+    about one in 2^31 a passage may be a word too long, and all repeated windows are found.
     """
     suffix = words - WINDOW + 1
 
