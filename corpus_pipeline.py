@@ -22,18 +22,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item stands go."""
+    """Documents in which a benchmark item stands go. Null and empty texts hold none and stay; repeated rows go or stay together; no items drop nothing, no documents give none."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secret values in their texts are replaced."""
+    """All documents stay, repeated rows too; secret values in their texts are replaced. Null texts stay null, empty ones empty."""
     bounded_batches(spark)
     return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in training sequences, with their ids."""
+    """The pieces of the documents in training sequences, with their ids. A null or empty text is a piece of the end's id alone; repeated rows are packed as often as they come; no documents give no pieces."""
     bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
