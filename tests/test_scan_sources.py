@@ -141,6 +141,15 @@ def test_growing_logs_in_a_ring(spark, tmp_path, monkeypatch):
     assert seen == {}
 
 
+def test_tail_of_the_latest_log(spark, tmp_path):
+    _make(tmp_path, {"mcp-1.log": "old\n", "mcp-[2]*.log": "".join(f"Line {i}\n" for i in range(30)), "sub/mcp-3.log": "deeper\n", "other.log": "newer\n"})
+    for name, at in (("mcp-1.log", 100), ("mcp-[2]*.log", 200), ("sub/mcp-3.log", 300), ("other.log", 300)):
+        os.utime(tmp_path / name, (at, at))
+    read = lambda *a: [tuple(r) for r in tail.tail_latest(spark, str(tmp_path), *a).collect()]
+    assert read("mcp-*.log", 2) == [("mcp-[2]*.log", 29, "Line 28"), ("mcp-[2]*.log", 30, "Line 29")]
+    assert [r[1] for r in read("mcp-*.log", 3, "LINE 1")] == [18, 19, 20] and read("none*.log") == [] and len(read("mcp-*.log", 99, " ")) == 30
+
+
 def test_logs_are_read_in_spans(tmp_path, monkeypatch):
     monkeypatch.setattr(scan, "BYTES", 20)
     text = "".join(f"line {i} é{'x' * (i % 30)}\n" for i in range(60)) + "open"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as X
-from ..operators import logs
+from ..operators import logs, search
 from ..sources import scan
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,6 +31,20 @@ def diagnostic_counts(lines: DataFrame, window: str = "1 hour", late: str = "10
     return counted.select(F.col("window.start").alias("since"), "severity", "code", "n")
 
 
+def tail_latest(spark: SparkSession, path: str, glob: str = "mcp-*.log", last: int = 200, keyword: str | None = None) -> DataFrame:
+    """path, line_no and line: the last lines, which a keyword may filter before, of the log of a folder that was written last; of equally old ones the first by name.
+
+    The folder alone is listed, without reading the logs; then the newest is read. No log gives no rows.
+    """
+    scan.register(spark)
+    read = lambda text, names: spark.read.format("textfacts_files").options(levels="1", text=text, glob=names).load(path)
+    newest = read("false", glob).orderBy(F.col("modified").desc(), "path").select("path").first()
+    name = newest["path"] if newest else ""
+    quoted = re.sub(r"([*?[])", r"[\1]", name)
+    lines = search.file_lines((read("true", quoted) if name else read("false", "")).where(F.col("path") == name).select("path", "text"), "path")
+    return search.tail(lines, ["path"], "line_no", "line", last, keyword).select("path", "line_no", "line").orderBy("line_no")
+
+
 def growing(spark: SparkSession, path: str, glob: str = "*.log", levels: int = 1) -> DataFrame:
     """path, at and line of the lines that are added to a folder's logs, those of growing files too; `levels` folders deep."""
     scan.register(spark)
