@@ -19,9 +19,10 @@ ACCESS = {"Public": "public", "Protected": "protected", "ProtectedAndInternal":
 
 
 def lines(text: Column) -> Column:
-    """Lines ended by CRLF, LF or CR, without an empty entry after the last end."""
-    parts = F.split(text, "\r\n|\n|\r", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """Lines ended by CRLF, LF or CR, without an empty entry after the last end. The end is cut off first, so that a text is split once."""
+    n = F.char_length(text)
+    cut = F.when(F.endswith(text, F.lit("\r\n")), F.left(text, n - 2)).when(F.endswith(text, F.lit("\n")) | F.endswith(text, F.lit("\r")), F.left(text, n - 1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(cut, "\r\n|\n|\r", -1))
 
 
 def lines_kept(text: Column) -> Column:
