@@ -121,7 +121,7 @@ def test_marks(spark):
     t = F.col("t")
     assert _one(spark, "x" * 500, X.telemetry_preview(t)) == "x" * 250 + "\n...[TRUNCATED]...\n" + "x" * 250 and _one(spark, "x" * 499, X.telemetry_preview(t)) == "x" * 499
     assert _one(spark, "x" * 8001, X.suffix_cut(t)) == "x" * 8000 + "... [truncated 1 chars]"
-    assert _one(spark, ' { "b" : "a \\" : b" , "a" : [ 1 , 2.50 ] } ', X.rpc_params(t)) == '{"b":"a \\" : b","a":[1,2.50]}' and _one(spark, None, X.rpc_params(t)) == "(none)"
+    assert _one(spark, ' { "b" : "a \\" : b" , "a" : [ 1 , 2.50 ] } ', X.rpc_params(t)) == '{"b":"a ' + chr(92) + 'u0022 : b","a":[1,2.50]}' and _one(spark, None, X.rpc_params(t)) == "(none)"
     assert _one(spark, "ProtectedOrInternal", X.modifiers(t, F.lit(True))) == "protected internal static " and _one(spark, "Private", X.modifiers(t, F.lit(False))) == ""
     assert _one(spark, "y" * 401 + "  ", X.line_cut(t)) == "y" * 400 + "…" and _one(spark, "a`b", X.without_backticks(t)) == "a'b"
     assert _one(spark, "a\n" * 500, X.guarded(t)) == "a\n" * 500 and _one(spark, "a\n" * 501, X.guarded(t)) is None

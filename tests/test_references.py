@@ -101,11 +101,11 @@ def test_index_of_nothing(spark):
 
 @pytest.mark.parametrize("text", ["class A { void F() { " + "f(" * 60_000, "class A { " + "a" * 200_000 + " }", "class A { int x; void F() { " + "x.y();" * 20_000 + "} }", "class A { " + "int a{0}; " * 5_000 + "}", "<" * 100_000, '$"{' * 20_000, "a." * 100_000, "class A { void F(int x) { " + "a<" * 50_000 + "} }"])
 def test_occurrences_in_linear_time(text):
-    start = time.time()
+    start = time.process_time()
     csharp.occurrences(text)
     csharp.problems(text, 8)
     csharp.outline(text)
-    assert time.time() - start < 20
+    assert time.process_time() - start < 20
 
 
 def test_problems_stop_early():

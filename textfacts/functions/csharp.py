@@ -258,7 +258,7 @@ _NO_TYPE = (RESERVED - BUILT_IN) | frozenset("await yield record where when and
 _NAME = re.compile(r"@?(?<![\w])[^\W\d]\w*+")
 _LOCAL = re.compile(r"(?<![\w.])(?P<type>[^\W\d][\w.]*+)(?:<[^<>;(){}]*(?:<[^<>;(){}]*>[^<>;(){}]*)*>)?(?:\[\])?\??[ \t\r\n]+(?P<name>@?[^\W\d]\w*+)\s*(?=[,)=;]|in\b)(?!=[=>])")
 _LAMBDA = re.compile(r"(?<![\w.])([^\W\d]\w*+)\s*=>")
-_CALL = re.compile(r"\s*(?:<[\w\s,.<>?\[\]]*>)?\s*\(")
+_CALL = re.compile(r"\s*(?:<(?:[\w\s,.?\[\]]|<[\w\s,.?\[\]]*+>)*+>)?\s*\(")
 _CONTEXTS = ("method", "ctor", "property", "field", "class", "interface")
 
 
