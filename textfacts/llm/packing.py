@@ -35,7 +35,7 @@ WINDOW_DOCS = 4096
 WINDOW_IDS = 4 << 20
 END_ID = 1
 STEP_SEQUENCES = 16
-CACHE = 1_500_000
+CACHE = 600_000
 GROUP = 64
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, sequence_tokens int, step_group long"
