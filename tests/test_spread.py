@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textfacts.operators import code
+from textfacts.operators import code, references
+from textfacts.sources import sinks
 
 TEXT = "using System;\nnamespace N { class Box { int x; string Name(int a) { return Name(a); } string Name() => null; class Inner { void Name(long b) { } } } class Box { void Name() { } } }"
 BODY = "string Name(int a) { return Name(a); }"
@@ -34,3 +35,21 @@ def test_method_body_is_lexed_once(files):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted((r["path"], r["source"]) for r in got.collect()) == sorted((f"src/P{i}.cs", BODY) for i in range(1, 64, 2))
     assert code.method_body(files, "Inner", "Name").select("source").distinct().collect()[0]["source"] == "void Name(long b) { }"
+
+
+def test_index_is_spread_and_kept(spark, files, tmp_path):
+    found = references.index(files)
+    assert _tasks(found) > 1
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    again = sinks.kept(found)
+    assert "MapInArrow" not in again._jdf.queryExecution().optimizedPlan().toString()
+    assert again.schema == found.schema and sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
+
+
+def test_index_of_one_name(files):
+    rows = lambda found: sorted(map(repr, references.find_references(found, "src/P2.cs", "Box2").collect()))
+    some = references.index(files, names=["Box2"])
+    assert rows(some) == rows(references.index(files))
+    assert {r["path"] for r in some.select("path").distinct().collect()} == {f"src/P{i}.cs" for i in (2, 20, 22, 24, 26, 28)}
+    assert {r["name"] for r in some.where("role <> 'declaration'").collect()} <= {"Box2"}

@@ -1,6 +1,6 @@
 """References found in sources: an index of names, joined to declarations by scope.
 
-The index has a row for each name of each source, written by the lexer without a shuffle. A use is looked for
+The index has a row for each name of each source, written by the lexer, over which sources are dealt out. A use is looked for
 in the scopes that it can see, by equality of scope and name, so no use meets all declarations of its name. What a value's
 type is comes from its declaration in the same member or type; there is no other binding, and inherited members aren't found.
 """
@@ -8,6 +8,7 @@ type is comes from its declaration in the same member or type; there is no other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,35 +16,43 @@ from pyspark.sql import functions as F
 
 from ..functions import csharp
 from ..functions import text as X
-from . import edits, search, symbols
+from ..sources import sinks
+from . import code, edits, search, symbols
 
 INDEX = """path string, name string, start long, end long, line long, role string, before string, n_args long, owner long, scopes array<string>,
   ord long, kind string, scope string, n_params long, context string, header string, decl_start long, decl_end long"""
 _TEXTS = {"path", "name", "role", "before", "kind", "scope", "context", "header"}
 _SCHEMA = pa.schema([(x.split()[0], pa.list_(pa.string()) if "<" in x else pa.string() if x.split()[0] in _TEXTS else pa.int64()) for x in INDEX.split(", ") for x in x.split(",\n")])
+_NOT_DECLARED = (None,) * 8
 #: Kinds that are types, and those that a reference can be asked for by file.
 TYPES, ASKED = list(csharp.TYPES), ["class", "interface", "method"]
 
 
-def index(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """The names of each source in order of place: declarations, uses, and uses of parameters and variables. Null texts have none; null paths give null paths."""
+def index(files: DataFrame, path: str = "path", text: str = "text", names: list[str] | None = None) -> DataFrame:
+    """The names of each source in order of place: declarations, uses, and uses of parameters and variables. Null texts have none; null paths give null paths.
+
+    With `names`, of the sources that hold one of these only: their declarations, and the uses of these names.
+    """
+    wanted = None if names is None else frozenset(names)
 
     def rows(where: str | None, source: str | None) -> list[tuple]:
         out = []
         for o in csharp.occurrences(source):
             own = o.declared
+            if wanted is not None and not own and o.name not in wanted:
+                continue
             d = own.at if own else None
-            about = (d.ord, d.kind, own.scope, d.n_params, own.context, d.header, d.start, d.end) if own else (None,) * 8
+            about = (d.ord, d.kind, own.scope, d.n_params, own.context, d.header, d.start, d.end) if own else _NOT_DECLARED
             out.append((where, o.name, o.start, o.end, o.line, o.role, o.before, o.n_args, o.owner, o.scopes, *about))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for where, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if found := rows(where, source):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+        return code.batched((rows(where, source) for where, source in code.pairs(batches)), _SCHEMA)
 
-    return files.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text")).mapInArrow(run, INDEX)
+    some = files.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
+    if wanted is not None:
+        some = some.where(reduce(lambda a, b: a | b, (F.contains("text", F.lit(n)) for n in sorted(wanted)), F.lit(False)))
+    return code.spread(some).mapInArrow(run, INDEX)
 
 
 def declarations(found: DataFrame) -> DataFrame:
@@ -60,9 +69,9 @@ def resolved(found: DataFrame) -> DataFrame:
     of their own: they stand for their type.
     """
     own = declarations(found).where("kind != 'ctor'").select("scope", "name", "kind", "fqn", F.when(F.col("kind") == "method", F.col("n_params")).otherwise(0).alias("n_params")).distinct()
-    uses = found.where("role = 'use'").select("path", "name", "start", "end", "line", "owner", "before", "n_args", "scopes").join(own.select("name").distinct(), "name", "left_semi")
+    uses = found.where("role = 'use'").select("path", "name", "start", "end", "line", "owner", "before", "n_args", "scopes")
     told = uses.where("before != '?'").select("*", F.posexplode("scopes").alias("rank", "scope")).drop("scopes")
-    told = told.withColumn("scope", F.when(F.col("before") == "", F.col("scope")).otherwise(F.concat_ws(".", F.nullif("scope", F.lit("")), "before")))
+    told = told.withColumn("scope", F.when(F.col("before") == "", F.col("scope")).otherwise(F.concat_ws(".", F.nullif("scope", F.lit("")), "before"))).drop("before")
     hits = told.join(own, ["scope", "name"])
     odd = ((F.col("kind") == "method") & ~F.col("n_args").eqNullSafe(F.col("n_params"))).cast("int")
     best = F.min_by(F.struct("name", "end", "line", "owner", "fqn", "kind", "n_params"), F.struct("rank", odd.alias("odd"), "n_params", "kind"))
@@ -91,7 +100,7 @@ def with_lines(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 def usages(found: DataFrame, most: int = symbols.MOST_USAGES) -> DataFrame:
     """The first references of every symbol by path in any case, line and place, with their rank, the number of all and whether some were left out."""
-    return symbols.usages(resolved(found), ["fqn", "kind", "n_params"], by_place(), most)
+    return symbols.usages(sinks.kept(resolved(found)), ["fqn", "kind", "n_params"], by_place(), most)  # read twice
 
 
 def primary(found: DataFrame, name: str) -> DataFrame:
@@ -104,16 +113,18 @@ def primary(found: DataFrame, name: str) -> DataFrame:
 
 def find_usages(found: DataFrame, files: DataFrame, name: str, most: int = symbols.MOST_USAGES) -> DataFrame:
     """The first usages of the symbol that a name means, with source lines; no such symbol gives no rows."""
-    own = resolved(found).join(F.broadcast(primary(found, name)), ["fqn", "kind", "n_params"], "left_semi")  # one row
+    named = found.where(F.lower("name") == name.strip().lower())  # what a use names depends on declarations of its name alone
+    own = resolved(named).join(F.broadcast(primary(named, name)), ["fqn", "kind", "n_params"], "left_semi")  # one row
     return with_lines(symbols.usages(own, ["fqn", "kind", "n_params"], by_place(), most), files)
 
 
 def find_references(found: DataFrame, path: str, name: str, most: int = symbols.MOST_REFERENCES) -> DataFrame:
-    """The first references, with contexts, of what a file first declares by exactly this name as class, interface or method."""
+    """The first references, with contexts, of what a file first declares by exactly this name as class, interface or method. An index of this name is enough."""
     asked = declarations(found).where((F.col("path") == path) & (F.col("name") == name) & F.col("kind").isin(ASKED)).orderBy("start").limit(1)
     asked = asked.select("fqn", "kind", F.when(F.col("kind") == "method", F.col("n_params")).otherwise(0).alias("n_params"))
-    own = resolved(found).join(F.broadcast(asked), ["fqn", "kind", "n_params"], "left_semi")  # one row
-    return with_context(symbols.usages(own, ["fqn", "kind", "n_params"], by_place(), most), found)
+    own = resolved(found.where(F.col("name") == name)).join(F.broadcast(asked), ["fqn", "kind", "n_params"], "left_semi")  # one row
+    first = symbols.usages(own, ["fqn", "kind", "n_params"], by_place(), most)
+    return with_context(first, found.join(F.broadcast(first.select("path").distinct()), "path", "left_semi"))  # `most` rows
 
 
 def rename_edits(found: DataFrame, renames: DataFrame, projects: DataFrame | None = None) -> DataFrame:

@@ -24,6 +24,17 @@ def upserted(files: DataFrame, updates: DataFrame, order: str | None = None) ->
     return files.join(one.select("path"), "path", "left_anti").select("path", "text").unionByName(one.where("text is not null"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once: a Parquet table in the folder that spark.checkpoint.dir names, which holds more than a cache and is read by columns; the session's cache where none is set."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        return df.persist()
+    path = f"{folder}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def overwrite(spark: SparkSession, after: DataFrame, path: str) -> None:
     """Replace a table of files, which `after` may itself be read from: it is written beside, then the folders are swapped."""
     new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
