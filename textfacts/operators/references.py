@@ -93,7 +93,8 @@ def with_context(refs: DataFrame, found: DataFrame) -> DataFrame:
 
 def with_lines(refs: DataFrame, files: DataFrame) -> DataFrame:
     """References with `source`, the line that they stand in. Only lines of files that hold references are split."""
-    own = files.select(F.col("path").cast("string").alias("path"), "text").join(refs.select("path").distinct(), "path", "left_semi")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a table of files may be read by one task
+    own = files.select(F.col("path").cast("string").alias("path"), "text").where("path is not null").repartition(tasks, "path").join(refs.select("path").distinct(), "path", "left_semi")
     lines = search.file_lines(own, "path").withColumnRenamed("line", "_line").select("path", F.col("line_no").alias("line"), "_line")
     return symbols.with_source_lines(refs, lines, ["path", "line"], "_line")
 
