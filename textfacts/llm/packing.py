@@ -53,7 +53,7 @@ class Encoder:
     The tokenizer drops white space and never joins what it stands between, so a text's ids are
     those of its parts between ASCII white space, one after the other. It composes characters and then
     lower-cases, so parts of ASCII alone, where nothing is composed, are lower-cased first, except in texts where a special
-    token's string could come of that. Different parts are encoded once, those of letters alone in groups: each ends with
+    token's string could come of that. Different parts are encoded once as long as they keep coming (those not seen for CACHE / 2 other parts are forgotten), those of letters alone in groups: each ends with
     its first id of a token that ends a word.
     """
 
@@ -63,19 +63,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # known before the last time that there were too many
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         parts = [self._parts((t or "").encode("utf-8", "replace")) for t in texts]
         found = [list(map(self.known.get, p)) for p in parts]
-        new = {w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None}
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+        missing = {w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None}
+        again = {w: self.older[w] for w in missing if w in self.older}
+        if len(self.known) + len(missing) > CACHE // 2:
+            self.older, self.known = self.known, {}
+        self.known.update(again)
+        new = missing.difference(again)
         words = [w for w in new if w.decode().isalpha()]
         self._learn(words, GROUP)
         self._learn(list(new.difference(words)), 1)
-        learnt = {w: self.known[w] for w in new}
+        learnt = {w: self.known[w] for w in missing}
         return [b"".join([learnt[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f) for p, f in zip(parts, found, strict=True)]
 
     @staticmethod
