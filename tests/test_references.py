@@ -94,6 +94,18 @@ def test_rename_by_places(spark, files, found):
     assert [r["path"] for r in references.renamed(files, found, new.selectExpr("*", "1 project"), projects).collect()] == ["a/Box.cs"]
 
 
+def _broadcast(df):
+    """Whether the plan that ran sends a table through the driver to all tasks."""
+    df.collect()
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_renames_broadcast_nothing(spark, files, found):
+    new = spark.createDataFrame([("A.B.Box", "class", 0, "Crate", 1)], "fqn string, kind string, n_params long, new string, project int")
+    projects = spark.createDataFrame([("a/Box.cs", 1)], "path string, project int")
+    assert not _broadcast(references.renamed(files, found, new, projects))
+
+
 def test_index_of_nothing(spark):
     none = references.index(spark.createDataFrame([], FILE))
     assert references.resolved(none).count() == 0 and references.usages(none).count() == 0

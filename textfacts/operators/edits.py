@@ -35,7 +35,7 @@ def spliced(files: DataFrame, edits: DataFrame, path: str = "path", text: str =
     """
     own = edits.where("start is not null and end is not null").select(F.col(path).alias("_path"), F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("text", F.lit("")).alias("text")).alias("_e")).distinct()
     by = own.groupBy("_path").agg(F.array_sort(F.collect_list("_e")).alias("_edits"))
-    got = files.join(by, files[path] == by["_path"], "left").drop("_path")
+    got = files.join(by.hint("merge"), files[path] == by["_path"], "left").drop("_path")
     new = _spliced(F.col(text), F.col("_edits"))
     outside = F.exists("_edits", lambda e: (e["start"] < 0) | (e["end"] < e["start"]) | (e["end"] > F.char_length(text)))
     done = got.withColumn("_new", new)

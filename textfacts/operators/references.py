@@ -3,6 +3,9 @@
 The index has a row for each name of each source, written by the lexer, over which sources are dealt out. A use is looked for
 in the scopes that it can see, by equality of scope and name, so no use meets all declarations of its name. What a value's
 type is comes from its declaration in the same member or type; there is no other binding, and inherited members aren't found.
+
+Tables that grow with the sources meet by sorted joins, which is hinted: an index of repeated names is a small fraction of its size as Parquet and the
+texts of sources may be put together from little, so that Spark takes them for small and would broadcast them whole through the driver.
 """
 
 from __future__ import annotations
@@ -72,12 +75,12 @@ def resolved(found: DataFrame) -> DataFrame:
     uses = found.where("role = 'use'").select("path", "name", "start", "end", "line", "owner", "before", "n_args", "scopes")
     told = uses.where("before != '?'").select("*", F.posexplode("scopes").alias("rank", "scope")).drop("scopes")
     told = told.withColumn("scope", F.when(F.col("before") == "", F.col("scope")).otherwise(F.concat_ws(".", F.nullif("scope", F.lit("")), "before"))).drop("before")
-    hits = told.join(own, ["scope", "name"])
+    hits = told.join(own.hint("merge"), ["scope", "name"])
     odd = ((F.col("kind") == "method") & ~F.col("n_args").eqNullSafe(F.col("n_params"))).cast("int")
     best = F.min_by(F.struct("name", "end", "line", "owner", "fqn", "kind", "n_params"), F.struct("rank", odd.alias("odd"), "n_params", "kind"))
     sure = hits.groupBy("path", "start").agg(best.alias("s")).select("path", "start", "s.*", F.lit(True).alias("certain"))
     alone = own.where(~F.col("kind").isin(TYPES)).groupBy("name").agg(F.min(F.struct("fqn", "kind", "n_params")).alias("s"), F.count("*").alias("n")).where("n = 1").select("name", "s.*")
-    rest = uses.where("before = '?'").join(alone, "name").select("path", "start", "name", "end", "line", "owner", "fqn", "kind", "n_params", F.lit(False).alias("certain"))
+    rest = uses.where("before = '?'").join(alone.hint("merge"), "name").select("path", "start", "name", "end", "line", "owner", "fqn", "kind", "n_params", F.lit(False).alias("certain"))
     return sure.unionByName(rest)
 
 
@@ -138,13 +141,13 @@ def rename_edits(found: DataFrame, renames: DataFrame, projects: DataFrame | Non
     named = own.select("path", "start", "end", F.when(of_type, F.col("scope")).otherwise(F.col("fqn")).alias("fqn"), F.when(of_type, F.lit("ctor")).otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "method", F.col("n_params")).otherwise(0).alias("n_params"))
     places = named.unionByName(resolved(found).where("certain").select("path", "start", "end", "fqn", "kind", "n_params"))
     made = renames.where(F.col("kind").isin(TYPES)).withColumn("kind", F.lit("ctor"))
-    got = places.join(renames.unionByName(made), ["fqn", "kind", "n_params"])
+    got = places.join(renames.unionByName(made).hint("merge"), ["fqn", "kind", "n_params"])
     if "project" in renames.columns:
-        got = got.join(projects.select("path", "project"), ["path", "project"], "left_semi")
+        got = got.join(projects.select("path", "project").hint("merge"), ["path", "project"], "left_semi")
     return got.select("path", "start", "end", F.col("new").alias("text")).distinct()
 
 
 def renamed(files: DataFrame, found: DataFrame, renames: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """The files that the renames change, with their new texts. Files whose places overlap are told by `refused` and stay as they were."""
     after = edits.spliced(files, rename_edits(found, renames, projects))
-    return symbols.differences(files, after.where("n_edits > 0"), "path")
+    return symbols.differences(files.hint("merge"), after.where("n_edits > 0"), "path")
