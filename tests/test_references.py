@@ -106,6 +106,14 @@ def test_renames_broadcast_nothing(spark, files, found):
     assert not _broadcast(references.renamed(files, found, new, projects))
 
 
+def test_usages_broadcast_nothing(files, found):
+    used = references.usages(found)
+    assert not _broadcast(used)
+    lined = references.with_lines(used, files)
+    assert not _broadcast(lined) and {r["source"] for r in lined.where("path = 'b/Far.cs'").collect()} == {FAR}
+    assert not _broadcast(references.with_context(references.resolved(found), found))
+
+
 def test_index_of_nothing(spark):
     none = references.index(spark.createDataFrame([], FILE))
     assert references.resolved(none).count() == 0 and references.usages(none).count() == 0

@@ -91,15 +91,15 @@ def by_place() -> list[Column | str]:
 def with_context(refs: DataFrame, found: DataFrame) -> DataFrame:
     """References with `context`: the method, constructor, property or field around as one line, else the class or interface, else the name itself."""
     around = declarations(found).select("path", F.col("ord").alias("owner"), "context")
-    return refs.join(around, ["path", "owner"], "left").withColumn("context", F.coalesce("context", "name"))
+    return refs.join(around.hint("merge"), ["path", "owner"], "left").withColumn("context", F.coalesce("context", "name"))
 
 
 def with_lines(refs: DataFrame, files: DataFrame) -> DataFrame:
     """References with `source`, the line that they stand in. Only lines of files that hold references are split."""
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a table of files may be read by one task
-    own = files.select(F.col("path").cast("string").alias("path"), "text").where("path is not null").repartition(tasks, "path").join(refs.select("path").distinct(), "path", "left_semi")
+    own = files.select(F.col("path").cast("string").alias("path"), "text").where("path is not null").repartition(tasks, "path").join(refs.select("path").distinct().hint("merge"), "path", "left_semi")
     lines = search.file_lines(own, "path").withColumnRenamed("line", "_line").select("path", F.col("line_no").alias("line"), "_line")
-    return symbols.with_source_lines(refs, lines, ["path", "line"], "_line")
+    return symbols.with_source_lines(refs, lines.hint("merge"), ["path", "line"], "_line")
 
 
 def usages(found: DataFrame, most: int = symbols.MOST_USAGES) -> DataFrame:

@@ -73,7 +73,7 @@ def usages(refs: DataFrame, symbol: str | list[str], order: list[Column | str],
     total = refs.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count("*").alias("total"))
     first = refs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= most)
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
-    return first.join(total, same).drop(*(f"_{c}" for c in by)).withColumn("cut", F.col("total") > most)
+    return first.join(total.hint("merge"), same).drop(*(f"_{c}" for c in by)).withColumn("cut", F.col("total") > most)
 
 
 def with_source_lines(refs: DataFrame, lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
